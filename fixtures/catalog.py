@@ -27,6 +27,6 @@ TIMESPANS = ["6 months", "1yr"]
 
 # The as-of dates with their window ends, for the SQL side.
 SPINE = """
-    asof as (
+    spine as (
       select d as as_of_date, d - interval '2' year as lo, d + interval '6' month as hi, d + interval '1' year as hi_year
       from (values (date '1999-01-01'), (date '2000-07-01'), (date '2001-01-01')) v(d))"""

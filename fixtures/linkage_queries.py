@@ -34,8 +34,8 @@ QUERIES = {
     "compose_timestamp": Query(
         _composed,
         """select event_id, user_id,
-                  cast(start_date as timestamp) + cast(coalesce(start_time, '00:00:01') as time) - time '00:00:00' as start_ts,
-                  cast(end_date as timestamp) + cast(coalesce(end_time, '23:59:59') as time) - time '00:00:00' as end_ts
+                  cast(cast(start_date as varchar) || ' ' || ifnull(start_time, '00:00:01') as timestamp) as start_ts,
+                  cast(cast(end_date as varchar) || ' ' || ifnull(end_time, '23:59:59') as timestamp) as end_ts
            from raw_stays""",
         ("raw_stays",),
     ),

@@ -1,5 +1,10 @@
 """All registered queries by name."""
 
-from fixtures import linkage_queries
+from fixtures import cohort_queries, label_queries, linkage_queries, signal_queries
 
-QUERIES = {**linkage_queries.QUERIES}
+QUERIES = {
+    **linkage_queries.QUERIES,
+    **cohort_queries.QUERIES,
+    **signal_queries.QUERIES,
+    **label_queries.QUERIES,
+}

@@ -22,6 +22,7 @@ SETTINGS = {
 
 LOCAL_SETTINGS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "12g",
     "spark.driver.host": "127.0.0.1",
     "spark.driver.bindAddress": "127.0.0.1",

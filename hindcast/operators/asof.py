@@ -29,7 +29,11 @@ def date_array(dates: Dates) -> Column:
 
 def expand(events: DataFrame, dates: Dates, holds: Callable[[Column], Column]) -> DataFrame:
     """One row per event and as-of date for which `holds(date)` is true."""
-    return events.withColumn("as_of_date", F.explode(F.filter(date_array(dates), holds)))
+    if not isinstance(dates, DataFrame):
+        return events.withColumn("as_of_date", F.explode(F.filter(date_array(dates), holds)))
+    # a subquery may not stand inside a lambda function, so its value becomes a column first
+    listed = events.withColumn("_dates", date_array(dates))
+    return listed.withColumn("as_of_date", F.explode(F.filter("_dates", holds))).drop("_dates")
 
 
 def known_within(events: DataFrame, ts: str, dates: Dates, lookback: Interval | str) -> DataFrame:

@@ -29,7 +29,8 @@ class Cuts:
 
 def _size(cut: Column, rows: Column) -> Column:
     """Rows the cut takes of a group of `rows`."""
-    return F.coalesce(F.least(cut["top"].cast("bigint"), rows), F.floor(rows * cut["pct"] / F.lit(100)))
+    by_percent = F.floor(rows * cut["pct"] / F.lit(100))
+    return F.when(cut["top"].isNotNull(), F.least(cut["top"].cast("bigint"), rows)).otherwise(by_percent)
 
 
 def evaluate(
@@ -53,8 +54,8 @@ def evaluate(
         lambda c: (_size(c, F.col("total_n")) > F.col("before_n"))
         & (_size(c, F.col("total_n")) <= F.col("before_n") + F.col("n")),
     )
-    hits = ranked.select(
-        *keys, "n", "p", "before_n", "before_p", F.explode(straddling)["parameter"].alias("parameter")
+    hits = ranked.withColumn("cut", F.explode(straddling)).select(
+        *keys, "n", "p", "before_n", "before_p", "cut.parameter"
     )
     groups = per_score.groupBy(*keys).agg(F.sum("n").alias("total_n"), F.sum("p").alias("total_p"))
     listed = groups.withColumn("cut", F.explode(cuts.column())).select(

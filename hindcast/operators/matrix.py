@@ -25,12 +25,13 @@ def matrix_build(cohort: DataFrame, labels: DataFrame, features: Sequence[DataFr
         F.collect_set(F.struct("split_id", "role", "as_of_date", "label_timespan"))
     ).scalar()
     wanted = F.filter(
-        places,
+        "_places",
         lambda s: (s["as_of_date"] == F.col("as_of_date"))
         & (F.col("label_timespan").isNull() | (s["label_timespan"] == F.col("label_timespan"))),
     )
-    placed = rows.withColumn("_place", F.explode(wanted)).drop("label_timespan")
-    return placed.select("_place.split_id", "_place.role", *placed.drop("_place").columns)
+    placed = rows.withColumn("_places", places).withColumn("_place", F.explode(wanted))
+    kept = [c for c in rows.columns if c != "label_timespan"]
+    return placed.select("_place.split_id", "_place.role", *kept)
 
 
 def training_rows(matrix: DataFrame) -> DataFrame:

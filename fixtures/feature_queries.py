@@ -166,7 +166,7 @@ QUERIES = {
         ("stays",),
     ),
     "feature_interval_stats": Query(
-        lambda t: X.feature_intervals(stay_events(t), DATES, STAYS, ["stay_id"]),
+        lambda t: X.feature_intervals(stay_events(t), DATES, STAYS, tiebreak=["stay_id"]),
         f"""with {SPINE},
             e as (select entity_id, start_ts as kd, stay_id, date_diff('day', start_ts, end_ts) as d from stays),
             seen as (

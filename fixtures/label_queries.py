@@ -8,7 +8,7 @@ from fixtures.cohort_queries import LONG, NEED
 from hindcast.operators import cohorts as C
 from hindcast.operators import labels as L
 from hindcast.operators import signals as S
-from hindcast.plans.study import cohort_in_need, labelled_cohort
+from hindcast.plans.study import labelled_cohort, labelled_grid
 
 GRID = f"""{NEED},
     spans as (select as_of_date, '6 months' as label_timespan, hi as until from spine
@@ -20,7 +20,19 @@ GRID = f"""{NEED},
 
 
 def grid(t):
-    return L.label_grid(t.stays, cohort_in_need(t.stays, N.need_log(t), DATES, LOOKBACK), DATES, TIMESPANS)
+    return labelled_grid(t.stays, N.need_log(t), DATES, LOOKBACK, TIMESPANS)
+
+
+def in_need(t):
+    signs = S.signs_at(N.need_log(t), DATES, LOOKBACK)
+    return C.cohort_with_signal(C.cohort_last_stay_closed(t.stays, DATES, LOOKBACK), signs)
+
+
+LABELS = f"""{NEED},
+    labels as (
+      select m.entity_id, m.as_of_date,
+             max(case when s.start_ts between m.as_of_date and a.hi and {LONG} then 1 else 0 end) as label
+      from members m join spine a using (as_of_date) join stays s using (entity_id) group by all)"""
 
 
 def _simplified(t):
@@ -32,16 +44,16 @@ def _simplified(t):
 QUERIES = {
     "label_reevent_long": Query(
         lambda t: labelled_cohort(t.stays, N.need_log(t), DATES, LOOKBACK, HORIZON),
-        f"""with {NEED}
-            select m.entity_id, m.as_of_date,
-                   max(case when s.start_ts between m.as_of_date and a.hi and {LONG} then 1 else 0 end) as label
-            from members m join spine a using (as_of_date) join stays s using (entity_id) group by all""",
+        f"with {LABELS} select * from labels",
+        N.LOG_VIEWS,
+    ),
+    "label_reevent_long_composed": Query(
+        lambda t: L.label_reevent_long(t.stays, in_need(t), DATES, HORIZON),
+        f"with {LABELS} select * from labels",
         N.LOG_VIEWS,
     ),
     "label_reevent_any": Query(
-        lambda t: L.label_reevent_any(
-            t.stays, cohort_in_need(t.stays, N.need_log(t), DATES, LOOKBACK), DATES, HORIZON
-        ),
+        lambda t: L.label_reevent_any(t.stays, in_need(t), DATES, HORIZON),
         f"""with {NEED}
             select m.entity_id, m.as_of_date,
                    max(case when s.start_ts is null then null
@@ -72,6 +84,9 @@ QUERIES = {
         ("crosswalk", "stays", "name_index", "pretrial"),
     ),
     "label_grid": Query(grid, f"with {GRID} select * from grid", N.LOG_VIEWS),
+    "label_grid_composed": Query(
+        lambda t: L.label_grid(t.stays, in_need(t), DATES, TIMESPANS), f"with {GRID} select * from grid", N.LOG_VIEWS
+    ),
     "label_positive_count": Query(
         lambda t: L.label_positive_count(grid(t)),
         f"with {GRID} select count(*) filter (label = 1) as n_positive from grid",

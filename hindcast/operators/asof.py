@@ -6,7 +6,7 @@ it: there is no join with the dates and no shuffle before the first partial aggr
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -15,49 +15,89 @@ from pyspark.sql import functions as F
 from hindcast.functions.intervals import Interval
 
 Dates = Sequence[str | date] | DataFrame
+Shift = Callable[[Column], Column]
 
 KEYS = ["entity_id", "as_of_date"]
 
 
-def date_array(dates: Dates) -> Column:
-    """The dates as one array: a literal, or a scalar subquery over a frame with `as_of_date`."""
-    if isinstance(dates, DataFrame):
-        return dates.agg(F.array_sort(F.collect_set("as_of_date"))).scalar()
+def _literals(dates: Dates) -> list[Column]:
     days = [date.fromisoformat(d) if isinstance(d, str) else d for d in dates]
-    return F.array(*[F.lit(d) for d in sorted(set(days))])
+    return [F.lit(d) for d in sorted(set(days))]
+
+
+def first_date(dates: Dates) -> Column:
+    """The earliest date: a literal, or a scalar subquery over a frame with `as_of_date`."""
+    return dates.agg(F.min("as_of_date")).scalar() if isinstance(dates, DataFrame) else _literals(dates)[0]
+
+
+def last_date(dates: Dates) -> Column:
+    return dates.agg(F.max("as_of_date")).scalar() if isinstance(dates, DataFrame) else _literals(dates)[-1]
 
 
-def expand(events: DataFrame, dates: Dates, holds: Callable[[Column], Column]) -> DataFrame:
-    """One row per event and as-of date for which `holds(date)` is true."""
-    if not isinstance(dates, DataFrame):
-        return events.withColumn("as_of_date", F.explode(F.filter(date_array(dates), holds)))
-    # a subquery may not stand inside a lambda function, so its value becomes a column first
-    listed = events.withColumn("_dates", date_array(dates))
-    return listed.withColumn("as_of_date", F.explode(F.filter("_dates", holds))).drop("_dates")
+def expand(events: DataFrame, dates: Dates, bounds: Mapping[str, Shift], holds: Shift) -> DataFrame:
+    """One row per event and as-of date for which `holds(window)` is true.
+
+    A window is a struct of the date `t` and the named `bounds` of it. All of it is computed once per date,
+    not per event, and reaches the events as a constant array.
+    """
+
+    def window(t: Column) -> Column:
+        ends = [bound(t).cast("timestamp_ntz").alias(name) for name, bound in bounds.items()]
+        return F.struct(t.alias("t"), *ends)
+
+    if isinstance(dates, DataFrame):
+        # a subquery may not stand inside a lambda function, so its value becomes a column first
+        windows = dates.agg(F.collect_set(window(F.col("as_of_date")))).scalar()
+        events, windows = events.withColumn("_windows", windows), F.col("_windows")
+    else:
+        windows = F.array(*[window(t) for t in _literals(dates)])
+    placed = events.withColumn("_window", F.explode(F.filter(windows, holds)))
+    return placed.withColumn("as_of_date", F.col("_window.t")).drop("_window", "_windows")
 
 
 def known_within(events: DataFrame, ts: str, dates: Dates, lookback: Interval | str) -> DataFrame:
     """Events in `[t - lookback, t]`, both ends included."""
-    span, at, days = Interval.of(lookback), F.col(ts), date_array(dates)
-    bounded = events.filter((at >= span.before(F.array_min(days))) & (at <= F.array_max(days)))
-    return expand(bounded, dates, lambda t: (at >= span.before(t)) & (at <= t))
+    span, at = Interval.of(lookback), F.col(ts)
+    bounded = events.filter((at >= span.before(first_date(dates))) & (at <= last_date(dates)))
+    bounds = {"first": span.before, "last": lambda t: t}
+    return expand(bounded, dates, bounds, lambda w: (at >= w["first"]) & (at <= w["last"]))
 
 
-def known_before(events: DataFrame, ts: str, dates: Dates, closed: str = "left") -> DataFrame:
-    """Every event before `t`; `closed='right'` also takes events at `t`."""
-    at, last = F.col(ts), F.array_max(date_array(dates))
-    if closed == "right":
-        return expand(events.filter(at <= last), dates, lambda t: at <= t)
-    return expand(events.filter(at < last), dates, lambda t: at < t)
+def known_before(
+    events: DataFrame, ts: str, dates: Dates, closed: str = "left", lookbacks: Sequence[Interval] = ()
+) -> DataFrame:
+    """Events before `t`, not older than the longest of `lookbacks` if given; `closed='right'` includes `t`."""
+    at = F.col(ts)
 
+    def start(t: Column) -> Column:
+        starts = [span.before(t) for span in lookbacks]
+        return F.least(*starts) if len(starts) > 1 else starts[0]
 
-def upcoming(events: DataFrame, ts: str, dates: Dates, *horizons: Interval | str) -> DataFrame:
-    """Events in `[t, t + horizon]`, both ends included; with several horizons the farthest end counts."""
-    spans, at, days = [Interval.of(h) for h in horizons], F.col(ts), date_array(dates)
+    def known(end: Column) -> Column:
+        return at <= end if closed == "right" else at < end
+
+    bounded = events.filter(known(last_date(dates)))
+    if not lookbacks:
+        return expand(bounded, dates, {"last": lambda t: t}, lambda w: known(w["last"]))
+    bounded = bounded.filter(at >= start(first_date(dates)))
+    bounds = {"first": start, "last": lambda t: t}
+    return expand(bounded, dates, bounds, lambda w: (at >= w["first"]) & known(w["last"]))
+
+
+def farthest(horizons: Sequence[Interval | str]) -> Shift:
+    """The end of the farthest of several horizons that begin together."""
+    spans = [Interval.of(h) for h in horizons]
 
     def end(t: Column) -> Column:
         ends = [span.after(t) for span in spans]
         return F.greatest(*ends) if len(ends) > 1 else ends[0]
 
-    bounded = events.filter((at >= F.array_min(days)) & (at <= end(F.array_max(days))))
-    return expand(bounded, dates, lambda t: (at >= t) & (at <= end(t)))
+    return end
+
+
+def upcoming(events: DataFrame, ts: str, dates: Dates, *horizons: Interval | str) -> DataFrame:
+    """Events in `[t, t + horizon]`, both ends included; with several horizons the farthest end counts."""
+    at, end = F.col(ts), farthest(horizons)
+    bounded = events.filter((at >= first_date(dates)) & (at <= end(last_date(dates))))
+    bounds = {"first": lambda t: t, "last": end}
+    return expand(bounded, dates, bounds, lambda w: (at >= w["first"]) & (at <= w["last"]))

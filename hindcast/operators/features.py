@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.intervals import Interval
 from hindcast.functions.timestamps import seconds_between
-from hindcast.operators.asof import KEYS, Dates, date_array, expand, known_before
+from hindcast.operators.asof import KEYS, Dates, known_before
 
 
 @dataclass(frozen=True)
@@ -42,51 +42,42 @@ class FeatureGroup:
         return f"{self.prefix}_{interval.label}_{aggregate.quantity}_{metric}"
 
 
-def _placed(events: DataFrame, dates: Dates, group: FeatureGroup, spans: Sequence[Interval]) -> DataFrame:
-    at, days = F.col("knowledge_date"), date_array(dates)
-    if any(span.unbounded for span in spans):
-        return known_before(events, "knowledge_date", dates, group.closed)
-
-    def first(t: Column) -> Column:
-        starts = [span.before(t) for span in spans]
-        return F.least(*starts) if len(starts) > 1 else starts[0]
-
-    def known(t: Column) -> Column:
-        return at <= t if group.closed == "right" else at < t
-
-    bounded = events.filter((at >= first(F.array_min(days))) & known(F.array_max(days)))
-    return expand(bounded, dates, lambda t: (at >= first(t)) & known(t))
-
-
-def feature_intervals(events: DataFrame, dates: Dates, group: FeatureGroup, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Every aggregate of the group over every interval, per `(entity_id, as_of_date)` with an event.
+def feature_intervals(
+    events: DataFrame, dates: Dates, *groups: FeatureGroup, tiebreak: Sequence[str] = ()
+) -> DataFrame:
+    """Every aggregate of the groups over every interval, per `(entity_id, as_of_date)` with an event.
 
-    'last' takes the latest event, then the greatest `tiebreak`; the intervals end together, so one latest
-    event serves them all.
+    Groups over the same events share one scan and one aggregation; they must agree on `closed`. 'last' takes
+    the latest event, then the greatest `tiebreak`; intervals end together, so one latest event serves all.
     """
-    spans = [Interval.of(i) for i in group.intervals]
+    if len({g.closed for g in groups}) != 1:
+        raise ValueError("groups in one call must close their intervals on the same side")
     at, t = F.col("knowledge_date"), F.col("as_of_date")
     plain = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
     aggs, outputs, lasts = [], [], set()
-    for span in spans:
-        inside = F.lit(True) if span.unbounded else at >= span.before(t)
-        for a in group.aggregates:
-            value = F.lit(1) if a.column is None else F.col(a.column)
-            for metric in a.metrics:
-                name = group.name(span, a, metric)
-                if metric == "last":
-                    lasts.add(a.column)
-                    recent = F.lit(True) if span.unbounded else F.col("_latest") >= span.before(t)
-                    outputs.append(F.when(recent, F.col(f"_last_{a.column}")).alias(name))
-                    continue
-                wanted = F.when(inside, value)
-                aggs.append((F.count(wanted) if metric == "count" else plain[metric](wanted)).alias(name))
-                outputs.append(F.col(name))
+    for group in groups:
+        for span in map(Interval.of, group.intervals):
+            inside = F.lit(True) if span.unbounded else at >= span.before(t)
+            for a in group.aggregates:
+                value = F.lit(1) if a.column is None else F.col(a.column)
+                for metric in a.metrics:
+                    name = group.name(span, a, metric)
+                    if metric == "last":
+                        lasts.add(a.column)
+                        recent = F.lit(True) if span.unbounded else F.col("_latest") >= span.before(t)
+                        outputs.append(F.when(recent, F.col(f"_last_{a.column}")).alias(name))
+                        continue
+                    wanted = value if span.unbounded else F.when(inside, value)
+                    aggs.append((F.count(wanted) if metric == "count" else plain[metric](wanted)).alias(name))
+                    outputs.append(F.col(name))
     for column in sorted(lasts):
         aggs.append(F.max_by(column, F.struct("knowledge_date", *tiebreak)).alias(f"_last_{column}"))
     if lasts:
         aggs.append(F.max(at).alias("_latest"))
-    placed = _placed(events.filter(F.col("entity_id").isNotNull()), dates, group, spans)
+    spans = {Interval.of(i) for g in groups for i in g.intervals}
+    longest = [] if any(s.unbounded for s in spans) else sorted(spans, key=lambda s: s.label)
+    linked = events.filter(F.col("entity_id").isNotNull())
+    placed = known_before(linked, "knowledge_date", dates, groups[0].closed, longest)
     return placed.groupBy(*KEYS).agg(*aggs).select(*KEYS, *outputs)
 
 
@@ -100,6 +91,13 @@ def fill_missing(rows: DataFrame, names: Sequence[str], value: float = 0) -> Dat
     return rows.withColumns(flags).fillna(value, list(names))
 
 
+def time_since_known(events: DataFrame, ts: str, name: str, dates: Dates) -> DataFrame:
+    """Seconds from the last event known at `t` to `t`, for every entity with one."""
+    rows = known_before(events.filter(F.col("entity_id").isNotNull()).select("entity_id", ts), ts, dates, "right")
+    last = rows.groupBy(*KEYS).agg(F.max(ts).alias("_last"))
+    return last.select(*KEYS, seconds_between(F.col("_last"), F.col("as_of_date")).alias(name))
+
+
 def feature_time_since_last(
     events: DataFrame, cohort: DataFrame, ts: str, name: str, dates: Dates | None = None
 ) -> DataFrame:
@@ -111,11 +109,9 @@ def feature_time_since_last(
     rows = events.filter(F.col("entity_id").isNotNull())
     members = cohort.select(*KEYS)
     if dates is not None:
-        last = known_before(rows, ts, dates, "right").groupBy(*KEYS).agg(F.max(ts).alias("_last"))
-        joined = members.join(last, KEYS)
-    else:
-        last = rows.groupBy("entity_id").agg(F.max(ts).alias("_last"))
-        joined = members.join(last, "entity_id").filter(F.col("_last") <= F.col("as_of_date"))
+        return members.join(time_since_known(events, ts, name, dates), KEYS)
+    last = rows.groupBy("entity_id").agg(F.max(ts).alias("_last"))
+    joined = members.join(last, "entity_id").filter(F.col("_last") <= F.col("as_of_date"))
     return joined.select(*KEYS, seconds_between(F.col("_last"), F.col("as_of_date")).alias(name))
 
 

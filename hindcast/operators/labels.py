@@ -62,25 +62,27 @@ def label_grid(
 
     Horizons share their start, so the first long stay from `t` on decides them all.
     """
-    spans = [Interval.of(t) for t in timespans]
     first = (
-        upcoming(_long_starts(stays, minimum), "start_ts", dates, *spans)
+        upcoming(_long_starts(stays, minimum), "start_ts", dates, *timespans)
         .groupBy(*KEYS)
         .agg(F.min("start_ts").alias("first_start"))
     )
+    return label_timespans(cohort.select(*KEYS).join(first, KEYS, "left"), timespans)
+
+
+def label_timespans(rows: DataFrame, timespans: Sequence[str]) -> DataFrame:
+    """One labelled row per timespan from rows with `first_start`, the next long stay's start if any."""
     answers = [
         F.struct(
             F.lit(text).alias("label_timespan"),
-            F.coalesce((F.col("first_start") <= span.after(F.col("as_of_date"))).cast("int"), F.lit(0)).alias("label"),
+            F.coalesce(
+                (F.col("first_start") <= Interval.of(text).after(F.col("as_of_date"))).cast("int"), F.lit(0)
+            ).alias("label"),
         )
-        for text, span in zip(timespans, spans)
+        for text in timespans
     ]
-    return (
-        cohort.select(*KEYS)
-        .join(first, KEYS, "left")
-        .select(*KEYS, F.explode(F.array(*answers)).alias("answer"))
-        .select(*KEYS, "answer.label_timespan", "answer.label")
-    )
+    placed = rows.withColumn("answer", F.explode(F.array(*answers)))
+    return placed.select(*KEYS, "answer.label_timespan", "answer.label")
 
 
 def label_positive_count(labels: DataFrame) -> DataFrame:

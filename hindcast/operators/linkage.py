@@ -64,7 +64,7 @@ def link_two_hop(
     df: DataFrame, index: DataFrame, on: str, index_key: str, crosswalk: DataFrame, source: str | None
 ) -> DataFrame:
     """Record -> name index by `on` -> crosswalk by text key (and tag, unless `source` is None)."""
-    names = index.filter(F.col(on).isNotNull()).select(on, F.col(index_key).alias("link_key")).distinct()
+    names = index.filter(F.col(on).isNotNull()).select(on, F.col(index_key).alias("link_key"))
     keys = crosswalk_keys(crosswalk, source, "text")
     owners = names.join(keys, "link_key").select(on, "entity_id").distinct()
     return df.join(owners, on, "left")

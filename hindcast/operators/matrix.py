@@ -10,24 +10,22 @@ from pyspark.sql import functions as F
 from hindcast.operators.asof import KEYS
 
 
-def matrix_build(cohort: DataFrame, labels: DataFrame, features: Sequence[DataFrame], spine: DataFrame) -> DataFrame:
-    """Cohort x labels x feature groups, one row per `(split_id, role, entity_id, as_of_date)`.
+def matrix_build(labels: DataFrame, features: Sequence[DataFrame], spine: DataFrame) -> DataFrame:
+    """Labelled cohort x feature groups, one row per `(split_id, role, entity_id, as_of_date)`.
 
     All inputs are keyed by `(entity_id, as_of_date)`, as their aggregations left them, so the joins need no
-    further shuffle. Split and role are looked up in the short spine without a join. Labels carry the
-    `label_timespan` the spine asks for.
+    further shuffle. Split and role are looked up in the short spine without a join; a row goes where the
+    spine asks for its date and `label_timespan`.
     """
-    rows = cohort.select(*KEYS)
+    rows = labels
     for group in features:
         rows = rows.join(group, KEYS, "left")
-    rows = rows.join(labels, KEYS, "left")
     places = spine.agg(
         F.collect_set(F.struct("split_id", "role", "as_of_date", "label_timespan"))
     ).scalar()
     wanted = F.filter(
         "_places",
-        lambda s: (s["as_of_date"] == F.col("as_of_date"))
-        & (F.col("label_timespan").isNull() | (s["label_timespan"] == F.col("label_timespan"))),
+        lambda s: (s["as_of_date"] == F.col("as_of_date")) & (s["label_timespan"] == F.col("label_timespan")),
     )
     placed = rows.withColumn("_places", places).withColumn("_place", F.explode(wanted))
     kept = [c for c in rows.columns if c != "label_timespan"]

@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.intervals import Interval
 from hindcast.functions.tristate import any_answer, matches_without, strongest, yes_no
-from hindcast.operators.asof import KEYS, Dates, date_array, expand
+from hindcast.operators.asof import KEYS, Dates, expand, first_date, last_date
 from hindcast.operators.cohorts import day
 
 
 def _log(events: DataFrame, name: str, ts: str, sign: Column, undated: Column | None = None) -> DataFrame:
-    return events.filter(F.col("entity_id").isNotNull()).select(
-        F.col("entity_id").cast("bigint").alias("entity_id"),
-        F.col(ts).cast("timestamp_ntz").alias("event_ts"),
-        F.lit(name).alias("signal"),
+    always = F.expr("false") if undated is None else F.coalesce(undated, F.lit(False))
+    return events.filter("entity_id is not null").select(
+        F.expr("cast(entity_id as bigint) as entity_id"),
+        F.expr(f"cast({ts} as timestamp_ntz) as event_ts"),
+        F.expr(f"'{name}' as signal"),
         sign.cast("int").alias("sign"),
-        (F.lit(False) if undated is None else F.coalesce(undated, F.lit(False))).alias("undated"),
+        always.alias("undated"),
     )
 
 
@@ -76,9 +77,10 @@ def signal_log(*logs: DataFrame) -> DataFrame:
 
 def _placed(log: DataFrame, dates: Dates, lookback: str) -> DataFrame:
     """Log rows on the dates whose `[t - lookback, t]` holds them."""
-    span, at, undated, days = Interval.of(lookback), F.col("event_ts"), F.col("undated"), date_array(dates)
-    bounded = log.filter(undated | ((at >= span.before(F.array_min(days))) & (at <= F.array_max(days))))
-    return expand(bounded, dates, lambda t: undated | ((at >= span.before(t)) & (at <= t)))
+    span, at, undated = Interval.of(lookback), F.col("event_ts"), F.col("undated")
+    bounded = log.filter(undated | ((at >= span.before(first_date(dates))) & (at <= last_date(dates))))
+    bounds = {"first": span.before, "last": lambda t: t}
+    return expand(bounded, dates, bounds, lambda w: undated | ((at >= w["first"]) & (at <= w["last"])))
 
 
 def signs_at(log: DataFrame, dates: Dates, lookback: str) -> DataFrame:

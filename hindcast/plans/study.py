@@ -1,4 +1,4 @@
-"""The study end to end: cohort, need, labels, features, matrices, models, evaluation."""
+"""The study end to end: cohort, need, labels, features, matrices."""
 
 from __future__ import annotations
 
@@ -8,27 +8,89 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators.asof import Dates
-from hindcast.operators.cohorts import cohort_last_stay_closed, cohort_with_signal
-from hindcast.operators.features import FeatureGroup, feature_intervals, feature_time_since_last, fill_missing
-from hindcast.operators.labels import label_grid, label_reevent_long
+from hindcast.functions.intervals import Interval
+from hindcast.functions.timestamps import lasts_longer
+from hindcast.operators.asof import KEYS, Dates, expand, farthest, first_date, last_date
+from hindcast.operators.features import FeatureGroup, feature_intervals, fill_missing, time_since_known
+from hindcast.operators.labels import label_timespans
 from hindcast.operators.matrix import matrix_build
-from hindcast.operators.signals import signs_at
 from hindcast.operators.spine import TemporalConfig, asof_spine
+from hindcast.presets import LONG_STAY
 
 
-def cohort_in_need(stays: DataFrame, log: DataFrame, dates: Dates, lookback: str) -> DataFrame:
-    """Entities free at `t` after their latest stay, with a need shown by any signal of the lookback."""
-    return cohort_with_signal(cohort_last_stay_closed(stays, dates, lookback), signs_at(log, dates, lookback))
+def cohort_facts(
+    stays: DataFrame, log: DataFrame, dates: Dates, lookback: str, horizons: Sequence[str], minimum: str = LONG_STAY
+) -> DataFrame:
+    """The cohort in need with the start of each member's next long stay, `first_start`.
 
+    Members are free at `t` after their latest stay and show a need in the lookback. Stays and signs travel as
+    rows of one log, each placed on the dates it matters to; a single aggregation by entity and date then
+    settles cohort, need and label, where joining the three would aggregate and shuffle each by itself.
+    """
+    span, end = Interval.of(lookback), farthest(horizons)
+    rows = (
+        stays.filter("entity_id is not null and start_ts is not null")
+        .select(
+            "entity_id",
+            F.col("start_ts").alias("event_ts"),
+            "end_ts",
+            lasts_longer(F.col("start_ts"), F.col("end_ts"), minimum).alias("is_long"),
+            F.lit(True).alias("is_stay"),
+            F.lit(None).cast("int").alias("sign"),
+            F.lit(False).alias("undated"),
+        )
+        .unionByName(
+            # only a sign of 1 can make a member; other rows need not be shuffled
+            log.filter("sign = 1").selectExpr(
+                "entity_id", "event_ts", "cast(null as timestamp_ntz) as end_ts", "false as is_long",
+                "false as is_stay", "sign", "undated",
+            )
+        )
+    )
+    at, t, undated = F.col("event_ts"), F.col("as_of_date"), F.col("undated")
+    near = (at >= span.before(first_date(dates))) & (at <= end(last_date(dates)))
+    bounds = {"first": span.before, "now": lambda d: d, "last": end}
+    placed = expand(
+        rows.filter(undated | near),
+        dates,
+        bounds,
+        lambda w: undated
+        | ((at >= w["first"]) & (at <= w["now"]))
+        | (F.col("is_long") & (at >= w["now"]) & (at <= w["last"])),
+    )
+    seen, ahead = F.col("is_stay") & (at <= t), F.col("is_long") & (at >= t)
+    return (
+        placed.groupBy(*KEYS)
+        .agg(
+            F.max(F.when(seen, at)).alias("latest"),
+            F.max(F.when(seen & (F.col("end_ts") < t), at)).alias("latest_closed"),
+            F.max("sign").alias("sign"),
+            F.min(F.when(ahead, at)).alias("first_start"),
+        )
+        .filter("latest = latest_closed and sign = 1")
+        .select(*KEYS, "first_start")
+    )
 
-def labelled_cohort(stays: DataFrame, log: DataFrame, dates: Dates, lookback: str, horizon: str) -> DataFrame:
+
+def labelled_cohort(
+    stays: DataFrame, log: DataFrame, dates: Dates, lookback: str, horizon: str, minimum: str = LONG_STAY
+) -> DataFrame:
     """The label query: long re-event within the horizon for the cohort in need."""
-    return label_reevent_long(stays, cohort_in_need(stays, log, dates, lookback), dates, horizon)
+    facts = cohort_facts(stays, log, dates, lookback, [horizon], minimum)
+    return facts.select(*KEYS, F.col("first_start").isNotNull().cast("int").alias("label"))
+
+
+def labelled_grid(
+    stays: DataFrame, log: DataFrame, dates: Dates, lookback: str, timespans: Sequence[str], minimum: str = LONG_STAY
+) -> DataFrame:
+    """The label query for every date and timespan in one job."""
+    return label_timespans(cohort_facts(stays, log, dates, lookback, timespans, minimum), timespans)
 
 
 @dataclass(frozen=True)
 class Study:
+    """`groups` are features over the stays."""
+
     temporal: TemporalConfig
     lookback: str
     groups: Sequence[FeatureGroup]
@@ -43,10 +105,11 @@ class Study:
     def matrices(self, stays: DataFrame, log: DataFrame, bounds: DataFrame) -> DataFrame:
         """All train and test matrices of the grid as one frame."""
         spine = self.spine(bounds)
-        cohort = cohort_in_need(stays, log, spine, self.lookback)
         timespans = sorted({self.temporal.training_label_timespan, self.temporal.test_label_timespan})
-        labels = label_grid(stays, cohort, spine, timespans)
-        events = stays.withColumn("knowledge_date", F.col("start_ts"))
-        features = [feature_intervals(events, spine, g, ["stay_id"]) for g in self.groups]
-        features.append(feature_time_since_last(stays, cohort, "start_ts", self.recency, spine))
-        return fill_missing(matrix_build(cohort, labels, features, spine), self.feature_names())
+        labels = labelled_grid(stays, log, spine, self.lookback, timespans)
+        events = stays.withColumnRenamed("start_ts", "knowledge_date")
+        features = [
+            feature_intervals(events, spine, *self.groups, tiebreak=["stay_id"]),
+            time_since_known(stays, "start_ts", self.recency, spine),
+        ]
+        return fill_missing(matrix_build(labels, features, spine), self.feature_names())

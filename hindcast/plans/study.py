@@ -28,30 +28,34 @@ def cohort_facts(
     settles cohort, need and label, where joining the three would aggregate and shuffle each by itself.
     """
     span, end = Interval.of(lookback), farthest(horizons)
+    at, t, undated = F.col("event_ts"), F.col("as_of_date"), F.col("undated")
+    earliest, latest = span.before(first_date(dates)), last_date(dates)
+    start = F.col("start_ts")
     rows = (
-        stays.filter("entity_id is not null and start_ts is not null")
+        stays.filter("entity_id is not null")
+        .filter((start >= earliest) & (start <= end(latest)))
         .select(
             "entity_id",
-            F.col("start_ts").alias("event_ts"),
+            start.alias("event_ts"),
             "end_ts",
-            lasts_longer(F.col("start_ts"), F.col("end_ts"), minimum).alias("is_long"),
+            lasts_longer(start, F.col("end_ts"), minimum).alias("is_long"),
             F.lit(True).alias("is_stay"),
             F.lit(None).cast("int").alias("sign"),
             F.lit(False).alias("undated"),
         )
         .unionByName(
             # only a sign of 1 can make a member; other rows need not be shuffled
-            log.filter("sign = 1").selectExpr(
+            log.filter("sign = 1")
+            .filter(undated | ((at >= earliest) & (at <= latest)))
+            .selectExpr(
                 "entity_id", "event_ts", "cast(null as timestamp_ntz) as end_ts", "false as is_long",
                 "false as is_stay", "sign", "undated",
             )
         )
     )
-    at, t, undated = F.col("event_ts"), F.col("as_of_date"), F.col("undated")
-    near = (at >= span.before(first_date(dates))) & (at <= end(last_date(dates)))
     bounds = {"first": span.before, "now": lambda d: d, "last": end}
     placed = expand(
-        rows.filter(undated | near),
+        rows,
         dates,
         bounds,
         lambda w: undated

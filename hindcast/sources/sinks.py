@@ -23,7 +23,7 @@ def through_storage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()
     """Write `df` to the shared folder and read it back: later jobs survive lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def materialize_feature(feature: DataFrame, path: str, value: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -41,40 +41,48 @@ def running_totals(
     """Add `before_<v>` (sum over the rows ranked ahead) and `total_<v>` per group, exactly.
 
     `order` lists (column, descending); the first column must be numeric and the order unique in a group.
-    A plain window would sort a whole group in one task. Here a group is cut into value ranges of the first
-    column; ranges are totalled, the short list of range totals is accumulated, and only the rows within one
-    range are sorted together. The range of a row depends on its value alone, so retries agree.
+    A plain window would sort a whole group in one task. Here a group is cut into ranges of the first column
+    and each range again into ranges of its own extent, so that values crowded beside an outlier still
+    spread. Ranges are totalled, the short lists of totals are accumulated level by level, and only the rows
+    of one inner range are sorted together. A row's range depends on values alone, so retries agree.
     """
     keys, (lead, lead_desc) = list(keys), order[0]
-    extent = df.groupBy(*keys).agg(
-        F.min(lead).cast("double").alias("_low"),
-        F.max(lead).cast("double").alias("_high"),
-        *[F.sum(v).alias(f"total_{v}") for v in values],
-    )
-    width = F.col("_high") - F.col("_low")
-    position = F.when(width > 0, (F.col(lead).cast("double") - F.col("_low")) / width * buckets)
-    ranged = df.join(extent, keys).withColumn(
-        "_range", F.coalesce(F.least(F.floor(position), F.lit(buckets - 1)), F.lit(-1)).cast("int")
-    )
-    per_range = ranged.groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
-    ahead = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_range").desc() if lead_desc else F.col("_range"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_range.select(
-        *keys, "_range", *[F.coalesce(F.sum(f"_sum_{v}").over(ahead), F.lit(0)).alias(f"_off_{v}") for v in values]
+    extra = [F.sum(v).alias(f"total_{v}") for v in values]
+    outer = _cut_into_ranges(df, keys, lead, "_outer", buckets, extra)
+    ranged = _cut_into_ranges(outer, [*keys, "_outer"], lead, "_inner", buckets)
+
+    def ahead(columns: Sequence[str], *by: Column) -> WindowSpec:
+        return Window.partitionBy(*columns).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+
+    def sum_ahead(v: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(v).over(window), F.lit(0))
+
+    inner_sums = ranged.groupBy(*keys, "_outer", "_inner").agg(*[F.sum(v).alias(v) for v in values])
+    outer_sums = inner_sums.groupBy(*keys, "_outer").agg(*[F.sum(v).alias(v) for v in values])
+    by_outer = ahead(keys, _ordered("_outer", lead_desc))
+    by_inner = ahead([*keys, "_outer"], _ordered("_inner", lead_desc))
+    outer_ahead = outer_sums.select(*keys, "_outer", *[sum_ahead(v, by_outer).alias(f"_ahead_{v}") for v in values])
+    offsets = inner_sums.join(outer_ahead, [*keys, "_outer"]).select(
+        *keys, "_outer", "_inner", *[(F.col(f"_ahead_{v}") + sum_ahead(v, by_inner)).alias(f"_off_{v}") for v in values]
     )
-    inside = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(*[_ordered(c, desc) for c, desc in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = ahead([*keys, "_outer", "_inner"], *[_ordered(c, desc) for c, desc in order])
+    return ranged.join(offsets, [*keys, "_outer", "_inner"]).select(
+        *df.columns,
+        *[f"total_{v}" for v in values],
+        *[(F.col(f"_off_{v}") + sum_ahead(v, inside)).alias(f"before_{v}") for v in values],
     )
-    joined = ranged.join(offsets, [*keys, "_range"])
-    before = [
-        (F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"before_{v}") for v in values
-    ]
-    return joined.select(*df.columns, *[f"total_{v}" for v in values], *before)
+
+
+def _cut_into_ranges(
+    df: DataFrame, keys: Sequence[str], column: str, out: str, buckets: int, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """Number each row by where `column` falls in its group's extent; NULLs get a range of their own."""
+    value = F.col(column).cast("double")
+    extent = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), *extra)
+    width = F.col("_high") - F.col("_low")
+    place = F.when(width > 0, F.floor((value - F.col("_low")) / width * buckets)).otherwise(0)
+    number = F.when(value.isNull(), -1).otherwise(F.least(place, F.lit(buckets - 1))).cast("int")
+    return df.join(extent, list(keys)).withColumn(out, number).drop("_low", "_high")
 
 
 def _ordered(name: str, descending: bool) -> Column:

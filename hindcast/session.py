@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Noting the Python call site of every column costs several JVM round trips per column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 LOCAL_SETTINGS = {

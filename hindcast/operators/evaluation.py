@@ -50,10 +50,18 @@ def evaluate(
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
     )
     ranked = running_totals(per_score, keys, [("score", True)], ["n", "p"])
+    before, after, rows = F.col("before_n"), F.col("before_n") + F.col("n"), F.col("total_n")
+    # A percent p cuts here when before < floor(rows * p / 100) <= after; solved for p once per score.
+    ranked = ranked.select(
+        "*",
+        after.alias("after_n"),
+        F.ceil((before + 1) * 100 / rows).alias("first_pct"),
+        F.ceil((after + 1) * 100 / rows).alias("next_pct"),
+    )
     straddling = F.filter(
         cuts.column(),
-        lambda c: (_size(c, F.col("total_n")) > F.col("before_n"))
-        & (_size(c, F.col("total_n")) <= F.col("before_n") + F.col("n")),
+        lambda c: ((c["top"] > before) & ((c["top"] <= F.col("after_n")) | (F.col("after_n") == rows)))
+        | ((c["pct"] >= F.col("first_pct")) & (c["pct"] < F.col("next_pct"))),
     )
     hits = ranked.withColumn("cut", F.explode(straddling)).select(
         *keys, "n", "p", "before_n", "before_p", "cut.parameter"

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -47,42 +47,44 @@ def running_totals(
     of one inner range are sorted together. A row's range depends on values alone, so retries agree.
     """
     keys, (lead, lead_desc) = list(keys), order[0]
-    extra = [F.sum(v).alias(f"total_{v}") for v in values]
-    outer = _cut_into_ranges(df, keys, lead, "_outer", buckets, extra)
-    ranged = _cut_into_ranges(outer, [*keys, "_outer"], lead, "_inner", buckets)
-
-    def ahead(columns: Sequence[str], *by: Column) -> WindowSpec:
-        return Window.partitionBy(*columns).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-
-    def sum_ahead(v: str, window: WindowSpec) -> Column:
-        return F.coalesce(F.sum(v).over(window), F.lit(0))
-
-    inner_sums = ranged.groupBy(*keys, "_outer", "_inner").agg(*[F.sum(v).alias(v) for v in values])
-    outer_sums = inner_sums.groupBy(*keys, "_outer").agg(*[F.sum(v).alias(v) for v in values])
-    by_outer = ahead(keys, _ordered("_outer", lead_desc))
-    by_inner = ahead([*keys, "_outer"], _ordered("_inner", lead_desc))
-    outer_ahead = outer_sums.select(*keys, "_outer", *[sum_ahead(v, by_outer).alias(f"_ahead_{v}") for v in values])
-    offsets = inner_sums.join(outer_ahead, [*keys, "_outer"]).select(
-        *keys, "_outer", "_inner", *[(F.col(f"_ahead_{v}") + sum_ahead(v, by_inner)).alias(f"_off_{v}") for v in values]
+    outer, inner = [*keys, "_outer"], [*keys, "_outer", "_inner"]
+
+    def sum_ahead(v: str, columns: Sequence[str], *by: Column) -> Column:
+        ahead = Window.partitionBy(*columns).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(v).over(ahead), F.lit(0))
+
+    def extent(rows: DataFrame, by: Sequence[str], sums: str) -> DataFrame:
+        value = F.col(lead).cast("double")
+        ends = [F.min(value).alias("_low"), F.max(value).alias("_high")]
+        return rows.groupBy(*by).agg(*ends, *[F.sum(v).alias(f"{sums}{v}") for v in values])
+
+    # Every branch over `df` uses its keys, lead and values, so Spark computes their exchange once.
+    by_outer, by_inner = _ordered("_outer", lead_desc), _ordered("_inner", lead_desc)
+    ranged = df.join(extent(df, keys, "total_"), keys).withColumn("_outer", _range_number(lead, buckets))
+    ranged = ranged.drop("_low", "_high")
+    outer_ranges = extent(ranged, outer, "_sum_").select(
+        *outer, "_low", "_high", *[sum_ahead(f"_sum_{v}", keys, by_outer).alias(f"_ahead_{v}") for v in values]
     )
-    inside = ahead([*keys, "_outer", "_inner"], *[_ordered(c, desc) for c, desc in order])
-    return ranged.join(offsets, [*keys, "_outer", "_inner"]).select(
+    ranged = ranged.join(outer_ranges, outer).withColumn("_inner", _range_number(lead, buckets))
+    inner_ranges = ranged.groupBy(*inner).agg(
+        *[F.sum(v).alias(f"_sum_{v}") for v in values], *[F.max(f"_ahead_{v}").alias(f"_ahead_{v}") for v in values]
+    )
+    offsets = inner_ranges.select(
+        *inner, *[(F.col(f"_ahead_{v}") + sum_ahead(f"_sum_{v}", outer, by_inner)).alias(f"_off_{v}") for v in values]
+    )
+    rank = [_ordered(c, desc) for c, desc in order]
+    return ranged.join(offsets, inner).select(
         *df.columns,
         *[f"total_{v}" for v in values],
-        *[(F.col(f"_off_{v}") + sum_ahead(v, inside)).alias(f"before_{v}") for v in values],
+        *[(F.col(f"_off_{v}") + sum_ahead(v, inner, *rank)).alias(f"before_{v}") for v in values],
     )
 
 
-def _cut_into_ranges(
-    df: DataFrame, keys: Sequence[str], column: str, out: str, buckets: int, extra: Sequence[Column] = ()
-) -> DataFrame:
-    """Number each row by where `column` falls in its group's extent; NULLs get a range of their own."""
-    value = F.col(column).cast("double")
-    extent = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), *extra)
-    width = F.col("_high") - F.col("_low")
-    place = F.when(width > 0, F.floor((value - F.col("_low")) / width * buckets)).otherwise(0)
-    number = F.when(value.isNull(), -1).otherwise(F.least(place, F.lit(buckets - 1))).cast("int")
-    return df.join(extent, list(keys)).withColumn(out, number).drop("_low", "_high")
+def _range_number(column: str, buckets: int) -> Column:
+    """Where `column` falls between `_low` and `_high`; NULLs get a range of their own."""
+    value, low, width = F.col(column).cast("double"), F.col("_low"), F.col("_high") - F.col("_low")
+    place = F.when(width > 0, F.floor((value - low) / width * buckets)).otherwise(0)
+    return F.when(value.isNull(), -1).otherwise(F.least(place, F.lit(buckets - 1))).cast("int")
 
 
 def _ordered(name: str, descending: bool) -> Column:

@@ -111,6 +111,19 @@ VIEWS = {
     "outcomes": """
         select o_custkey as patid, o_totalprice as score_a,
                case when o_orderstatus = 'P' then null else cast(floor(o_totalprice / 100) as bigint) end as score_b from {orders}""",
+    "diagnoses": """
+        select user_id as patid, ts - interval '24' year as dx_ts, event_type as dx_code, props as description from {events}""",
+    "discharges": """
+        select o_custkey as patid, o_orderdate as admit_ts, o_orderstatus as reason,
+               o_orderdate + cast(floor(o_totalprice / 10000) as int) * interval '1' day as discharged_ts from {orders}""",
+    "income": "select o_custkey as patid, o_totalprice as income, o_orderdate as effect_ts from {orders}",
+    "vocational": "select o_custkey as patid, o_orderpriority as status, o_orderdate as status_ts from {orders}",
+    "case_data": """
+        select o_custkey as person_number, o_orderkey as case_no, o_orderstatus as case_status, o_orderdate as opened_ts
+        from {orders}""",
+    "arrests": """
+        select concat('x', cast(l_suppkey as string)) as name_identifier, l_returnflag as charge, l_linestatus as agency,
+               l_shipdate as arrested_ts from {lineitem}""",
     "services": "select o_custkey as patid, o_orderpriority as service_desc from {orders}",
     "people": """
         select o_custkey as person_number, c_acctbal as age, c_mktsegment as sex, n_name as race,

@@ -74,7 +74,10 @@ def _attachments(t):
     )
     screened = t.stays.filter("screen_flag is not null").groupBy("entity_id").agg(F.max("screen_flag").alias("screen_sign"))
     matched = t.encounters.filter(F.col("program").rlike(ENCOUNTER_PATTERN))
-    one = lambda df, key, name: df.select(F.col(key).cast("bigint").alias(key)).distinct().withColumn(name, F.lit(1))
+
+    def one(df, key, name):
+        return df.select(F.col(key).cast("bigint").alias(key)).distinct().withColumn(name, F.lit(1))
+
     return {
         "inmate": P.Attachment(NUMBER, one(t.stays, "entity_id", "inmate"), "entity_id"),
         "screen": P.Attachment(NUMBER, screened, "entity_id"),
@@ -258,15 +261,14 @@ QUERIES = {
     "profile_patient": Query(
         lambda t: P.profile_patient(
             S.signal_issue_calls(t.calls, "patid", "issue", CALL_ISSUES).drop("has_call"),
-            X.feature_distinct_dates(_admitted(t), "patid", "admit_ts"),
+            X.feature_distinct_dates(t.diagnoses, "patid", "dx_ts"),
             X.feature_most_common(t.insurance, "patid", "payor"),
             X.feature_score_extrema(t.outcomes, "patid", ["score_a", "score_b"]),
             L.distinct_entities(t.crosswalk, PATIENT),
             L.distinct_entities(t.crosswalk),
             "patid",
         ),
-        """with ac as (select patid, count(distinct admit_ts) as n_dates from admissions
-                       where program_description like '%M%' group by patid),
+        """with ac as (select patid, count(distinct dx_ts) as n_dates from diagnoses group by patid),
                 mhc as (select patid, count(*) as n_calls from calls where issue in ('ANXIETY', 'DEPRESSION') group by patid),
                 pays as (select distinct on (patid) patid, payor
                          from (select patid, payor, count(*) as n from insurance group by all) order by patid, n desc, payor),
@@ -279,7 +281,7 @@ QUERIES = {
            from ac full join mhc on mhc.patid = ac.patid full join pays on pays.patid = ac.patid
            full join marks on marks.patid = ac.patid full join ids on ids.k = ac.patid
            full join everyone on everyone.entity_id = ids.entity_id""",
-        ("crosswalk", "admissions", "calls", "insurance", "outcomes"),
+        ("crosswalk", "diagnoses", "calls", "insurance", "outcomes"),
     ),
     "profile_by_source": Query(
         lambda t: P.profile_by_source(t.crosswalk, list(_attachments(t).values())),
@@ -316,7 +318,3 @@ QUERIES = {
         PROFILE_VIEWS,
     ),
 }
-
-
-def _admitted(t):
-    return t.admissions.filter(F.col("program_description").like("%M%"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from fixtures.adapters import SCHEMAS
 from fixtures.catalog import Query
 from hindcast.operators import linkage as L
 from hindcast.presets import MISSING_END_TIME, MISSING_START_TIME
 from hindcast.sources.tables import load_source
-from fixtures.adapters import SCHEMAS
 
 NUMBER, PATIENT, HASH = "PERSON.NUMBER", "PATIENT.ID", "INCIDENT.HASH"
 
@@ -26,7 +26,41 @@ def _linked_calls(t):
     return L.link_entity(t.calls, t.crosswalk, PATIENT, "patid")
 
 
+def _extract(view: str, source: str, key: str, columns: list[str], kind: str = "number") -> Query:
+    """A source table beside its crosswalk slice."""
+    listed = ", ".join(f"s.{c}" for c in [key, *columns])
+    id_key = {"number": "try_cast(source_key as bigint)", "text": "source_key", "hash": "hash_key"}[kind]
+    own_key = f"try_cast(s.{key} as bigint)" if kind == "number" else f"s.{key}"
+    return Query(
+        lambda t: L.linked_extract(getattr(t, view), t.crosswalk, source, key, columns, kind),
+        f"""select {listed}, ids.entity_id from {view} s full join
+              (select entity_id, {id_key} as k from crosswalk where source = '{source}') ids on ids.k = {own_key}""",
+        ("crosswalk", view),
+    )
+
+
+EXTRACTS = {
+    "linked_extract": _extract("admissions", PATIENT, "patid", ["admit_ts", "program_description"]),
+    "linked_extract_encounters": _extract("encounters", PATIENT, "patient_no", ["encounter_ts", "program"]),
+    "linked_extract_calls": _extract("calls", PATIENT, "patid", ["call_ts", "issue", "risk_txt"]),
+    "linked_extract_demographics": _extract("demographics", PATIENT, "patid", ["sex", "race"]),
+    "linked_extract_diagnoses": _extract("diagnoses", PATIENT, "patid", ["dx_ts", "dx_code", "description"]),
+    "linked_extract_discharges": _extract("discharges", PATIENT, "patid", ["admit_ts", "discharged_ts", "reason"]),
+    "linked_extract_income": _extract("income", PATIENT, "patid", ["income", "effect_ts"]),
+    "linked_extract_insurance": _extract("insurance", PATIENT, "patid", ["payor", "effect_ts"]),
+    "linked_extract_outcomes": _extract("outcomes", PATIENT, "patid", ["score_a", "score_b"]),
+    "linked_extract_services": _extract("services", PATIENT, "patid", ["service_desc"]),
+    "linked_extract_vocational": _extract("vocational", PATIENT, "patid", ["status", "status_ts"]),
+    "linked_extract_bail": _extract("bail", NUMBER, "person_number", ["bail_no", "arranged_ts"]),
+    "linked_extract_cases": _extract("case_data", NUMBER, "person_number", ["case_no", "case_status", "opened_ts"]),
+    "linked_extract_hashed": _extract("raw_incidents", HASH, "hash_key", ["id"], "hash"),
+    "linked_extract_arrests": _extract(
+        "arrests", "LEGACY.CODE", "name_identifier", ["charge", "agency", "arrested_ts"], "text"
+    ),
+}
+
 QUERIES = {
+    **EXTRACTS,
     "load_source": Query(
         lambda t: load_source(t.spark, "orders", t.sf_dir, schema=SCHEMAS["orders"]),
         "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders",
@@ -121,80 +155,6 @@ QUERIES = {
            group by fact_count""",
         ("charges", "stays"),
     ),
-    "linked_extract": Query(
-        lambda t: L.linked_extract(
-            t.admissions, t.crosswalk, PATIENT, "patid", ["patid", "admit_ts", "program_description"]
-        ),
-        """select patid, admit_ts, program_description, ids.entity_id
-           from admissions full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PATIENT.ID') ids
-             on ids.k = patid""",
-        ("crosswalk", "admissions"),
-    ),
-    "linked_extract_encounters": Query(
-        lambda t: L.linked_extract(t.encounters, t.crosswalk, PATIENT, "patient_no", ["encounter_ts", "program"]),
-        """select patient_no, encounter_ts, program, ids.entity_id
-           from encounters full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PATIENT.ID') ids
-             on ids.k = cast(patient_no as bigint)""",
-        ("crosswalk", "encounters"),
-    ),
-    "linked_extract_calls": Query(
-        lambda t: L.linked_extract(t.calls, t.crosswalk, PATIENT, "patid", ["call_ts", "issue", "risk_txt"]),
-        """select patid, call_ts, issue, risk_txt, ids.entity_id
-           from calls full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PATIENT.ID') ids
-             on ids.k = patid""",
-        ("crosswalk", "calls"),
-    ),
-    "linked_extract_insurance": Query(
-        lambda t: L.linked_extract(t.insurance, t.crosswalk, PATIENT, "patid", ["payor", "effect_ts"]),
-        """select patid, payor, effect_ts, ids.entity_id
-           from insurance full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PATIENT.ID') ids
-             on ids.k = patid""",
-        ("crosswalk", "insurance"),
-    ),
-    "linked_extract_outcomes": Query(
-        lambda t: L.linked_extract(t.outcomes, t.crosswalk, PATIENT, "patid", ["score_a", "score_b"]),
-        """select patid, score_a, score_b, ids.entity_id
-           from outcomes full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PATIENT.ID') ids
-             on ids.k = patid""",
-        ("crosswalk", "outcomes"),
-    ),
-    "linked_extract_services": Query(
-        lambda t: L.linked_extract(t.services, t.crosswalk, PATIENT, "patid", ["service_desc"]),
-        """select patid, service_desc, ids.entity_id
-           from services full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PATIENT.ID') ids
-             on ids.k = patid""",
-        ("crosswalk", "services"),
-    ),
-    "linked_extract_demographics": Query(
-        lambda t: L.linked_extract(t.demographics, t.crosswalk, PATIENT, "patid", ["sex", "race"]),
-        """select patid, sex, race, ids.entity_id
-           from demographics full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PATIENT.ID') ids
-             on ids.k = patid""",
-        ("crosswalk", "demographics"),
-    ),
-    "linked_extract_bail": Query(
-        lambda t: L.linked_extract(t.bail, t.crosswalk, NUMBER, "person_number", ["bail_no", "arranged_ts"]),
-        """select person_number, bail_no, arranged_ts, ids.entity_id
-           from bail full join
-             (select entity_id, cast(source_key as bigint) as k from crosswalk where source = 'PERSON.NUMBER') ids
-             on ids.k = person_number""",
-        ("crosswalk", "bail"),
-    ),
-    "linked_extract_hashed": Query(
-        lambda t: L.linked_extract(t.raw_incidents, t.crosswalk, HASH, "hash_key", ["id"], "hash").orderBy("id"),
-        """select r.hash_key, r.id, ids.entity_id
-           from raw_incidents r full join
-             (select entity_id, hash_key from crosswalk where source = 'INCIDENT.HASH') ids
-             on ids.hash_key = r.hash_key""",
-        ("crosswalk", "raw_incidents"),
-    ),
     "fact_dimension_extract": Query(
         lambda t: L.fact_dimension_extract(
             t.charges, t.stays, "stay_id", ["charge_no", "charge_type", "status"], ["entity_id", "start_ts"]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from fixtures import need as N
 from fixtures.catalog import DATES, LOOKBACK, SPINE, Query
 from fixtures.cohort_queries import COHORT, T0, T1, T2
+from fixtures.linkage_queries import PATIENT
 from hindcast.operators import cohorts as C
 from hindcast.operators import signals as S
-from hindcast.operators.linkage import distinct_entities
+from hindcast.operators.linkage import distinct_entities, link_entity
 from hindcast.presets import CALL_ISSUES
 
 PERIODS = {"sign_history": (T0, T1), "sign_outcome": (T1, T2)}
@@ -30,6 +31,10 @@ def _one(log, signal: str) -> Query:
     )
 
 
+def _clients(t):
+    return link_entity(t.admissions, t.crosswalk, PATIENT, "patid")
+
+
 def _wide(t):
     cohort = C.cohort_last_stay_closed(t.stays, DATES, LOOKBACK)
     return S.signals_wide(N.need_log(t), N.SIGNALS, DATES, LOOKBACK, cohort)
@@ -103,10 +108,3 @@ QUERIES = {
         N.LOG_VIEWS,
     ),
 }
-
-
-def _clients(t):
-    from fixtures.linkage_queries import PATIENT
-    from hindcast.operators.linkage import link_entity
-
-    return link_entity(t.admissions, t.crosswalk, PATIENT, "patid")

@@ -8,7 +8,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.functions.intervals import Interval
 from hindcast.functions.timestamps import lasts_longer, seconds_between
 from hindcast.operators.asof import KEYS, Dates, known_within
 from hindcast.presets import LONG_STAY

@@ -30,14 +30,24 @@ class Attachment:
         return [c for c in self.frame.columns if c != self.key]
 
 
-def inventory_by_person(cases: DataFrame, inventory: DataFrame, on: str, person: str, answers: Sequence[str], reversed_answers: Sequence[str], out: str) -> DataFrame:
+def inventory_by_person(
+    cases: DataFrame,
+    inventory: DataFrame,
+    on: str,
+    person: str,
+    answers: Sequence[str],
+    reversed_answers: Sequence[str],
+    out: str,
+) -> DataFrame:
     """Strongest questionnaire sign per person number, through the person's cases."""
     sign = inventory.select(on, any_answer(answers, reversed_answers).alias(out)).filter(F.col(out).isNotNull())
     per_case = sign.groupBy(on).agg(F.max(out).alias(out))
     return cases.select(on, person).join(per_case, on).groupBy(person).agg(F.max(out).alias(out))
 
 
-def flagged_by_person(index: DataFrame, records: DataFrame, on: str, person: str, flag: str, out: str, dedupe: bool = False) -> DataFrame:
+def flagged_by_person(
+    index: DataFrame, records: DataFrame, on: str, person: str, flag: str, out: str, dedupe: bool = False
+) -> DataFrame:
     """One row per answered record of a person number, 1 for 'Y' and 0 for 'N'; `dedupe` keeps the strongest."""
     answered = records.filter(F.col(flag).isin("Y", "N")).select(on, (F.col(flag) == "Y").cast("int").alias(out))
     number = F.col(person).try_cast("bigint").alias(person)
@@ -45,7 +55,17 @@ def flagged_by_person(index: DataFrame, records: DataFrame, on: str, person: str
     return rows.groupBy(person).agg(F.max(out).alias(out)) if dedupe else rows
 
 
-def matched_by_hash(raw: DataFrame, cleaned: DataFrame, on: str, hash_col: str, texts: Sequence[str], pattern: str, exclusion: str, out: str, dedupe: bool = False) -> DataFrame:
+def matched_by_hash(
+    raw: DataFrame,
+    cleaned: DataFrame,
+    on: str,
+    hash_col: str,
+    texts: Sequence[str],
+    pattern: str,
+    exclusion: str,
+    out: str,
+    dedupe: bool = False,
+) -> DataFrame:
     """One row per matching record of a hashed id; `dedupe` keeps one per id."""
     hits = cleaned.filter(matches_without(texts, pattern, exclusion)).select(on)
     rows = raw.select(on, hash_col).join(hits, on).select(hash_col, F.lit(1).alias(out))
@@ -80,7 +100,11 @@ def label_composite_target(profile: DataFrame, repeated: str, signs: Sequence[st
 
 
 def profile_with_target(
-    crosswalk: DataFrame, attachments: Sequence[Attachment], repeated: str, signs: Sequence[str], filled: dict[str, tuple[str, str]]
+    crosswalk: DataFrame,
+    attachments: Sequence[Attachment],
+    repeated: str,
+    signs: Sequence[str],
+    filled: dict[str, tuple[str, str]],
 ) -> DataFrame:
     """Profile by source with categories filled from a second source and the composite target.
 
@@ -92,8 +116,14 @@ def profile_with_target(
 
 
 def profile_patient(
-    calls: DataFrame, admissions: DataFrame, payors: DataFrame, scores: DataFrame,
-    ids: DataFrame, universe: DataFrame, key: str, coalesce_key: bool = False,
+    calls: DataFrame,
+    admissions: DataFrame,
+    payors: DataFrame,
+    scores: DataFrame,
+    ids: DataFrame,
+    universe: DataFrame,
+    key: str,
+    coalesce_key: bool = False,
 ) -> DataFrame:
     """Call counts, admissions, payor, scores, ids and universe in one full-outer profile.
 

@@ -177,6 +177,23 @@ def test_sinks_round_trip(spark, frame, tmp_path):
     assert sorted(os.listdir(path))[-1] == "model_id=2"
 
 
+class _Session:
+    """As much of a session as `shared_folder` looks at."""
+
+    def __init__(self, master, folder=None):
+        self.conf, self.sparkContext, self.master, self.folder = self, self, master, folder
+
+    def get(self, key, default):
+        return self.folder if key == "spark.checkpoint.dir" and self.folder else default
+
+
+def test_the_cluster_names_the_shared_folder():
+    assert sinks.shared_folder(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        sinks.shared_folder(_Session("yarn"))
+    assert os.path.isdir(sinks.shared_folder(_Session("local[4]")))
+
+
 def test_sources(spark, frame, tmp_path):
     df = frame("a bigint, b string", (1, "x"))
     for fmt in ("parquet", "orc", "json"):

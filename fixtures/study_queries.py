@@ -126,11 +126,10 @@ def _evaluation_sql(keys: str, cuts: str, metrics: tuple[str, ...]) -> str:
         base = "k" if metric == "precision@" else "total_p"
         parts.append(f"""
           select {keys}, '{metric}' as metric, parameter, k,
-                 round((before_p + least(p, m)) / nullif({base}, 0), 9) as best_value,
-                 round((before_p + greatest(0, m - (n - p))) / nullif({base}, 0), 9) as worst_value,
-                 round((before_p + m * p / n) / nullif({base}, 0), 9) as stochastic_value,
-                 round(sqrt(m * (p / n) * (1 - p / n) * (n - m) / greatest(n - 1, 1)) / nullif({base}, 0), 9)
-                     as standard_deviation
+                 (before_p + least(p, m)) / nullif({base}, 0) as best_value,
+                 (before_p + greatest(0, m - (n - p))) / nullif({base}, 0) as worst_value,
+                 (before_p + m * p / n) / nullif({base}, 0) as stochastic_value,
+                 sqrt(m * (p / n) * (1 - p / n) * (n - m) / greatest(n - 1, 1)) / nullif({base}, 0) as standard_deviation
           from cut""")
     return f"""
         scored as (select {keys}, score, count(*) as n, cast(sum(label) as bigint) as p from predictions
@@ -163,7 +162,10 @@ def _rounded(df):
 def _evaluated(cuts, metrics, keys="model_id, as_of_date", abs_or_pct=ABS):
     return Query(
         lambda t: _rounded(E.evaluate(t.predictions, keys.split(", "), cuts, metrics)),
-        f"with {_evaluation_sql(keys, abs_or_pct, metrics)} select * from results",
+        f"""with {_evaluation_sql(keys, abs_or_pct, metrics)}
+            select {keys}, metric, parameter, k, round(best_value, 9) as best_value, round(worst_value, 9) as worst_value,
+                   round(stochastic_value, 9) as stochastic_value, round(standard_deviation, 9) as standard_deviation
+            from results""",
         ("predictions",),
     )
 
@@ -322,7 +324,7 @@ QUERIES = {
         ),
         f"""with {_evaluation_sql("model_id, as_of_date", ABS, ("precision@",))},
             base as (select model_id, as_of_date, avg(label) as rate from predictions group by all)
-            select model_id, as_of_date, stochastic_value as top_k, round(rate, 9) as base_rate,
+            select model_id, as_of_date, round(stochastic_value, 9) as top_k, round(rate, 9) as base_rate,
                    round(stochastic_value - rate, 9) as gain
             from results join base using (model_id, as_of_date) where parameter = '100_abs'""",
         ("predictions",),

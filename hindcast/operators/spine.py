@@ -64,9 +64,12 @@ def asof_spine(bounds: DataFrame, config: TemporalConfig) -> DataFrame:
     first_train = F.greatest(Interval.of(config.max_training_history).before(last_train), start)
     train = _back(last_train, first_train, Interval.of(config.training_frequency))
     test = _onward(split, duration.after(split), Interval.of(config.test_frequency))
+
+    def part(role: str, days: Column, timespan: str) -> Column:
+        return F.struct(F.lit(role).alias("role"), days.alias("days"), F.lit(timespan).alias("label_timespan"))
+
     roles = F.array(
-        F.struct(F.lit("train").alias("role"), train.alias("days"), F.lit(config.training_label_timespan).alias("label_timespan")),
-        F.struct(F.lit("test").alias("role"), test.alias("days"), F.lit(config.test_label_timespan).alias("label_timespan")),
+        part("train", train, config.training_label_timespan), part("test", test, config.test_label_timespan)
     )
     return (
         splits.select((F.col("position") + 1).alias("split_id"), F.explode(roles).alias("part"))

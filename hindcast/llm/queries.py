@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import decontamination, near_dedup, packing, substring_dedup
 from .text import read_table
 
 
@@ -20,8 +20,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, end_id=0)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontamination.contaminated(docs, benchmark)
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=5, similar=0.8)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_windows(read_table(spark, sf_dir, "documents"), size=35)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_near_dedup": op3_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}

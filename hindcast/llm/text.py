@@ -166,15 +166,51 @@ class Words:
 
     def windows(self, hashes: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of `size` words inside one text, and a 64-bit hash of each window."""
-        n = len(hashes) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        text = self.texts
+        at = np.flatnonzero(text[: max(len(text) - size + 1, 0)] == text[size - 1 :])
+        return at, rolling(hashes, size, seed)[at]
+
+    def whole(self, hashes: np.ndarray, seed: int) -> np.ndarray:
+        """A 64-bit hash of the word sequence of each text."""
         up, down = _powers(seed + 1000).reach(len(hashes) + 1)
         total = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(hashes * up[:-1], out=total[1:])
-        text = self.texts
-        at = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
-        return at, mix((total[at + size] - total[at]) * down[at])
+        return mix((total[self.first[1:]] - total[self.first[:-1]]) * down[self.first[:-1]] + self.counts.astype(np.uint64))
+
+
+def rolling(hashes: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of hashes[i : i + size] for every i, whatever texts they belong to."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(seed + 1000).reach(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=total[1:])
+    return mix((total[size:] - total[:n]) * down[:n])
+
+
+def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, from batches sorted by them; runs may go over batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = last is not None and tuple(c[0] for c in columns) != last
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        start = 0
+        for at in np.flatnonzero(new).tolist():
+            if at > start:
+                held.append(batch.slice(start, at - start))
+            yield pa.Table.from_batches(held)
+            held, start = [], at
+        held.append(batch.slice(start))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -46,7 +46,7 @@ class _Tokens:
     def __init__(self, texts: pa.Array, least: int):
         self.words = Words(pc.utf8_lower(texts), GAPS)
         self.hashes = self.words.hashes(1)
-        self.at, self.seeds = self.words.windows(self.hashes, least, 5)
+        self.at, self.seeds = self.words.windows(self.hashes, least)
 
     def of(self, i: int) -> tuple[int, int]:
         return int(self.words.first[i]), int(self.words.first[i + 1])

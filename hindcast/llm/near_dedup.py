@@ -7,8 +7,9 @@ most (mean shingles of a text) / share of them, whatever N is.
 
 1. Frequent shingles. A shingle in `share` of all texts is in half that share of the texts of some part at least; parts
    report such shingles, the few survivors are counted exactly over all texts.
-2. Samples. 64 consistent weighted samples per text (Ioffe 2010). Heavy texts are sampled over a hashed 1 / 2^level of their
-   shingles; a text whose partners may be one level up has samples on both levels. Equal texts are one from here on.
+2. Samples. 64 consistent weighted samples per text (Ioffe 2010). Heavy texts are thinned first: on level l > 0 a shingle
+   of weight w stays if its hash, as a number from 0 to 1, is under w / 2^(l + 1), and then weighs at least 2^(l + 1). A text
+   whose partners may be one level up has samples on both levels. Equal texts are one from here on.
 3. Bands of four samples. Texts that share a band and agree in at least `agree` of the samples are linked in a
    candidate graph; per band only one link per text leaves the task. Its connected components are the candidate groups.
 4. Inside a candidate group, pairs with enough agreement that are not yet in one class are verified by their weighted
@@ -93,8 +94,8 @@ class Texts:
         hashes = found.hashes(1)
         n = found.counts
         # A text of fewer words counts as one shingle: all its words.
-        own = found.whole(hashes, 7)
-        at, shingles = found.windows(hashes, words, 9)
+        own = found.whole(hashes)
+        at, shingles = found.windows(hashes, words)
         per = np.maximum(n - words + 1, 0)
         ends = np.concatenate([[0], np.cumsum(per)]).tolist()
         parts, counts, sizes = [], [], []
@@ -109,7 +110,7 @@ class Texts:
         self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.keys = own, found.whole(found.hashes(2), 8)
+        self.keys = own, found.whole(found.hashes(2))
 
 
 def _report(batches: Iterable[pa.RecordBatch], words: int, share: float) -> Iterator[pa.RecordBatch]:
@@ -208,30 +209,34 @@ def levels_of(weight: float, similar: float) -> list[int]:
     return list(range(level(weight), level(weight / similar * (1 + 1e-9)) + 1))
 
 
+def thinned(hashes: np.ndarray, weights: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shingles that stay on a level, and their weights there. The expected total stays the same."""
+    if not level:
+        return np.arange(len(hashes)), weights
+    point = (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)) * 2.0**-53
+    unit = 2.0 ** (level + 1)
+    places = np.flatnonzero(point * unit < weights)
+    return places, np.maximum(weights[places], unit)
+
+
 class Sampled:
     """Weights and samples of the texts of a batch: one entry per text and level."""
 
     def __init__(self, texts: Texts, frequent: Frequent, similar: float):
         weights = frequent.weigh(texts.hashes, texts.counts)
-        self.total = np.concatenate([[0.0], np.cumsum(weights)])[texts.edges]
-        self.total = np.diff(self.total)
-        self.weights = weights
+        self.total = np.diff(np.concatenate([[0.0], np.cumsum(weights)])[texts.edges])
         self.rows: list[tuple[int, int]] = []
         parts = []
-        spread = mix(texts.hashes ^ np.uint64(0x5851F42D4C957F2D))
         for i, (a, b) in enumerate(zip(texts.edges[:-1].tolist(), texts.edges[1:].tolist(), strict=True)):
-            if a == b:
-                continue
-            for level in levels_of(float(self.total[i]), similar):
-                kept = np.arange(a, b)
-                if level:
-                    kept = kept[(spread[a:b] & np.uint64((1 << level) - 1)) == 0]
-                if len(kept):
+            for level in levels_of(float(self.total[i]), similar) if a < b else ():
+                places, own = thinned(texts.hashes[a:b], weights[a:b], level)
+                if len(places):
                     self.rows.append((i, level))
-                    parts.append(kept)
-        places = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        self.samples = consistent_samples(texts.hashes[places], weights[places], edges)
+                    parts.append((texts.hashes[a:b][places], own))
+        self.samples = np.zeros((0, SAMPLES), np.uint32)
+        if parts:
+            edges = np.concatenate([[0], np.cumsum([len(h) for h, _ in parts])]).astype(np.int64)
+            self.samples = consistent_samples(*(np.concatenate(x) for x in zip(*parts, strict=True)), edges)
 
     def bands(self) -> np.ndarray:
         levels = np.array([level for _, level in self.rows], np.uint64)
@@ -349,11 +354,9 @@ class _Levels:
             out = np.zeros((n, SAMPLES), np.uint32)
             kept, rows = [], []
             for i in range(n):
-                level = int(self.level[i]) + up
-                spread = mix(hashes[i] ^ np.uint64(0x5851F42D4C957F2D))
-                part = np.flatnonzero((spread & np.uint64((1 << level) - 1)) == 0)
-                if len(part):
-                    kept.append((hashes[i][part], weights[i][part]))
+                places, own = thinned(hashes[i], weights[i], int(self.level[i]) + up)
+                if len(places):
+                    kept.append((hashes[i][places], own))
                     rows.append(i)
             if rows:
                 edges = np.concatenate([[0], np.cumsum([len(h) for h, _ in kept])]).astype(np.int64)
@@ -411,3 +414,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: float = 0.8, share
     named = through_storage(named, "classes")
     rows = entries.where("entry = 0").select("doc_id", "key1", "key2").join(named, ["key1", "key2"])
     return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs`, with all their columns, but those that are near duplicates of a row with a smaller id.
+
+    Of rows that share an id and a class all or none stay.
+    """
+    extra = near_duplicates(docs, **how).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_extra"))
+    return docs.join(extra.distinct(), docs["doc_id"] == F.col("_extra"), "left_anti")

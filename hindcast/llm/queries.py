@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, substring_dedup
+from . import (
+    chat,
+    decontamination,
+    extraction,
+    line_quality,
+    near_dedup,
+    packing,
+    personal_data,
+    secrets,
+    substring_dedup,
+    token_counts,
+)
 from .text import read_table
 
 
@@ -16,6 +27,12 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, end_id=0)
 
@@ -29,15 +46,53 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=5, similar=0.8)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    talks = talks.unionAll(spark.createDataFrame(fixed, talks.schema))
+    return chat.digests(chat.format_chat(chat.events_of(talks)))
+
+
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return line_quality.judge(docs, labels)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_windows(read_table(spark, sf_dir, "documents"), size=35)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(read_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(read_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), piece_bpe())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op2_decontamination": op2_decontamination,
-    "op3_near_dedup": op3_near_dedup,
-    "op7_substring_dedup": op7_substring_dedup,
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_decontamination,
+        op3_near_dedup,
+        op4_chat,
+        op5_extraction,
+        op6_line_quality,
+        op7_substring_dedup,
+        op8_personal_data,
+        op9_secrets,
+        op10_token_counts,
+    )
 }
 
+#: Tokenising, tiling, sampling, fitted models and wrappers are beyond SQL; tests compare them with brute-force versions.
 ORACLES: dict[str, str] = {}

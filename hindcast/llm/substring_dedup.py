@@ -79,12 +79,12 @@ class _Chunk:
         self.size, self.gram = size, gram
         self.hashes = self.words.hashes(1)
         inner = size - gram + 1
-        self.starts, self.first_hash = self.words.windows(self.hashes, size, 1)
+        self.starts, self.first_hash = self.words.windows(self.hashes, size)
         self.least = np.zeros(0, np.uint64)
         grams = np.zeros(0, np.uint64)
         if len(self.starts):
             # Grams over the end of a text are never looked at: a window lies within one text, and so do its grams.
-            values = np.maximum(rolling(self.hashes, gram, 3), np.uint64(1))  # 0 marks grams that stand for no window
+            values = np.maximum(rolling(self.hashes, gram), np.uint64(1))  # 0 marks grams that stand for no window
             self.least = _sliding(values, inner, np.minimum)[self.starts]
             reached = np.zeros(len(values) + inner - 1, np.uint64)
             reached[self.starts + inner - 1] = self.least
@@ -101,7 +101,7 @@ class _Chunk:
     def keys(self, suspected: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """96-bit keys of the suspected windows, each once, in order; the key of each such window; repeated here."""
         first = self.first_hash[suspected]
-        second = (self.words.windows(self.words.hashes(2), self.size, 2)[1][suspected] >> np.uint64(32)).astype(np.uint32)
+        second = (self.words.windows(self.words.hashes(2), self.size)[1][suspected] >> np.uint64(32)).astype(np.uint32)
         return _distinct(first, second)
 
 

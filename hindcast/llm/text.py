@@ -78,18 +78,16 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2^64, extended as longer inputs come."""
 
-    def __init__(self, seed: int):
-        numbers = np.random.default_rng(seed)
-        self.table = numbers.integers(1, 2**64, 256, dtype=np.uint64)
-        self.base = int(numbers.integers(2**62, 2**63, dtype=np.uint64)) * 2 + 1
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def reach(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(n - 1, 1).bit_length()
-            self.up = self._grow(self.base, size)
-            self.down = self._grow(pow(self.base, -1, 1 << 64), size)
-        return self.up[:n], self.down[:n]
+    base = 0x9FB21C651E98DF25
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def reach(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = n + (256 << 10)
+            cls.up = cls._grow(cls.base, size)
+            cls.down = cls._grow(pow(cls.base, -1, 1 << 64), size)
+        return cls.up[:n], cls.down[:n]
 
     @staticmethod
     def _grow(base: int, size: int) -> np.ndarray:
@@ -97,16 +95,37 @@ class _Powers:
         done = 1
         while done < size:
             more = min(done, size - done)
-            out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+            np.multiply(out[:more], np.uint64(pow(base, done, 1 << 64)), out=out[done : done + more])
             done += more
         return out
 
 
-_POWERS: dict[int, _Powers] = {}
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _table(seed: int) -> np.ndarray:
+    """A random number per byte value."""
+    if seed not in _TABLES:
+        _TABLES[seed] = np.random.default_rng(seed).integers(1, 2**64, 256, dtype=np.uint64)
+    return _TABLES[seed]
+
 
+def running(values: np.ndarray) -> np.ndarray:
+    """Sums of values[i] * base^i over all places before each place, modulo 2^64."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    if len(values):
+        np.multiply(values, _Powers.reach(len(values))[0], out=total[1:])
+        np.cumsum(total[1:], out=total[1:])
+    return total
 
-def _powers(seed: int) -> _Powers:
-    return _POWERS.setdefault(seed, _Powers(seed))
+
+def shifted(sums: np.ndarray, places: np.ndarray | slice, n: int) -> np.ndarray:
+    """Sums of spans that begin at `places`, as if each span began at 0; mixed."""
+    return mix(sums * _Powers.reach(n)[1][places])
+
+
+def byte_sums(data: np.ndarray, seed: int) -> np.ndarray:
+    return running(_table(seed)[data])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,36 +176,30 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        powers = _powers(seed)
-        up, down = powers.reach(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(powers.table[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
-
-    def windows(self, hashes: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash of each word's bytes; seeds give independent hashes."""
+        total = byte_sums(self.data, seed)
+        return shifted(total[self.ends] - total[self.starts], self.starts, len(total))
+
+    def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of `size` words inside one text, and a 64-bit hash of each window."""
         text = self.texts
         at = np.flatnonzero(text[: max(len(text) - size + 1, 0)] == text[size - 1 :])
-        return at, rolling(hashes, size, seed)[at]
+        return at, rolling(hashes, size)[at]
 
-    def whole(self, hashes: np.ndarray, seed: int) -> np.ndarray:
+    def whole(self, hashes: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the word sequence of each text."""
-        up, down = _powers(seed + 1000).reach(len(hashes) + 1)
-        total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[:-1], out=total[1:])
-        return mix((total[self.first[1:]] - total[self.first[:-1]]) * down[self.first[:-1]] + self.counts.astype(np.uint64))
+        total = running(hashes)
+        own = total[self.first[1:]] - total[self.first[:-1]]
+        return mix(shifted(own, self.first[:-1], len(total)) + self.counts.astype(np.uint64))
 
 
-def rolling(hashes: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
+def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of hashes[i : i + size] for every i, whatever texts they belong to."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(seed + 1000).reach(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix((total[size:] - total[:n]) * down[:n])
+    total = running(hashes)
+    return shifted(total[size:] - total[:n], slice(0, n), len(total))
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..sources.sinks import through_storage
 from .text import Words, batch_of, chunks, rolling, ship
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bytes of text for which the sketch and the exact count get one block more.
 BLOCK_TEXT = 32 << 20
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

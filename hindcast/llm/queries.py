@@ -95,4 +95,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Tokenising, tiling, sampling, fitted models and wrappers are beyond SQL; tests compare them with brute-force versions.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat": r"""
+        with turns as (
+          select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+          union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+          union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+               cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), ''))
+                 as loss_sha256,
+               cast(sum(10 + length(role) + length(regexp_replace(role, '[^<\[|\\]', '', 'g'))
+                        + length(text) + length(regexp_replace(text, '[^<\[|\\]', '', 'g'))) as bigint) as formatted_chars
+        from turns group by conv_id""",
+    "op7_substring_dedup": r"""
+        with docs as (
+          select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        windows as (
+          select doc_id, start, array_to_string(words[start : start + 34], ' ') as w
+          from (select doc_id, words, unnest(range(1, len(words) - 33)) as start from docs)),
+        repeated as (select w from windows group by w having count(*) > 1),
+        covered as (
+          select distinct doc_id, unnest(range(start, start + 35)) as place
+          from windows where w in (select w from repeated)),
+        gone as (select doc_id, list(place) as places from covered group by doc_id)
+        select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(places), 0) as bigint) as n_removed,
+               sha256(coalesce(array_to_string(
+                 [words[i] for i in range(1, len(words) + 1) if places is null or not list_contains(places, i)], ' '), ''))
+                 as kept_sha256
+        from docs left join gone using (doc_id)""",
+}

@@ -127,7 +127,7 @@ def _report(batches: Iterable[pa.RecordBatch], words: int, share: float) -> Iter
         held.append(Texts(batch.column(1), words).hashes)
         texts += batch.num_rows
         size += len(held[-1])
-        if size > 4_000_000 and texts > 1000 or size > 16_000_000:
+        if size > 2_000_000 and texts > 1000 or size > 8_000_000:
             yield report()
             held, texts, size = [], 0, 0
     yield report()

@@ -37,7 +37,7 @@ PIECES = pa.schema(
 )
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Words remembered by a worker; the memory is emptied when full.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 SLICE_ROWS = 2_000
 
 # Latin letters whose lower case is one letter and which are their own normal form, then ASCII signs other than "'".

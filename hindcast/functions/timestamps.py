@@ -28,5 +28,10 @@ def seconds_between(start: Column, end: Column) -> Column:
 def lasts_longer(start: Column, end: Column, minimum: Interval | str) -> Column:
     """True when the stay outlasts `minimum`; an open end counts as far in the future."""
     span = Interval.of(minimum)
+    if span.unbounded:
+        raise ValueError("a stay cannot outlast an unbounded interval")
     far = F.coalesce(end.cast("timestamp_ntz"), F.lit("2099-01-01").cast("timestamp_ntz"))
-    return far > start.cast("timestamp_ntz") + F.make_dt_interval(F.lit(span.days))
+    least = F.make_dt_interval(F.lit(span.days))
+    if span.months:
+        least = F.make_ym_interval(F.lit(0), F.lit(span.months))
+    return far > start.cast("timestamp_ntz") + least

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def full_outer(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def full_outer(left: DataFrame, right: DataFrame, on: str, keys: DataFrame | None = None) -> DataFrame:
     """Full outer join on one shared column; the result keeps a single, merged key.
 
     Adaptive execution can split a crowded key of a left outer join but not of a full outer one, and NULL
     keys would all meet in one task. So: left outer join, plus the right rows whose key the left never has
-    (its keys reduced map-side first).
+    (its keys reduced map-side first). `keys` may give the left's keys from where they come from, so that the
+    left is not computed twice.
     """
-    keys = left.select(on).filter(F.col(on).isNotNull()).distinct()
+    keys = (left if keys is None else keys).select(on).filter(F.col(on).isNotNull()).distinct()
     matched = left.join(right.filter(F.col(on).isNotNull()), on, "left")
     alone = right.join(keys, on, "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
@@ -40,51 +42,74 @@ def running_totals(
 ) -> DataFrame:
     """Add `before_<v>` (sum over the rows ranked ahead) and `total_<v>` per group, exactly.
 
-    `order` lists (column, descending); the first column must be numeric and the order unique in a group.
-    A plain window would sort a whole group in one task. Here a group is cut into ranges of the first column
-    and each range again into ranges of its own extent, so that values crowded beside an outlier still
-    spread. Ranges are totalled, the short lists of totals are accumulated level by level, and only the rows
-    of one inner range are sorted together. A row's range depends on values alone, so retries agree.
+    `order` lists (column, descending) of numeric columns; together they are unique in a group. A plain window
+    would sort a whole group in one task. Here a group is cut into ranges of the first column, each range again
+    into ranges of its own extent, so that values crowded beside an outlier still spread, and a range that holds
+    a single value of the columns so far is cut on the next column. Ranges are totalled, the short lists of
+    totals are accumulated level by level, and only the rows of one innermost range are sorted together. A row's
+    range depends on values alone, so retries agree.
     """
-    keys, (lead, lead_desc) = list(keys), order[0]
-    outer, inner = [*keys, "_outer"], [*keys, "_outer", "_inner"]
+    cuts = [order[0], *order]
+    path, ranged = list(keys), df
 
-    def sum_ahead(v: str, columns: Sequence[str], *by: Column) -> Column:
-        ahead = Window.partitionBy(*columns).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    def sum_ahead(v: str, *by: Column) -> Column:
+        ahead = Window.partitionBy(*path[:-1]).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(v).over(ahead), F.lit(0))
 
-    def extent(rows: DataFrame, by: Sequence[str], sums: str) -> DataFrame:
-        value = F.col(lead).cast("double")
-        ends = [F.min(value).alias("_low"), F.max(value).alias("_high")]
-        return rows.groupBy(*by).agg(*ends, *[F.sum(v).alias(f"{sums}{v}") for v in values])
-
-    # Every branch over `df` uses its keys, lead and values, so Spark computes their exchange once.
-    by_outer, by_inner = _ordered("_outer", lead_desc), _ordered("_inner", lead_desc)
-    ranged = df.join(extent(df, keys, "total_"), keys).withColumn("_outer", _range_number(lead, buckets))
-    ranged = ranged.drop("_low", "_high")
-    outer_ranges = extent(ranged, outer, "_sum_").select(
-        *outer, "_low", "_high", *[sum_ahead(f"_sum_{v}", keys, by_outer).alias(f"_ahead_{v}") for v in values]
-    )
-    ranged = ranged.join(outer_ranges, outer).withColumn("_inner", _range_number(lead, buckets))
-    inner_ranges = ranged.groupBy(*inner).agg(
-        *[F.sum(v).alias(f"_sum_{v}") for v in values], *[F.max(f"_ahead_{v}").alias(f"_ahead_{v}") for v in values]
-    )
-    offsets = inner_ranges.select(
-        *inner, *[(F.col(f"_ahead_{v}") + sum_ahead(f"_sum_{v}", outer, by_inner)).alias(f"_off_{v}") for v in values]
-    )
-    rank = [_ordered(c, desc) for c, desc in order]
-    return ranged.join(offsets, inner).select(
+    def totals(level: int) -> DataFrame:
+        """Sums per range, what is ahead of it, and the extent of the column that the next level cuts."""
+        aggs = [F.sum(v).alias(f"_sum_{v}") for v in values]
+        if level:
+            aggs += [F.max(f"_ahead_{v}").alias(f"_parent_{v}") for v in values]
+        if level < len(cuts):
+            value = F.col(cuts[level][0]).cast("double")
+            finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+            fixed = [F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True)) for c, _ in order[: max(0, level - 1)]]
+            aggs += [F.min(finite).alias("_low"), F.max(finite).alias("_high"), reduce(Column.__and__, fixed, F.lit(True)).alias("_cut")]
+        found = ranged.groupBy(*path).agg(*aggs)
+        if not level:
+            return found.withColumns({f"_ahead_{v}": F.lit(0) for v in values}).withColumnsRenamed({f"_sum_{v}": f"total_{v}" for v in values})
+        by = _ordered(path[-1], cuts[level - 1][1])
+        offsets = {f"_ahead_{v}": F.col(f"_parent_{v}") + sum_ahead(f"_sum_{v}", by) for v in values}
+        return found.withColumns(offsets).drop(*[f"_sum_{v}" for v in values], *[f"_parent_{v}" for v in values])
+
+    # Every branch over `df` uses its keys, order columns and values, so Spark computes their exchange once.
+    for level, (column, _) in enumerate(cuts):
+        found = totals(level)
+        ranged = ranged.drop(*[f"_ahead_{v}" for v in values]).join(found, path)
+        number = F.when(F.col("_cut"), _range_number(column, buckets)).otherwise(0)
+        ranged = ranged.withColumn(f"_range{level}", number).drop("_low", "_high", "_cut")
+        path = [*path, f"_range{level}"]
+    offsets = totals(len(cuts))
+    ranged = ranged.drop(*[f"_ahead_{v}" for v in values]).join(offsets, path)
+    ahead = Window.partitionBy(*path).orderBy(*[_ordered(c, desc) for c, desc in order])
+    ahead = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.select(
         *df.columns,
         *[f"total_{v}" for v in values],
-        *[(F.col(f"_off_{v}") + sum_ahead(v, inner, *rank)).alias(f"before_{v}") for v in values],
+        *[(F.col(f"_ahead_{v}") + F.coalesce(F.sum(v).over(ahead), F.lit(0))).alias(f"before_{v}") for v in values],
     )
 
 
 def _range_number(column: str, buckets: int) -> Column:
-    """Where `column` falls between `_low` and `_high`; NULLs get a range of their own."""
+    """Where `column` falls between `_low` and `_high`; NULL, infinite and NaN values get ranges of their own."""
     value, low, width = F.col(column).cast("double"), F.col("_low"), F.col("_high") - F.col("_low")
-    place = F.when(width > 0, F.floor((value - low) / width * buckets)).otherwise(0)
-    return F.when(value.isNull(), -1).otherwise(F.least(place, F.lit(buckets - 1))).cast("int")
+    place = F.when(width > 0, F.least(F.floor((value - low) / width * buckets), F.lit(buckets - 1))).otherwise(0)
+    return (
+        F.when(value.isNull(), -2)
+        .when(F.isnan(value), buckets + 1)
+        .when(value == float("inf"), buckets)
+        .when(value == float("-inf"), -1)
+        .otherwise(place)
+        .cast("int")
+    )
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names in which NULL equals NULL; the columns of `on` are kept once."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    rule = reduce(Column.__and__, [left[c].eqNullSafe(other[f"_right_{c}"]) for c in on])
+    return left.join(other, rule, how).drop(*[f"_right_{c}" for c in on])
 
 
 def _ordered(name: str, descending: bool) -> Column:

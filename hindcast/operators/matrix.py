@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.operators.asof import KEYS
+from hindcast.operators.joins import null_safe_join
 
 
 def matrix_build(labels: DataFrame, features: Sequence[DataFrame], spine: DataFrame) -> DataFrame:
@@ -40,11 +41,11 @@ def resample_groups(rows: DataFrame, group: str, key: str, seed: int) -> DataFra
     """Thin the larger groups so that all are expected to reach the size of the smallest.
 
     A row stays when a hash of its key falls under its group's share: the choice depends on the row alone,
-    so it is the same on every run and after any lost executor.
+    so it is the same on every run and after any lost executor. Rows without a group are a group like the others.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     smallest = sizes.agg(F.min("_size")).scalar()
     shares = sizes.select(group, (smallest / F.col("_size")).alias("_share"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     point = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return rows.join(shares, group).filter(point < F.col("_share")).drop("_share")
+    return null_safe_join(rows, shares, [group]).filter(point < F.col("_share")).select(*rows.columns)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators.joins import running_totals
+from hindcast.operators.joins import null_safe_join, running_totals
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class RankRule:
 def rank_multi_feature(rows: DataFrame, rules: Sequence[RankRule], group: str = "as_of_date") -> DataFrame:
     """Add `rank` (dense, 1 = highest score) and `score = 1 - (rank - 1) / max rank` per group.
 
-    Rows are reduced to distinct feature tuples before anything is ordered.
+    Rows are reduced to distinct feature tuples before anything is ordered. A NULL feature is the lowest value.
     """
     names = [r.feature for r in rules]
     tuples = rows.select(group, *names).distinct().withColumn("one", F.lit(1))
@@ -29,4 +29,4 @@ def rank_multi_feature(rows: DataFrame, rules: Sequence[RankRule], group: str =
         group, *names, (F.col("before_one") + 1).alias("rank"), "total_one"
     )
     score = (F.lit(1.0) - (F.col("rank") - 1) / F.col("total_one")).alias("score")
-    return rows.join(ranked, [group, *names]).select(*rows.columns, "rank", score)
+    return null_safe_join(rows, ranked, [group, *names]).select(*rows.columns, "rank", score)

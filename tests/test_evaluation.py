@@ -92,3 +92,22 @@ def test_equity_and_random_pick(frame):
     assert {k: r.n_top for k, r in got.items()} == pytest.approx({"f": 0.5, "m": 1.0, None: 0.5})
     row = E.top_k_vs_random(df, ["m"], 2).first()
     assert (row.top_k, row.base_rate, row.gain) == (0.5, 0.25, 0.25)
+
+
+def test_rank_keeps_rows_with_null_features(frame):
+    df = frame(
+        "as_of_date int, entity_id int, a int, b int", (1, 1, 5, None), (1, 2, None, 2), (1, 3, None, None), (1, 4, 5, 1), (1, 5, None, None)
+    )
+    got = rank_multi_feature(df, [RankRule("a"), RankRule("b", low_value_high_score=True)])
+    assert tuples(got, "entity_id", "rank") == [(1, 1), (2, 4), (3, 3), (4, 2), (5, 3)]
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_running_totals_over_odd_values(frame, buckets):
+    """NULL, NaN and infinite values, and a first column of few values."""
+    odd = [None, float("-inf"), -2.0, 0.0, 3.0, float("inf"), float("nan")]
+    rows = [(1, x, y, 1) for x in odd for y in (None, 1, 2, 50)]
+    df = frame("g int, x double, y int, v bigint", *rows)
+    got = running_totals(df, ["g"], [("x", False), ("y", True)], ["v"], buckets).orderBy("before_v").collect()
+    assert [r.before_v for r in got] == list(range(len(rows)))
+    assert [(repr(r.x), r.y) for r in got] == [(repr(x), y) for x in odd for y in (50, 2, 1, None)]

@@ -112,3 +112,16 @@ def test_matches_without(frame):
 def test_strongest(frame):
     df = frame("k int, a int, b int", (1, None, None), (2, None, 0), (3, 0, 1))
     assert tuples(df.select("k", strongest(F.col("a"), F.col("b")))) == [(1, None), (2, 0), (3, 1)]
+
+
+def test_minimum_stays_in_months(frame):
+    stays = frame(
+        "k int, a timestamp_ntz, b timestamp_ntz", (1, "2000-01-31 00:00:00", "2000-02-01 00:00:00"),
+        (2, "2000-01-31 00:00:00", "2000-02-29 00:00:01"), (3, "2000-01-01 00:00:00", "2000-02-01 00:00:00"), (4, "2000-01-01 00:00:00", None),
+    )
+    longer = lambda text: tuples(stays.filter(lasts_longer(F.col("a"), F.col("b"), text)), "k")
+    assert longer("1 month") == [(2,), (4,)]
+    assert longer("1yr") == [(4,)]
+    assert longer("0day") == [(1,), (2,), (3,), (4,)]
+    with pytest.raises(ValueError):
+        longer("all")

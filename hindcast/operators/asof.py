@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ Shift = Callable[[Column], Column]
 
 KEYS = ["entity_id", "as_of_date"]
 
+# Columns of stored events (see `sources.sinks.store_events`).
+EVENT_DATE, EVENT_MONTH = "event_date", "event_month"
+
 
 def _literals(dates: Dates) -> list[Column]:
     days = [date.fromisoformat(d) if isinstance(d, str) else d for d in dates]
@@ -34,6 +38,20 @@ def last_date(dates: Dates) -> Column:
     return dates.agg(F.max("as_of_date")).scalar() if isinstance(dates, DataFrame) else _literals(dates)[-1]
 
 
+def within(events: DataFrame, low: Column | None, high: Column) -> Column:
+    """Bounds on the date and month that stored events carry; always true for other events.
+
+    Parquet row groups are not skipped by bounds on a timestamp without zone. Bounds on a DATE skip them, and
+    bounds on the month skip whole folders.
+    """
+    rule = F.lit(True)
+    for name, cut in ((EVENT_DATE, lambda d: d), (EVENT_MONTH, lambda d: F.trunc(d, "month"))):
+        if name in events.columns:
+            rule = rule & (F.col(name) <= cut(high.cast("date")))
+            rule = rule if low is None else rule & (F.col(name) >= cut(low.cast("date")))
+    return rule
+
+
 def expand(events: DataFrame, dates: Dates, bounds: Mapping[str, Shift], holds: Shift) -> DataFrame:
     """One row per event and as-of date for which `holds(window)` is true.
 
@@ -58,11 +76,37 @@ def expand(events: DataFrame, dates: Dates, bounds: Mapping[str, Shift], holds:
 def known_within(events: DataFrame, ts: str, dates: Dates, lookback: Interval | str) -> DataFrame:
     """Events in `[t - lookback, t]`, both ends included."""
     span, at = Interval.of(lookback), F.col(ts)
-    bounded = events.filter((at >= span.before(first_date(dates))) & (at <= last_date(dates)))
+    low, high = span.before(first_date(dates)), last_date(dates)
+    bounded = events.filter(within(events, low, high)).filter((at >= low) & (at <= high))
     bounds = {"first": span.before, "last": lambda t: t}
     return expand(bounded, dates, bounds, lambda w: (at >= w["first"]) & (at <= w["last"]))
 
 
+def slotted(
+    events: DataFrame, ts: str, dates: Dates, closed: str = "left", lookbacks: Sequence[Interval] = ()
+) -> DataFrame:
+    """Events with `_slot`, the number of the span between neighbouring window ends that holds them.
+
+    The windows `[t - lookback, t)` of all dates begin and end at the edges `t` and `t - lookback`. Events of one
+    slot lie in the same windows, so they can be aggregated before any date is met and placed as one row.
+    `closed='right'` includes `t`.
+    """
+    at = F.col(ts)
+
+    def ends(t: Column) -> list[Column]:
+        own = t.cast("timestamp_ntz")
+        own = own + F.expr("interval '0.000001' second") if closed == "right" else own
+        return [own, *[span.before(t).cast("timestamp_ntz") for span in lookbacks]]
+
+    if isinstance(dates, DataFrame):
+        edges = dates.agg(F.flatten(F.collect_set(F.array(*ends(F.col("as_of_date")))))).scalar()
+        placed = events.withColumn("_edges", F.array_distinct(edges))
+        return placed.withColumn("_slot", F.size(F.filter("_edges", lambda e: at >= e))).drop("_edges")
+    # A sum of comparisons with constants stays inside generated code.
+    edges = [end for t in _literals(dates) for end in ends(t)]
+    return events.withColumn("_slot", reduce(Column.__add__, [(at >= e).cast("int") for e in edges]))
+
+
 def known_before(
     events: DataFrame, ts: str, dates: Dates, closed: str = "left", lookbacks: Sequence[Interval] = ()
 ) -> DataFrame:
@@ -76,7 +120,7 @@ def known_before(
     def known(end: Column) -> Column:
         return at <= end if closed == "right" else at < end
 
-    bounded = events.filter(known(last_date(dates)))
+    bounded = events.filter(within(events, None, last_date(dates))).filter(known(last_date(dates)))
     if not lookbacks:
         return expand(bounded, dates, {"last": lambda t: t}, lambda w: known(w["last"]))
     bounded = bounded.filter(at >= start(first_date(dates)))
@@ -98,6 +142,7 @@ def farthest(horizons: Sequence[Interval | str]) -> Shift:
 def upcoming(events: DataFrame, ts: str, dates: Dates, *horizons: Interval | str) -> DataFrame:
     """Events in `[t, t + horizon]`, both ends included; with several horizons the farthest end counts."""
     at, end = F.col(ts), farthest(horizons)
-    bounded = events.filter((at >= first_date(dates)) & (at <= end(last_date(dates))))
+    low, high = first_date(dates), end(last_date(dates))
+    bounded = events.filter(within(events, low, high)).filter((at >= low) & (at <= high))
     bounds = {"first": lambda t: t, "last": end}
     return expand(bounded, dates, bounds, lambda w: (at >= w["first"]) & (at <= w["last"]))

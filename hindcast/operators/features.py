@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.intervals import Interval
 from hindcast.functions.timestamps import seconds_between
-from hindcast.operators.asof import KEYS, Dates, known_before
+from hindcast.operators.asof import KEYS, Dates, known_before, last_date, slotted, within
 
 
 @dataclass(frozen=True)
@@ -47,40 +47,65 @@ def feature_intervals(
 ) -> DataFrame:
     """Every aggregate of the groups over every interval, per `(entity_id, as_of_date)` with an event.
 
-    Groups over the same events share one scan and one aggregation; they must agree on `closed`. 'last' takes
-    the latest event, then the greatest `tiebreak`; intervals end together, so one latest event serves all.
+    Groups over the same events share one scan; they must agree on `closed`. Events are aggregated per entity
+    and slot before they meet the dates, so rows grow with slots, not with events times dates. 'last' takes the
+    latest event, then the greatest `tiebreak`; intervals end together, so one latest event serves all.
     """
     if len({g.closed for g in groups}) != 1:
         raise ValueError("groups in one call must close their intervals on the same side")
+    closed = groups[0].closed
     at, t = F.col("knowledge_date"), F.col("as_of_date")
-    plain = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
-    aggs, outputs, lasts = [], [], set()
+    spans = {Interval.of(i) for g in groups for i in g.intervals}
+    limited = sorted((s for s in spans if not s.unbounded), key=lambda s: s.label)
+    longest = [] if any(s.unbounded for s in spans) else limited
+
+    # Events become one row per entity and slot first; what each metric needs can be merged later.
+    wanted = {(a.column, m) for g in groups for a in g.aggregates for m in a.metrics}
+    merged = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    parts, states = {}, {}
+    for column, metric in sorted(wanted, key=str):
+        value = F.lit(1) if column is None else F.col(column)
+        if metric == "last":
+            states[f"_last_{column}"] = F.max(F.struct("knowledge_date", *tiebreak, F.col(column).alias("_value")))
+            continue
+        for part in ("sum", "count") if metric == "avg" else (metric,):
+            parts[column, part] = f"_{part}_{column}"
+            states[f"_{part}_{column}"] = merged[part](value)
+    linked = events.filter(F.col("entity_id").isNotNull())
+    bounded = slotted(_until_last(linked, dates, closed), "knowledge_date", dates, closed, limited)
+    # Any time in a slot stands for all of it.
+    slots = bounded.groupBy("entity_id", "_slot").agg(F.max(at).alias("knowledge_date"), *[s.alias(n) for n, s in states.items()])
+
+    final = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    aggs, outputs = [], []
     for group in groups:
         for span in map(Interval.of, group.intervals):
             inside = F.lit(True) if span.unbounded else at >= span.before(t)
             for a in group.aggregates:
-                value = F.lit(1) if a.column is None else F.col(a.column)
                 for metric in a.metrics:
                     name = group.name(span, a, metric)
                     if metric == "last":
-                        lasts.add(a.column)
-                        recent = F.lit(True) if span.unbounded else F.col("_latest") >= span.before(t)
-                        outputs.append(F.when(recent, F.col(f"_last_{a.column}")).alias(name))
+                        recent = F.lit(True) if span.unbounded else F.col(f"_last_{a.column}.knowledge_date") >= span.before(t)
+                        outputs.append(F.when(recent, F.col(f"_last_{a.column}._value")).alias(name))
                         continue
-                    wanted = value if span.unbounded else F.when(inside, value)
-                    aggs.append((F.count(wanted) if metric == "count" else plain[metric](wanted)).alias(name))
+                    found = {p: final[p](F.when(inside, F.col(parts[a.column, p]))) for p in merged if (a.column, p) in parts}
+                    if metric == "avg":
+                        aggs.append((found["sum"] / F.nullif(found["count"], F.lit(0))).alias(name))
+                    else:
+                        aggs.append((F.coalesce(found["count"], F.lit(0)) if metric == "count" else found[metric]).alias(name))
                     outputs.append(F.col(name))
-    for column in sorted(lasts):
-        aggs.append(F.max_by(column, F.struct("knowledge_date", *tiebreak)).alias(f"_last_{column}"))
-    if lasts:
-        aggs.append(F.max(at).alias("_latest"))
-    spans = {Interval.of(i) for g in groups for i in g.intervals}
-    longest = [] if any(s.unbounded for s in spans) else sorted(spans, key=lambda s: s.label)
-    linked = events.filter(F.col("entity_id").isNotNull())
-    placed = known_before(linked, "knowledge_date", dates, groups[0].closed, longest)
+    lasts = sorted({f"_last_{c}" for c, m in wanted if m == "last"})
+    aggs += [F.max(name).alias(name) for name in lasts]
+    placed = known_before(slots, "knowledge_date", dates, closed, longest)
     return placed.groupBy(*KEYS).agg(*aggs).select(*KEYS, *outputs)
 
 
+def _until_last(events: DataFrame, dates: Dates, closed: str) -> DataFrame:
+    """Events that some date can know: the others need not be aggregated."""
+    at, end = F.col("knowledge_date"), last_date(dates)
+    return events.filter(within(events, None, end)).filter(at <= end if closed == "right" else at < end)
+
+
 def impute_constant(cohort: DataFrame, features: DataFrame, names: Sequence[str], value: float = 0) -> DataFrame:
     """Features for every cohort row; missing ones get `value` and a 1 in `<name>_imp`."""
     return fill_missing(cohort.select(*KEYS).join(features, KEYS, "left"), names, value)
@@ -93,8 +118,9 @@ def fill_missing(rows: DataFrame, names: Sequence[str], value: float = 0) -> Dat
 
 def time_since_known(events: DataFrame, ts: str, name: str, dates: Dates) -> DataFrame:
     """Seconds from the last event known at `t` to `t`, for every entity with one."""
-    rows = known_before(events.filter(F.col("entity_id").isNotNull()).select("entity_id", ts), ts, dates, "right")
-    last = rows.groupBy(*KEYS).agg(F.max(ts).alias("_last"))
+    rows = events.filter(F.col("entity_id").isNotNull() & (F.col(ts) <= last_date(dates))).select("entity_id", ts)
+    slots = slotted(rows, ts, dates, "right").groupBy("entity_id", "_slot").agg(F.max(ts).alias(ts))
+    last = known_before(slots, ts, dates, "right").groupBy(*KEYS).agg(F.max(ts).alias("_last"))
     return last.select(*KEYS, seconds_between(F.col("_last"), F.col("as_of_date")).alias(name))
 
 
@@ -132,7 +158,10 @@ def feature_time_since_any(
     ]
     members = cohort.select(*KEYS)
     if dates is not None:
-        joined = members.join(known_before(rows, "event_ts", dates, "right").groupBy(*KEYS).agg(*aggs), KEYS)
+        known = slotted(rows.filter(F.col("event_ts") <= last_date(dates)), "event_ts", dates, "right")
+        slots = known.groupBy("entity_id", "_slot").agg(F.max("event_ts").alias("event_ts"), *aggs)
+        merged = [F.max(c).alias(c) for c in ("_last", "_sign", "_based")]
+        joined = members.join(known_before(slots, "event_ts", dates, "right").groupBy(*KEYS).agg(*merged), KEYS)
     else:
         joined = members.join(rows.groupBy("entity_id").agg(*aggs), "entity_id")
         joined = joined.filter(F.col("_last") <= F.col("as_of_date"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +14,39 @@ from pyspark.sql.window import Window
 from hindcast.functions.intervals import Interval
 
 
+Setting = str | Sequence[str]
+
+
 @dataclass(frozen=True)
 class TemporalConfig:
-    """How splits are laid out; the label bounds come from the data (or from literals) as a frame."""
+    """How splits are laid out; the label bounds come from the data (or from literals) as a frame.
+
+    Every setting may list several values (see `settings`). `label_timespans` stands for both label timespans.
+    `feature_start` and `feature_end` bound the events that features may use, dates as text.
+    """
+
+    model_update_frequency: Setting
+    training_label_timespan: Setting = ()
+    test_label_timespan: Setting = ()
+    training_frequency: Setting = "1day"
+    test_frequency: Setting = "1day"
+    max_training_history: Setting = "0day"
+    test_duration: Setting = "0day"
+    label_timespans: Setting = ()
+    feature_start: str | None = None
+    feature_end: str | None = None
+
+    def settings(self) -> list[TemporalConfig]:
+        """One configuration of single values for each combination, the last setting changing fastest."""
+        listed = {f: (v,) if isinstance(v, str) else tuple(v) for f in LISTED for v in [getattr(self, f)]}
+        both = (self.label_timespans,) if isinstance(self.label_timespans, str) else tuple(self.label_timespans)
+        for name in ("training_label_timespan", "test_label_timespan"):
+            listed[name] = listed[name] or both
+        bounds = {"feature_start": self.feature_start, "feature_end": self.feature_end}
+        return [TemporalConfig(**dict(zip(listed, values)), **bounds) for values in product(*listed.values())]
 
-    model_update_frequency: str
-    training_label_timespan: str
-    test_label_timespan: str
-    training_frequency: str
-    test_frequency: str
-    max_training_history: str = "0day"
-    test_duration: str = "0day"
+
+LISTED = [f.name for f in fields(TemporalConfig)][:7]
 
 
 def _back(anchor: Column, limit: Column, step: Interval) -> Column:
@@ -77,6 +102,19 @@ def asof_spine(bounds: DataFrame, config: TemporalConfig) -> DataFrame:
     )
 
 
+def known_from(events: DataFrame, config: TemporalConfig) -> DataFrame:
+    """Events `(..., knowledge_date)` between the configured feature start and end."""
+    for end, rule in ((config.feature_start, ">="), (config.feature_end, "<")):
+        events = events.filter(f"knowledge_date {rule} date '{end}'") if end else events
+    return events
+
+
+def asof_spines(bounds: DataFrame, config: TemporalConfig) -> DataFrame:
+    """The spines of all combinations of listed settings, numbered from 1 by `setting_id`."""
+    parts = [asof_spine(bounds, s).withColumn("setting_id", F.lit(i)) for i, s in enumerate(config.settings(), 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def split_spans(spine: DataFrame, config: TemporalConfig) -> DataFrame:
     """Each date's label window and the box its split and role cover, newest split first."""
     train_span = Interval.of(config.training_label_timespan)

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hindcast.operators.asof import EVENT_DATE, EVENT_MONTH
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,12 +29,12 @@ def through_storage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def materialize_feature(feature: DataFrame, path: str, value: str) -> None:
+def materialize_feature(feature: DataFrame, path: str, value: str, slices: int = 64) -> None:
     """Replace the stored feature `(entity_id, knowledge_date, value)`, one folder per knowledge date.
 
-    Rows are spread by date and a slice of the entities, so one crowded date does not end in one task.
+    Rows are spread by date and one of `slices` of the entities, so one crowded date does not end in one task.
     """
-    spread = F.pmod(F.xxhash64("entity_id"), F.lit(64))
+    spread = F.pmod(F.xxhash64("entity_id"), F.lit(slices))
     (
         feature.select("entity_id", F.col("as_of_date").alias("knowledge_date"), value)
         .repartition("knowledge_date", spread)
@@ -42,9 +45,33 @@ def materialize_feature(feature: DataFrame, path: str, value: str) -> None:
     )
 
 
-def save_predictions(predictions: DataFrame, path: str) -> None:
+def store_events(events: DataFrame, path: str, ts: str, slices: int = 64) -> None:
+    """Keep linked events once: a DATE beside the timestamp, one folder per month, entities together within a file.
+
+    Readers that bound the date (see `operators.asof.within`) then open only the months they need.
+    """
+    dated = events.withColumn(EVENT_DATE, F.col(ts).cast("date"))
+    dated = dated.withColumn(EVENT_MONTH, F.trunc(EVENT_DATE, "month"))
+    spread = F.pmod(F.xxhash64("entity_id"), F.lit(slices))
+    (
+        dated.repartition(EVENT_MONTH, spread)
+        .sortWithinPartitions(EVENT_MONTH, EVENT_DATE, "entity_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(EVENT_MONTH)
+        .parquet(path)
+    )
+
+
+def read_events(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Stored events with the columns of `like`, the date and the month."""
+    schema = T.StructType([*like.schema.fields, T.StructField(EVENT_DATE, T.DateType()), T.StructField(EVENT_MONTH, T.DateType())])
+    return spark.read.schema(schema).parquet(path)
+
+
+def save_predictions(predictions: DataFrame, path: str, slices: int = 64) -> None:
     """Keep scores and labels, one folder per model and as-of date; other models' folders stay."""
-    spread = F.pmod(F.xxhash64("entity_id"), F.lit(64))
+    spread = F.pmod(F.xxhash64("entity_id"), F.lit(slices))
     (
         predictions.repartition("model_id", "as_of_date", spread)
         .write.mode("overwrite")

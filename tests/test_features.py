@@ -47,6 +47,19 @@ def test_future_events_change_nothing(frame):
     assert tuples(X.feature_intervals(events(frame, *later), dates, GROUP, tiebreak=["id"])) == before
 
 
+def test_listed_dates_and_a_frame_of_dates_agree(frame):
+    """Slots come from constants in one case, from a subquery in the other."""
+    more = [(e, f"{y}-{m:02}-01 0{e}:00:00", 10 * y + m, y + m) for e in (1, 2, 3) for y in (1998, 1999, 2000) for m in (1, 6, 12)]
+    days = ["1999-06-01", "2000-01-01", "2000-06-01", "2001-01-01"]
+    spine = frame("as_of_date date", *[(d,) for d in days], (days[0],))
+    for closed in ("left", "right"):
+        group = X.FeatureGroup("f", GROUP.aggregates, ("2 weeks", "6 months", "all"), closed)
+        listed = tuples(X.feature_intervals(events(frame, *more), days, group, tiebreak=["id"]))
+        assert tuples(X.feature_intervals(events(frame, *more), spine, group, tiebreak=["id"])) == listed != []
+    since = tuples(X.time_since_known(events(frame, *more), "knowledge_date", "s", days))
+    assert tuples(X.time_since_known(events(frame, *more), "knowledge_date", "s", spine)) == since != []
+
+
 def test_impute(frame):
     cohort = frame("entity_id bigint, as_of_date date", (1, "2000-01-01"), (5, "2000-01-01"))
     group = X.FeatureGroup("f", (X.Aggregate("n", ("count",)),), ("1 year",))

@@ -1,6 +1,8 @@
+from dataclasses import replace
+
 import pytest
 
-from hindcast.operators.spine import TemporalConfig, asof_spine, label_bounds, split_spans
+from hindcast.operators.spine import TemporalConfig, asof_spine, asof_spines, known_from, label_bounds, split_spans
 from tests.conftest import tuples
 
 
@@ -60,3 +62,27 @@ def test_no_training_label_passes_its_split(frame):
 def test_bounds_from_data(frame):
     df = frame("ts timestamp_ntz", ("2000-05-06 07:00:00",), ("2001-02-03 23:00:00",))
     assert tuples(label_bounds(df, "ts")) == [("2000-05-06", "2001-02-04")]
+
+
+def test_listed_settings(frame):
+    bounds = frame("label_start date, label_end date", ("2010-01-01", "2019-01-01"))
+    listed = TemporalConfig(
+        "2year", label_timespans=("6month", "1year"), training_frequency="6month", test_frequency="1month",
+        max_training_history=("1year", "5year"),
+    )
+    settings = listed.settings()
+    assert [(s.training_label_timespan, s.test_label_timespan, s.max_training_history) for s in settings] == [
+        (a, b, h) for a in ("6month", "1year") for b in ("6month", "1year") for h in ("1year", "5year")
+    ]
+    spines = asof_spines(bounds, listed)
+    for i, one in enumerate(settings, 1):
+        part = spines.filter(f"setting_id = {i}").drop("setting_id")
+        assert tuples(part) == tuples(asof_spine(bounds, one)) != []
+
+
+def test_feature_bounds(frame):
+    events = frame("k int, knowledge_date timestamp_ntz", *[(y, f"{y}-01-01 00:00:00") for y in range(1995, 2000)])
+    bounded = config("2year")
+    assert tuples(known_from(events, bounded), "k") == [(y,) for y in range(1995, 2000)]
+    bounded = replace(bounded, feature_start="1996-01-01", feature_end="1998-01-01")
+    assert tuples(known_from(events, bounded), "k") == [(1996,), (1997,)]

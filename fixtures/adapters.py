@@ -106,7 +106,10 @@ VIEWS = {
         select l_orderkey as stay_id, l_linenumber as charge_no, l_returnflag as charge_type,
                l_linestatus as status from {lineitem}""",
     "bail": "select o_orderkey as bail_no, o_custkey as person_number, o_orderdate as arranged_ts from {orders}",
-    "bail_info": "select l_orderkey as bail_no, l_extendedprice as amount from {lineitem} where l_returnflag = 'A'",
+    # Some keys are shifted, so that they match no bail.
+    "bail_info": """
+        select case when l_returnflag = 'A' then l_orderkey else -l_orderkey end as bail_no, l_extendedprice as amount
+        from {lineitem}""",
     "insurance": "select o_custkey as patid, o_orderpriority as payor, o_orderdate as effect_ts from {orders}",
     "outcomes": """
         select o_custkey as patid, o_totalprice as score_a,
@@ -133,13 +136,13 @@ VIEWS = {
     "runs": """
         select md5(cast(event_id as string)) as run_hash, ts as start_time, concat('u', cast(user_id as string)) as os_user,
                case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'started' end
-                   as current_status,
+                   as current_status, value as batch_run_time,
                concat('cohort_', cast(event_id as string)) as cohort_table_name,
                concat('labels_', cast(event_id as string)) as labels_table_name
         from {events}""",
     "experiments": """
         select md5(cast(event_id as string)) as experiment_hash, cast(floor(value) as bigint) as time_splits,
-               user_id as total_features, event_id as models_needed,
+               user_id as total_features, event_id as models_needed, length(props) as as_of_times,
                concat('{{"config_version":"v8","temporal_config":{{"test_durations":"0day","label_end_time":"',
                       cast(cast(ts as date) as string), '","model_update_frequency":"',
                       cast(user_id as string), 'month"}},"inner":', props, '}}') as config

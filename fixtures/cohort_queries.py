@@ -7,6 +7,7 @@ from fixtures.need import LOG, LOG_VIEWS, need_log
 from hindcast.operators import cohorts as C
 from hindcast.operators.linkage import distinct_entities
 from hindcast.operators.signals import signs_at
+from hindcast.presets import BASE_RATE_SIGNALS
 
 T0, T1, T2 = "1998-07-01", "2000-07-01", "2001-01-01"
 NOW = "2002-01-01"
@@ -50,7 +51,7 @@ FLAGS = f"""
       select entity_id,
              max(sign) filter (ts between date '1998-07-01' and date '2000-07-01') as h,
              max(sign) filter (ts between date '2000-07-01' and date '2001-01-01') as o
-      from log group by entity_id),
+      from log where signal in {tuple(BASE_RATE_SIGNALS)} group by entity_id),
     flags as (
       select u.entity_id, ifnull(before, 0) as stays_before, ifnull(after, 0) as stays_after,
              cast(ifnull(running, 0) > 0 as int) as in_stay, ifnull(h, 0) as sign_history, ifnull(o, 0) as sign_outcome,
@@ -63,7 +64,8 @@ FLAGS = f"""
 
 
 def _flags(t):
-    return C.base_rate_flags(distinct_entities(t.crosswalk), t.stays, need_log(t), T0, T1, T2)
+    log = need_log(t, BASE_RATE_SIGNALS)
+    return C.base_rate_flags(distinct_entities(t.crosswalk), t.stays, log, T0, T1, T2)
 
 
 QUERIES = {

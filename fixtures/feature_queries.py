@@ -113,7 +113,7 @@ PROFILE_VIEWS = (
     "crosswalk", "stays", "cases", "inventory", "name_index", "pretrial", "raw_incidents", "incidents", "admissions",
     "calls", "outcomes", "services", "encounters",
 )
-PROFILE = """
+PROFILE = f"""
     ids as (select distinct entity_id, source, try_cast(source_key as bigint) as source_key, hash_key from crosswalk),
     inmates as (select entity_id as k, 1 as inmate, max(screen_flag) as screen_sign from stays group by 1),
     answered as (
@@ -125,15 +125,15 @@ PROFILE = """
     hit as (
       select r.hash_key as h, 1 as incident_sign from raw_incidents r join incidents i using (id)
       where regexp_matches(primary_txt || '#' || secondary_txt,
-                           'ANXIETY|EMOTIONAL|MENTAL|BEHAVIORAL|PSYCHIATRIC|CONSCIOUSNESS')
-        and not contains(primary_txt || '#' || secondary_txt, 'CONCUSSION')),
+                           '{NEED_PATTERN}')
+        and not contains(primary_txt || '#' || secondary_txt, '{NEED_EXCLUSION}')),
     clients as (select distinct patid as k, 1 as client from admissions),
-    callers as (select distinct patid as k, 1 as has_call from calls where issue in ('ANXIETY', 'DEPRESSION')),
+    callers as (select distinct patid as k, 1 as has_call from calls where issue in {tuple(CALL_ISSUES)}),
     scores as (select patid as k, max(score_a) as max_score_a, min(score_a) as min_score_a,
                       max(score_b) as max_score_b, min(score_b) as min_score_b from outcomes group by 1),
     served as (select distinct patid as k, 1 as service from services),
     met as (select distinct cast(patient_no as bigint) as k, 1 as encounter_sign from encounters
-            where contains(program, 'MENTAL HEALTH')),
+            where contains(program, '{ENCOUNTER_PATTERN}')),
     profile as (
       select ids.*, inmate, screen_sign, inventory_sign, pretrial_sign, incident_sign, client, has_call,
              max_score_a, min_score_a, max_score_b, min_score_b, service, encounter_sign
@@ -268,8 +268,8 @@ QUERIES = {
             L.distinct_entities(t.crosswalk),
             "patid",
         ),
-        """with ac as (select patid, count(distinct dx_ts) as n_dates from diagnoses group by patid),
-                mhc as (select patid, count(*) as n_calls from calls where issue in ('ANXIETY', 'DEPRESSION') group by patid),
+        f"""with ac as (select patid, count(distinct dx_ts) as n_dates from diagnoses group by patid),
+                mhc as (select patid, count(*) as n_calls from calls where issue in {tuple(CALL_ISSUES)} group by patid),
                 pays as (select distinct on (patid) patid, payor
                          from (select patid, payor, count(*) as n from insurance group by all) order by patid, n desc, payor),
                 marks as (select patid, max(score_a) as max_score_a, min(score_a) as min_score_a,
@@ -309,12 +309,12 @@ QUERIES = {
         (*PROFILE_VIEWS, "people", "demographics"),
     ),
     "label_composite_target": Query(
-        lambda t: _profile_with_target(t).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n_rows")),
+        lambda t: _profile_with_target(t).select("entity_id", "source", "source_key", "hash_key", "repeated", *SIGNS, "target"),
         f"""with {PROFILE},
-            twice as (select entity_id as k from stays group by 1 having count(start_ts) > 1)
-            select source, case when twice.k is not null and 1 = greatest(screen_sign, inventory_sign, pretrial_sign)
-                                then 1 else 0 end as target, count(*) as n_rows
-            from profile left join twice on twice.k = source_key and source = 'PERSON.NUMBER' group by all""",
+            twice as (select entity_id as k, 1 as repeated from stays group by 1 having count(start_ts) > 1)
+            select entity_id, source, source_key, hash_key, repeated, {', '.join(SIGNS)},
+                   case when repeated = 1 and greatest({', '.join(SIGNS)}) = 1 then 1 else 0 end as target
+            from profile left join twice on twice.k = source_key and source = 'PERSON.NUMBER'""",
         PROFILE_VIEWS,
     ),
 }

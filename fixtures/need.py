@@ -55,8 +55,12 @@ def call(t: Tables, as_written: bool = False) -> DataFrame:
     return S.ilike_log(linked, "call", "call_ts", "risk_txt", CALL_RISK_PATTERNS, as_written)
 
 
-def need_log(t: Tables) -> DataFrame:
-    return S.signal_log(screen(t), inventory(t), pretrial(t), encounter(t), incident(t), admission(t), call(t))
+def need_log(t: Tables, names: list[str] = SIGNALS) -> DataFrame:
+    sources = {
+        "screen": screen, "inventory": inventory, "pretrial": pretrial, "encounter": encounter, "incident": incident,
+        "admission": admission, "call": call,
+    }
+    return S.signal_log(*[sources[name](t) for name in names])
 
 
 LOG_VIEWS = (
@@ -64,7 +68,8 @@ LOG_VIEWS = (
     "admissions", "calls",
 )
 
-LOG = """
+CALLED = "(" + " or ".join(f"risk_txt ilike '{p}'" for p in CALL_RISK_PATTERNS) + ")"
+LOG = f"""
     owner as (select try_cast(source_key as bigint) as k, min(entity_id) as entity_id
               from crosswalk where source = 'PATIENT.ID' group by 1),
     log as (
@@ -79,18 +84,17 @@ LOG = """
       join crosswalk x on x.source = 'PERSON.NUMBER' and x.source_key = n.person_number
       union all
       select o.entity_id, encounter_ts, 'encounter', 1 from encounters join owner o on k = cast(patient_no as bigint)
-      where contains(program, 'MENTAL HEALTH')
+      where contains(program, '{ENCOUNTER_PATTERN}')
       union all
       select x.entity_id, incident_ts, 'incident', 1
       from incidents join raw_incidents r using (id)
       join crosswalk x on x.hash_key = r.hash_key and x.source = 'INCIDENT.HASH'
       where regexp_matches(primary_txt || '#' || secondary_txt,
-                           'ANXIETY|EMOTIONAL|MENTAL|BEHAVIORAL|PSYCHIATRIC|CONSCIOUSNESS')
-        and not contains(primary_txt || '#' || secondary_txt, 'CONCUSSION')
+                           '{NEED_PATTERN}')
+        and not contains(primary_txt || '#' || secondary_txt, '{NEED_EXCLUSION}')
       union all
       select o.entity_id, admit_ts, 'admission', 1 from admissions join owner o on k = patid
-      where list_contains(['ADULT MH PROGRAM', 'PEDIATRICS MH PROGRAM', 'EMERGENCY SERVICES',
-                           'MOBILE CRISIS RESPONSE TEAM'], program_description)
+      where list_contains({ADMISSION_PROGRAMS}, program_description)
       union all
       select o.entity_id, call_ts, 'call', 1 from calls join owner o on k = patid
-      where regexp_matches(lower(risk_txt), 'violence|homicid'))"""
+      where {CALLED})"""

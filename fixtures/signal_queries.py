@@ -8,8 +8,8 @@ from fixtures.cohort_queries import COHORT, T0, T1, T2
 from fixtures.linkage_queries import PATIENT
 from hindcast.operators import cohorts as C
 from hindcast.operators import signals as S
-from hindcast.operators.linkage import distinct_entities, link_entity
-from hindcast.presets import CALL_ISSUES
+from hindcast.operators.linkage import link_entity
+from hindcast.presets import BASE_RATE_SIGNALS, CALL_ISSUES
 
 PERIODS = {"sign_history": (T0, T1), "sign_outcome": (T1, T2)}
 MEMBERS = """
@@ -84,8 +84,7 @@ QUERIES = {
     "signal_issue_calls": Query(
         lambda t: S.signal_issue_calls(t.calls, "patid", "issue", CALL_ISSUES),
         """select patid, count(*) as n_calls, 1 as has_call from calls
-           where list_contains(['SELF HARM', 'BEH PROB/AGGRESSION', 'ANXIETY', 'SUBSTANCE ABUSE', 'DEPRESSION',
-                                'PSYCHOSIS'], issue) group by patid""",
+           where list_contains(%s, issue) group by patid""" % CALL_ISSUES,
         ("calls",),
     ),
     "signals_wide": Query(_wide, f"with {WIDE} select * from wide", N.LOG_VIEWS),
@@ -95,10 +94,14 @@ QUERIES = {
         N.LOG_VIEWS,
     ),
     "signal_combine_zero_filled": Query(
-        lambda t: S.signal_combine_zero_filled(N.need_log(t), PERIODS, distinct_entities(t.crosswalk)),
-        f"""with {N.LOG}, signs as (select entity_id, {BY_PERIOD} from log group by entity_id)
-            select entity_id, ifnull(sign_history, 0) as sign_history, ifnull(sign_outcome, 0) as sign_outcome
-            from (select distinct entity_id from crosswalk) full join signs using (entity_id)""",
+        lambda t: S.signal_combine_zero_filled(N.need_log(t, BASE_RATE_SIGNALS), PERIODS),
+        f"""with {N.LOG},
+            history as (select entity_id, max(sign) as h from log where signal in {tuple(BASE_RATE_SIGNALS)}
+                        and ts between date '1998-07-01' and date '2000-07-01' group by entity_id),
+            outcome as (select entity_id, max(sign) as o from log where signal in {tuple(BASE_RATE_SIGNALS)}
+                        and ts between date '2000-07-01' and date '2001-01-01' group by entity_id)
+            select entity_id, ifnull(h, 0) as sign_history, ifnull(o, 0) as sign_outcome
+            from history full join outcome using (entity_id)""",
         N.LOG_VIEWS,
     ),
     "signal_two_periods": Query(

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from fixtures import need as N
-from fixtures.catalog import DATES, LOOKBACK, SPINE, Query
+from fixtures.catalog import DATES, HORIZON, LOOKBACK, SPINE, Query
 from fixtures.cohort_queries import COHORT, NOW, REPORT, T1
 from fixtures.feature_queries import BOOKED, BOOKINGS, bookings, cohort
-from fixtures.label_queries import GRID, grid
+from fixtures.label_queries import GRID, LABELS, grid
 from hindcast.operators import cohorts as C
 from hindcast.operators import evaluation as E
 from hindcast.operators import features as X
@@ -19,7 +21,7 @@ from hindcast.operators import models as Z
 from hindcast.operators import ranking as K
 from hindcast.operators import reports as R
 from hindcast.operators import spine as T
-from hindcast.plans.study import Study
+from hindcast.plans.study import EventFeatures, Study, evaluation_table, held_out_precision, labelled_cohort
 from hindcast.presets import RANDOM_SEED
 from hindcast.sources import sinks
 
@@ -45,6 +47,33 @@ def _matrices(t):
     return STUDY.matrices(t.stays, N.need_log(t), T.label_bounds(t.stays, "start_ts"))
 
 
+# Three more sources: linked bookings, any need, and a stored table of times since the last stay.
+WIDE = Study(
+    TEMPORAL,
+    LOOKBACK,
+    (COUNTS, FLAGS),
+    sources={
+        "bookings": EventFeatures((X.FeatureGroup("bkgs", (X.Aggregate("prior", ("count",)),), ("1 year", "all")),), "since_last_booking"),
+        "need": EventFeatures(recency="since_last_need"),
+        "gaps": EventFeatures((X.FeatureGroup("gap", (X.Aggregate("since", ("max",), "since"),), ("all",)),)),
+    },
+)
+BOOKED_AT = """
+    booked as (select x.entity_id, arranged_ts as kd from bail b join crosswalk x
+               on x.source = 'PERSON.NUMBER' and cast(x.source_key as bigint) = b.person_number)"""
+
+
+def _wide_matrices(t):
+    bounds = T.label_bounds(t.stays, "start_ts")
+    gaps = X.time_since_known(t.stays, "start_ts", "since", WIDE.spine(bounds).select("as_of_date").distinct())
+    gaps = _written(
+        gaps, lambda df, path: sinks.materialize_feature(df, path, "since"), "entity_id bigint, since bigint, knowledge_date date"
+    )
+    need = N.need_log(t).withColumnRenamed("event_ts", "knowledge_date")
+    events = {"bookings": bookings(t), "need": need, "gaps": gaps}
+    return WIDE.matrices(t.stays, N.need_log(t), bounds, events)
+
+
 def _stored(t):
     return sinks.through_storage(_matrices(t), "matrices", ("split_id", "role"))
 
@@ -61,33 +90,87 @@ RANKERS = [
 SPECS = Z.expand_grid(Z.GRID)
 
 
+def _specs(kind: str):
+    return [s for s in SPECS + RANKERS if kind in ("all", s.kind)]
+
+
 def _grid(t, kind: str):
-    specs = [s for s in SPECS + RANKERS if kind in ("all", s.kind)]
-    splits = [1, 2] if kind == "all" else [1]
-    found = Z.model_grid(_stored(t), STUDY.feature_names(), specs, splits)
-    return found.withColumn("score", F.round("score", 6))
+    """Scores of every split of the spine, with what can be known of them beforehand.
+
+    `scored`: the score is a probability. `fits`: for the trees, which see every training row once, the score is
+    the mean label of the training rows that share it.
+    """
+    matrices = _stored(t)
+    found = Z.model_grid(matrices, STUDY.feature_names(), _specs(kind), Z.split_ids(_spine(t)))
+    found = sinks.through_storage(found, "predictions", ("model_id", "split_id"))
+    trees = [s.model_id for s in SPECS if s.kind == "decision_tree"]
+    leaf = ["model_id", "split_id", "score"]
+    leaves = found.filter(F.col("model_id").isin(trees) & F.expr("role = 'train' and label is not null"))
+    means = leaves.groupBy(*leaf).agg(F.avg("label").alias("mean_label"))
+    close = F.abs(F.col("mean_label") - F.col("score")) < 1e-6
+    return found.join(means, leaf, "left").select(
+        "model_id", "split_id", "role", "entity_id", "as_of_date", "label",
+        F.col("score").between(0, 1).alias("scored"),
+        (~F.col("model_id").isin(trees) | F.col("mean_label").isNull() | close).alias("fits"),
+    )
 
 
 def _importance(t):
-    train = M.training_rows(_stored(t)).filter("split_id = 1")
-    spec = next(s for s in SPECS if s.kind == "random_forest")
-    found = Z.feature_importance(Z.fit(train, STUDY.feature_names(), spec), STUDY.feature_names())
-    return found.withColumn("importance", F.round("importance", 6))
+    """Importances of every tree model and split: none negative, and their sum."""
+    matrices, parts = _stored(t), []
+    for split in Z.split_ids(_spine(t)):
+        train = M.training_rows(matrices).filter(F.col("split_id") == split)
+        for spec in SPECS:
+            if spec.kind != "scaled_logistic":
+                weights = Z.feature_importance(Z.fit(train, STUDY.feature_names(), spec), STUDY.feature_names())
+                parts.append(weights.select(F.lit(spec.model_id).alias("model_id"), F.lit(split).alias("split_id"), "*"))
+    found = reduce(lambda a, b: a.unionByName(b), parts)
+    whole = found.groupBy("model_id", "split_id").agg(F.round(F.sum("importance"), 6).alias("total"))
+    return found.join(whole, ["model_id", "split_id"]).select(
+        "model_id", "split_id", "feature", (F.col("importance") >= 0).alias("counted"), F.col("total").isin(0.0, 1.0).alias("shares")
+    )
+
+
+def _ranked(t):
+    """Predictions of the rankers over the stored matrices, saved as a run saves them."""
+    matrices = _stored(t)
+    found = STUDY.predictions(matrices, RANKERS, Z.split_ids(_spine(t)))
+    return sinks.through_storage(found, "predictions", ("model_id",))
 
 
-GRID_DAYS = """
+def _grid_sql(kind: str) -> str:
+    ids = ", ".join(f"({s.model_id})" for s in _specs(kind))
+    return f"""with {MATRIX}
+        select cast(m.id as int) as model_id, split_id, role, entity_id, as_of_date, label, true as scored, true as fits
+        from matrix, (values {ids}) m(id)"""
+
+
+def _grid_days(span: str = "6' month", history: str = "1' year", text: str = "6month") -> str:
+    """The spine of TEMPORAL with another training label timespan (`text` names it) or training history."""
+    return f"""
     bounds as (select cast(min(start_ts) as date) as a, cast(cast(max(start_ts) as date) + 1 as date) as b from stays),
     cuts as (
       select k + 1 as split_id, a, cast(cast(b - interval '6' month as date) - interval (18 * k) month as date) as s
       from bounds, (select unnest(range(0, 400)) as k)
-      where cast(b - interval '6' month as date) - interval (18 * k) month >= a + interval '6' month),
+      where cast(b - interval '6' month as date) - interval (18 * k) month >= a + interval '{span}),
     grid_days as (
       select cast(split_id as int) as split_id, 'test' as role, s as as_of_date, '6month' as label_timespan from cuts
       union all
-      select cast(split_id as int), 'train', cast(cast(s - interval '6' month as date) - interval (6 * k) month as date), '6month'
+      select cast(split_id as int), 'train', cast(cast(s - interval '{span} as date) - interval (6 * k) month as date), '{text}'
       from cuts, (select unnest(range(0, 400)) as k)
-      where cast(s - interval '6' month as date) - interval (6 * k) month
-            >= greatest(cast(s - interval '6' month as date) - interval '1' year, a))"""
+      where cast(s - interval '{span} as date) - interval (6 * k) month
+            >= greatest(cast(s - interval '{span} as date) - interval '{history}, a))"""
+
+
+GRID_DAYS = _grid_days()
+LISTS = replace(TEMPORAL, feature_start="1996-01-01", training_label_timespan=("6month", "1year"), max_training_history=("1year", "2year"))
+LATE_BAIL = "from (select * from bail where arranged_ts >= date '1996-01-01') b"
+LISTS_SQL = " union all ".join(
+    f"select {i} as setting_id, * from (with {_grid_days(span, history, text)} select * from grid_days)"
+    for i, (span, text, history) in enumerate(
+        [(s, t, h) for s, t in (("6' month", "6month"), ("1' year", "1year")) for h in ("1' year", "2' year")], 1
+    )
+)
 
 MATRIX = f"""{GRID_DAYS},
     spine as (select distinct as_of_date, as_of_date - interval '2' year as lo, as_of_date + interval '6' month as hi
@@ -159,6 +242,30 @@ def _rounded(df):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
+# The rankers by SQL: dense ranks by their rules, 1 - (rank - 1) / greatest rank as the score.
+RANKED = f"""{MATRIX},
+    ranks as (
+      select 101 as model_id, *, dense_rank() over (partition by split_id, as_of_date
+             order by stays_1y_prior_count desc, since_last_stay) as place from matrix
+      union all
+      select 102, *, dense_rank() over (partition by split_id, as_of_date order by stays_all_prior_count desc) from matrix),
+    predictions as (
+      select model_id, split_id, role, entity_id, as_of_date, label,
+             1.0::double - (place - 1) / max(place) over (partition by model_id, split_id, as_of_date) as score
+      from ranks qualify role = 'test')"""
+
+
+def _run_report(t):
+    """The tables a run leaves behind, models and evaluations, joined into its report."""
+    splits = Z.split_ids(_spine(t))
+    models = Z.model_table(RANKERS, splits, "run")
+    found = evaluation_table(_ranked(t)).filter("metric = 'precision@'")
+    return found.join(models, ["model_id", "split_id"]).select(
+        "metric", "parameter", "evaluation_end_time", "model_id", "split_id",
+        R.model_short_name("model_type").alias("model_type_short"), F.round("stochastic_value", 9).alias("stochastic_value"),
+    )
+
+
 def _evaluated(cuts, metrics, keys="model_id, as_of_date", abs_or_pct=ABS):
     return Query(
         lambda t: _rounded(E.evaluate(t.predictions, keys.split(", "), cuts, metrics)),
@@ -183,6 +290,13 @@ def _written(df, write, columns: str):
     return df.sparkSession.read.schema(columns).parquet(path)
 
 
+def _event_store(events, ts: str):
+    """Linked events as they are kept for every later step: written once by month, read back."""
+    path = f"{sinks.shared_folder(events.sparkSession)}/{uuid.uuid4().hex}"
+    sinks.store_events(events, path, ts)
+    return sinks.read_events(events.sparkSession, path, events)
+
+
 def _feature_store(t):
     since = X.feature_time_since_last(t.stays, cohort(t), "start_ts", "since_last_stay", DATES)
     return _written(
@@ -201,6 +315,14 @@ def _prediction_store(t):
 
 QUERIES = {
     "asof_spine": Query(_spine, f"with {GRID_DAYS} select * from grid_days", ("stays",)),
+    "asof_spine_lists": Query(
+        lambda t: T.asof_spines(T.label_bounds(t.stays, "start_ts"), LISTS), LISTS_SQL, ("stays",)
+    ),
+    "feature_bounded_start": Query(
+        lambda t: X.feature_intervals(T.known_from(bookings(t), LISTS), DATES, BOOKINGS),
+        f"with {SPINE}, {BOOKED.replace('from bail b', LATE_BAIL)} select * from counts",
+        ("crosswalk", "bail"),
+    ),
     "split_spans": Query(
         lambda t: T.split_spans(_spine(t), TEMPORAL),
         f"""with {GRID_DAYS}
@@ -209,12 +331,76 @@ QUERIES = {
             from grid_days window box as (partition by split_id, role) order by split_id, role, as_of_date""",
         ("stays",),
     ),
+    "label_reevent_long_stored": Query(
+        lambda t: labelled_cohort(
+            _event_store(t.stays, "start_ts"), _event_store(N.need_log(t).drop("undated"), "event_ts").withColumn("undated", F.lit(False)),
+            DATES, LOOKBACK, HORIZON,
+        ),
+        f"with {LABELS} select * from labels",
+        N.LOG_VIEWS,
+    ),
+    "feature_interval_count_stored": Query(
+        lambda t: X.feature_intervals(_event_store(bookings(t), "knowledge_date"), DATES, BOOKINGS),
+        f"with {SPINE}, {BOOKED} select * from counts",
+        ("crosswalk", "bail"),
+    ),
+    "matrix_build_sources": Query(
+        _wide_matrices,
+        f"""with {MATRIX}, {BOOKED_AT},
+            arranged as (
+              select m.entity_id, m.as_of_date,
+                     count(*) filter (kd < m.as_of_date and kd >= m.as_of_date - interval '1' year) as c1,
+                     count(*) filter (kd < m.as_of_date) as ca,
+                     date_diff('second', max(kd) filter (kd <= m.as_of_date), cast(m.as_of_date as timestamp)) as since
+              from members m join booked using (entity_id) group by m.entity_id, m.as_of_date),
+            needed as (
+              select m.entity_id, m.as_of_date, date_diff('second', max(ts), cast(m.as_of_date as timestamp)) as since
+              from members m join log using (entity_id) where ts <= m.as_of_date group by m.entity_id, m.as_of_date),
+            stored as (
+              select m.entity_id, m.as_of_date, max(date_diff('second', s.start_ts, cast(p.as_of_date as timestamp))) as most
+              from members m join (select distinct as_of_date from grid_days) p on p.as_of_date < m.as_of_date
+              join (select entity_id, d.as_of_date, max(start_ts) as start_ts from stays, (select distinct as_of_date from grid_days) d
+                    where start_ts <= d.as_of_date group by all) s on s.entity_id = m.entity_id and s.as_of_date = p.as_of_date
+              group by m.entity_id, m.as_of_date)
+            select x.*, ifnull(case when b.ca > 0 then b.c1 end, 0) as bkgs_1y_prior_count, ifnull(nullif(b.ca, 0), 0) as bkgs_all_prior_count,
+                   ifnull(b.since, 0) as since_last_booking, ifnull(n.since, 0) as since_last_need, ifnull(k.most, 0) as gap_all_since_max,
+                   cast(ifnull(b.ca, 0) = 0 as int) as bkgs_1y_prior_count_imp, cast(ifnull(b.ca, 0) = 0 as int) as bkgs_all_prior_count_imp,
+                   cast(b.since is null as int) as since_last_booking_imp, cast(n.since is null as int) as since_last_need_imp,
+                   cast(k.most is null as int) as gap_all_since_max_imp
+            from matrix x left join arranged b using (entity_id, as_of_date) left join needed n using (entity_id, as_of_date)
+            left join stored k using (entity_id, as_of_date)""",
+        (*N.LOG_VIEWS, "bail"),
+    ),
     "matrix_build": Query(_matrices, f"with {MATRIX} select * from matrix", N.LOG_VIEWS),
-    "model_random_forest": Query(lambda t: _grid(t, "random_forest")),
-    "model_decision_tree": Query(lambda t: _grid(t, "decision_tree")),
-    "model_scaled_logistic": Query(lambda t: _grid(t, "scaled_logistic")),
-    "model_grid": Query(lambda t: _grid(t, "all")),
-    "feature_importance": Query(_importance),
+    "model_random_forest": Query(lambda t: _grid(t, "random_forest"), _grid_sql("random_forest"), N.LOG_VIEWS),
+    "model_decision_tree": Query(lambda t: _grid(t, "decision_tree"), _grid_sql("decision_tree"), N.LOG_VIEWS),
+    "model_scaled_logistic": Query(lambda t: _grid(t, "scaled_logistic"), _grid_sql("scaled_logistic"), N.LOG_VIEWS),
+    "model_grid": Query(lambda t: _grid(t, "all"), _grid_sql("all"), N.LOG_VIEWS),
+    "feature_importance": Query(
+        _importance,
+        f"""with {GRID_DAYS}
+            select cast(m.id as int) as model_id, s.split_id, f.feature, true as counted, true as shares
+            from (values {', '.join(f'({s.model_id})' for s in SPECS if s.kind != 'scaled_logistic')}) m(id),
+                 (select distinct split_id from grid_days) s, (select unnest({STUDY.feature_names()}) as feature) f""",
+        ("stays",),
+    ),
+    "study_ranked_evaluation": Query(
+        lambda t: held_out_precision(_ranked(t)).withColumns({n: F.round(n, 9) for n in ("top_k", "base_rate", "gain")}),
+        f"""with {RANKED}, {_evaluation_sql("model_id, split_id, as_of_date", ABS, ("precision@",))},
+            base as (select model_id, split_id, as_of_date, avg(label) as rate from predictions group by all)
+            select model_id, split_id, as_of_date, round(stochastic_value, 9) as top_k, round(rate, 9) as base_rate,
+                   round(stochastic_value - rate, 9) as gain
+            from results join base using (model_id, split_id, as_of_date) where parameter = '100_abs'""",
+        N.LOG_VIEWS,
+    ),
+    "study_run_report": Query(
+        _run_report,
+        f"""with {RANKED}, {_evaluation_sql("model_id, split_id, as_of_date", ABS, ("precision@",))}
+            select 'precision@' as metric, '100_abs' as parameter, as_of_date as evaluation_end_time, model_id, split_id,
+                   'rank_multi_feature' as model_type_short, round(stochastic_value, 9) as stochastic_value
+            from results where parameter = '100_abs'""",
+        N.LOG_VIEWS,
+    ),
     "rank_multi_feature": Query(
         lambda t: K.rank_multi_feature(
             X.impute_constant(cohort(t), X.feature_intervals(bookings(t), DATES, BOOKINGS), BOOKINGS.names()), RULES
@@ -241,7 +427,8 @@ QUERIES = {
         f"""with {LATEST}
             select metric, parameter, evaluation_end_time, m.model_id, model_type,
                    string_split(model_type, '.')[-1] as model_type_short, hyperparameters, best_value, worst_value,
-                   stochastic_value, standard_deviation, time_splits, total_features, models_needed, os_user
+                   stochastic_value, standard_deviation, time_splits, cast(as_of_times as int) as as_of_times, total_features,
+                   models_needed, os_user, batch_run_time
             from latest join experiments e on e.experiment_hash = run_hash
             join experiment_models em on em.experiment_hash = run_hash
             join models m on m.model_hash = em.model_hash join evaluations v on v.model_id = m.model_id
@@ -257,6 +444,16 @@ QUERIES = {
         ("runs",),
     ),
     "run_config_lookup": Query(
+        lambda t: R.run_config_lookup(t.experiments, R.latest_run(t.runs)),
+        f"""with {LATEST},
+           pairs as (
+             select experiment_hash, json_extract(config, '$.temporal_config') as c from experiments
+             where experiment_hash in (select run_hash from latest)),
+           named as (select experiment_hash, c, unnest(json_keys(c)) as key from pairs)
+           select experiment_hash, key, json_extract_string(c, '$.' || key) as value from named""",
+        ("runs", "experiments"),
+    ),
+    "run_config_lookup_completed": Query(
         lambda t: R.run_config_lookup(t.experiments, t.runs.filter("current_status = 'completed'")),
         """with pairs as (
              select experiment_hash, json_extract(config, '$.temporal_config') as c from experiments

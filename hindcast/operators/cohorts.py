@@ -28,7 +28,7 @@ def cohort_table(stays: DataFrame, dates: Dates, lookback: str) -> DataFrame:
     exactly when some stay at the latest start is closed, so there is no sort and no self-join.
     """
     start = F.col("start_ts")
-    seen = known_within(_linked(stays).select("entity_id", "start_ts", "end_ts"), "start_ts", dates, lookback)
+    seen = known_within(_linked(stays), "start_ts", dates, lookback)
     latest = seen.groupBy(*KEYS).agg(
         F.max(start).alias("latest"),
         F.max(F.when(F.col("end_ts") < F.col("as_of_date"), start)).alias("latest_closed"),
@@ -150,7 +150,8 @@ def base_rate_flags(
 ) -> DataFrame:
     """Per entity of the universe: stay counts before and after `t1`, status at `t1`, signs, cohort, outcome.
 
-    Universe, stays and signs travel as rows of one log, so a single aggregation by entity does it all.
+    Universe, stays and signs travel as rows of one log, so a single aggregation by entity does it all. Stays and
+    signs outside the periods are left out by date first.
     """
     sign_in = {
         "sign_history": F.col("event_ts").between(day(t0), day(t1)),
@@ -159,7 +160,9 @@ def base_rate_flags(
     rows = (
         universe.select("entity_id", F.lit(True).alias("listed"))
         .unionByName(
-            _linked(stays).select(
+            _linked(stays)
+            .filter((F.col("start_ts") < F.greatest(day(t1), day(t2))) & ((F.col("start_ts") > day(t0)) | open_at(t1)))
+            .select(
                 "entity_id",
                 F.when(long_stay_in(t0, t1, minimum), 1).alias("before"),
                 F.when(long_stay_in(t1, t2, minimum), 1).alias("after"),
@@ -168,7 +171,8 @@ def base_rate_flags(
             allowMissingColumns=True,
         )
         .unionByName(
-            log.select("entity_id", *[F.when(rule, F.col("sign")).alias(name) for name, rule in sign_in.items()]),
+            log.filter(F.col("event_ts").between(F.least(day(t0), day(t1)), F.greatest(day(t1), day(t2))))
+            .select("entity_id", *[F.when(rule, F.col("sign")).alias(name) for name, rule in sign_in.items()]),
             allowMissingColumns=True,
         )
     )

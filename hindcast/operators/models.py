@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
@@ -30,6 +32,13 @@ class ModelSpec:
     kind: str
     params: Mapping[str, Any] = field(default_factory=dict)
 
+    def effective(self) -> dict[str, Any]:
+        """The parameters the fit really uses: Spark ML grows no tree deeper than MAX_DEPTH."""
+        params = dict(self.params)
+        if "max_depth" in params:
+            params["max_depth"] = min(params["max_depth"], MAX_DEPTH)
+        return params
+
 
 # The study's grid.
 GRID = {
@@ -53,7 +62,7 @@ def _forest(params: Mapping[str, Any], trees: int, subset: str, bootstrap: bool,
         featuresCol="features",
         labelCol="label",
         numTrees=trees,
-        maxDepth=min(params["max_depth"], MAX_DEPTH),
+        maxDepth=params["max_depth"],
         minInstancesPerNode=max(1, params["min_samples_split"] // 2),
         featureSubsetStrategy=subset,
         bootstrap=bootstrap,
@@ -63,7 +72,7 @@ def _forest(params: Mapping[str, Any], trees: int, subset: str, bootstrap: bool,
 
 
 def fit(train: DataFrame, features: Sequence[str], spec: ModelSpec, seed: int = RANDOM_SEED) -> PipelineModel:
-    params = spec.params
+    params = spec.effective()
     stages = [VectorAssembler(inputCols=list(features), outputCol="features")]
     if spec.kind == "random_forest":
         stages.append(_forest(params, params["n_estimators"], "sqrt", True, seed))
@@ -124,3 +133,23 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
     weights = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
     rows = [(name, float(weights[i])) for i, name in enumerate(features)]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+
+
+def split_ids(spine: DataFrame) -> list[int]:
+    """The splits of a spine, newest first: one short row each."""
+    return [r["split_id"] for r in spine.select("split_id").distinct().orderBy("split_id").collect()]
+
+
+def model_table(specs: Sequence[ModelSpec], splits: Sequence[int], run_hash: str) -> DataFrame:
+    """`(experiment_hash, model_hash, model_id, split_id, model_type, hyperparameters)`, one row per fitted model.
+
+    `hyperparameters` holds what was asked for and, under `effective`, what the fit used.
+    """
+    rows = []
+    for split in splits:
+        for spec in specs:
+            text = json.dumps({**spec.params, "effective": spec.effective()}, sort_keys=True)
+            digest = hashlib.md5(f"{spec.kind}:{split}:{text}".encode()).hexdigest()
+            rows.append((run_hash, digest, spec.model_id, split, f"hindcast.{spec.kind}", text))
+    schema = "experiment_hash string, model_hash string, model_id int, split_id int, model_type string, hyperparameters string"
+    return SparkSession.active().createDataFrame(rows, schema)

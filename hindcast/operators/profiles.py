@@ -151,5 +151,8 @@ def profile_patient(
             F.array_compact(F.array(*[alone(tag) for tag in inputs if tag != "_adm"]))
         )
         rows = merged.select(F.explode(pieces).alias("piece")).select("piece.*").withColumn("link_key", F.col(key))
-    linked = full_outer(rows, ids.select(F.col("source_key").alias("link_key"), "entity_id"), "link_key")
-    return full_outer(linked.drop("link_key"), universe.select("entity_id"), "entity_id")
+    # Only these rows have a link key, and every entity of `ids` is in the linked rows: no need to derive either from them.
+    keyed = reduce(DataFrame.unionByName, [df.select(key) for df in inputs.values()]) if coalesce_key else admissions
+    numbered = ids.select(F.col("source_key").alias("link_key"), "entity_id")
+    linked = full_outer(rows, numbered, "link_key", keyed.select(F.col(key).alias("link_key")))
+    return full_outer(linked.drop("link_key"), universe.select("entity_id"), "entity_id", ids)

@@ -58,9 +58,11 @@ def evaluations_of_latest_run(
             "stochastic_value",
             "standard_deviation",
             "time_splits",
+            "as_of_times",
             "total_features",
             "models_needed",
             "os_user",
+            "batch_run_time",
         )
         .orderBy("model_type", "evaluation_end_time")
     )

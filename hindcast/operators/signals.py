@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.intervals import Interval
 from hindcast.functions.tristate import any_answer, matches_without, strongest, yes_no
-from hindcast.operators.asof import KEYS, Dates, expand, first_date, last_date
+from hindcast.operators.asof import KEYS, Dates, expand, first_date, last_date, within
 from hindcast.operators.cohorts import day
 
 
@@ -78,7 +78,8 @@ def signal_log(*logs: DataFrame) -> DataFrame:
 def _placed(log: DataFrame, dates: Dates, lookback: str) -> DataFrame:
     """Log rows on the dates whose `[t - lookback, t]` holds them."""
     span, at, undated = Interval.of(lookback), F.col("event_ts"), F.col("undated")
-    bounded = log.filter(undated | ((at >= span.before(first_date(dates))) & (at <= last_date(dates))))
+    low, high = span.before(first_date(dates)), last_date(dates)
+    bounded = log.filter(undated | (within(log, low, high) & (at >= low) & (at <= high)))
     bounds = {"first": span.before, "last": lambda t: t}
     return expand(bounded, dates, bounds, lambda w: undated | ((at >= w["first"]) & (at <= w["last"])))
 
@@ -100,28 +101,40 @@ def signal_combine_greatest(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     return wide.select(*KEYS, strongest(*[F.col(n) for n in names]).alias("sign"))
 
 
-def signs_by_period(log: DataFrame, periods: Mapping[str, tuple[str, str]], universe: DataFrame) -> DataFrame:
-    """Per entity one sign per period `[from, to]`; NULL where unknown. One pass for all periods.
+def signs_by_period(log: DataFrame, periods: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Per entity one sign per period `[from, to]`, NULL where unknown, for entities with a record in some period.
 
-    The universe joins the log as rows without a sign, so listed and signalled entities all appear.
+    One pass for all periods; records outside all of them are left out by date before anything is linked or grouped.
     """
-    inside = {name: F.col("event_ts").between(day(a), day(b)) for name, (a, b) in periods.items()}
-    rows = log.select("entity_id", "event_ts", "sign").unionByName(
-        universe.select("entity_id"), allowMissingColumns=True
+    inside = _inside(periods)
+    return (
+        log.filter(reduce(Column.__or__, inside.values()))
+        .groupBy("entity_id")
+        .agg(*[F.max(F.when(rule, F.col("sign"))).alias(name) for name, rule in inside.items()])
     )
-    return rows.groupBy("entity_id").agg(*[F.max(F.when(rule, F.col("sign"))).alias(n) for n, rule in inside.items()])
 
 
-def signal_combine_zero_filled(log: DataFrame, periods: Mapping[str, tuple[str, str]], universe: DataFrame) -> DataFrame:
-    """Signs by period with unknown counted as 0."""
-    signs = signs_by_period(log, periods, universe)
-    return signs.fillna(0, list(periods))
+def _inside(periods: Mapping[str, tuple[str, str]]) -> dict[str, Column]:
+    return {name: F.col("event_ts").between(day(a), day(b)) for name, (a, b) in periods.items()}
+
+
+def signal_combine_zero_filled(log: DataFrame, periods: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Signs by period with unknown counted as 0, for entities with a record in some period."""
+    return signs_by_period(log, periods).fillna(0, list(periods))
 
 
 def signal_two_periods(log: DataFrame, periods: Mapping[str, tuple[str, str]], cohort: DataFrame) -> DataFrame:
-    """Signs of cohort entities in a history and an outcome period, side by side."""
-    members = cohort.select("entity_id").distinct()
-    return signs_by_period(log.join(members, "entity_id", "left_semi"), periods, members)
+    """Signs of cohort entities in a history and an outcome period, side by side; NULL where unknown.
+
+    The cohort joins the log as marked rows, so one aggregation finds members and signs.
+    """
+    inside = _inside(periods)
+    signs = log.filter(reduce(Column.__or__, inside.values())).select("entity_id", "event_ts", "sign")
+    rows = signs.unionByName(cohort.select("entity_id", F.lit(True).alias("listed")), allowMissingColumns=True)
+    found = rows.groupBy("entity_id").agg(
+        F.max("listed").alias("listed"), *[F.max(F.when(rule, F.col("sign"))).alias(n) for n, rule in inside.items()]
+    )
+    return found.filter("listed").drop("listed")
 
 
 def signal_presence(sources: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:

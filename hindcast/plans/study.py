@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.intervals import Interval
 from hindcast.functions.timestamps import lasts_longer
-from hindcast.operators.asof import KEYS, Dates, expand, farthest, first_date, last_date
+from hindcast.operators.asof import KEYS, Dates, expand, farthest, first_date, last_date, within
+from hindcast.operators.evaluation import Cuts, evaluate, top_k_vs_random
 from hindcast.operators.features import FeatureGroup, feature_intervals, fill_missing, time_since_known
 from hindcast.operators.labels import label_timespans
 from hindcast.operators.matrix import matrix_build
-from hindcast.operators.spine import TemporalConfig, asof_spine
+from hindcast.operators.models import ModelSpec, model_grid
+from hindcast.operators.spine import TemporalConfig, asof_spine, known_from
 from hindcast.presets import LONG_STAY
 
 
@@ -33,6 +35,7 @@ def cohort_facts(
     start = F.col("start_ts")
     rows = (
         stays.filter("entity_id is not null")
+        .filter(within(stays, earliest, end(latest)))
         .filter((start >= earliest) & (start <= end(latest)))
         .select(
             "entity_id",
@@ -46,7 +49,7 @@ def cohort_facts(
         .unionByName(
             # only a sign of 1 can make a member; other rows need not be shuffled
             log.filter("sign = 1")
-            .filter(undated | ((at >= earliest) & (at <= latest)))
+            .filter(undated | (within(log, earliest, latest) & (at >= earliest) & (at <= latest)))
             .selectExpr(
                 "entity_id", "event_ts", "cast(null as timestamp_ntz) as end_ts", "false as is_long",
                 "false as is_stay", "sign", "undated",
@@ -91,29 +94,68 @@ def labelled_grid(
     return label_timespans(cohort_facts(stays, log, dates, lookback, timespans, minimum), timespans)
 
 
+@dataclass(frozen=True)
+class EventFeatures:
+    """Features over one source of events `(entity_id, knowledge_date, ...)`: groups, and time since the last one."""
+
+    groups: Sequence[FeatureGroup] = ()
+    recency: str | None = None
+    tiebreak: Sequence[str] = ()
+
+    def names(self) -> list[str]:
+        return [n for g in self.groups for n in g.names()] + ([self.recency] if self.recency else [])
+
+    def build(self, events: DataFrame, dates: Dates) -> list[DataFrame]:
+        parts = [feature_intervals(events, dates, *self.groups, tiebreak=self.tiebreak)] if self.groups else []
+        return parts + ([time_since_known(events, "knowledge_date", self.recency, dates)] if self.recency else [])
+
+
 @dataclass(frozen=True)
 class Study:
-    """`groups` are features over the stays."""
+    """`groups` are features over the stays, `sources` those over other events by the name of the source."""
 
     temporal: TemporalConfig
     lookback: str
     groups: Sequence[FeatureGroup]
     recency: str = "since_last_stay"
+    sources: Mapping[str, EventFeatures] = field(default_factory=dict)
 
     def feature_names(self) -> list[str]:
-        return [n for g in self.groups for n in g.names()] + [self.recency]
+        own = [n for g in self.groups for n in g.names()] + [self.recency]
+        return own + [n for source in self.sources.values() for n in source.names()]
 
     def spine(self, bounds: DataFrame) -> DataFrame:
         return asof_spine(bounds, self.temporal)
 
-    def matrices(self, stays: DataFrame, log: DataFrame, bounds: DataFrame) -> DataFrame:
-        """All train and test matrices of the grid as one frame."""
+    def matrices(
+        self, stays: DataFrame, log: DataFrame, bounds: DataFrame, events: Mapping[str, DataFrame] | None = None
+    ) -> DataFrame:
+        """All train and test matrices of the grid as one frame; `events` has a frame for each of `sources`.
+
+        Only events of entities in the labelled cohort are aggregated.
+        """
         spine = self.spine(bounds)
         timespans = sorted({self.temporal.training_label_timespan, self.temporal.test_label_timespan})
         labels = labelled_grid(stays, log, spine, self.lookback, timespans)
-        events = stays.withColumnRenamed("start_ts", "knowledge_date")
-        features = [
-            feature_intervals(events, spine, *self.groups, tiebreak=["stay_id"]),
-            time_since_known(stays, "start_ts", self.recency, spine),
-        ]
+        members = labels.select("entity_id").distinct()
+        own = EventFeatures(self.groups, self.recency, ["stay_id"])
+        known = {"": stays.withColumnRenamed("start_ts", "knowledge_date"), **(events or {})}
+        features = []
+        for name, source in {"": own, **self.sources}.items():
+            features += source.build(known_from(known[name], self.temporal).join(members, "entity_id", "left_semi"), spine)
         return fill_missing(matrix_build(labels, features, spine), self.feature_names())
+
+    def predictions(self, matrices: DataFrame, specs: Sequence[ModelSpec], splits: Sequence[int]) -> DataFrame:
+        """Scores of every spec on every split; pass stored matrices."""
+        return model_grid(matrices, self.feature_names(), specs, splits)
+
+
+def held_out_precision(predictions: DataFrame, k: int = 100) -> DataFrame:
+    """Precision in the top k of each model, split and test date beside the base rate."""
+    return top_k_vs_random(predictions.filter("role = 'test'"), ["model_id", "split_id", "as_of_date"], k)
+
+
+def evaluation_table(predictions: DataFrame, cuts: Cuts = Cuts((100,), ())) -> DataFrame:
+    """`evaluations` as a run leaves them behind: metrics of each model, split and test date."""
+    rows = predictions.filter("role = 'test'").withColumnRenamed("as_of_date", "evaluation_end_time")
+    return evaluate(rows, ["model_id", "split_id", "evaluation_end_time"], cuts)

@@ -25,6 +25,7 @@ MISSING_START_TIME = "00:00:01"
 MISSING_END_TIME = "23:59:59"
 LOOKBACK = "5yr"
 LONG_STAY = "2 weeks"
+BASE_RATE_SIGNALS = ["screen", "inventory", "pretrial", "incident"]
 HORIZONS = ["6 months", "1yr"]
 FEATURE_INTERVALS = ["1 year", "5 years", "all"]
 DURATION_INTERVALS = ["1 year", "3 years", "all"]

@@ -48,12 +48,12 @@ def test_wide_and_combined(frame):
 def test_periods(frame):
     log = frame(
         LOG, (1, "1999-01-01 00:00:00", "a", 0, False), (1, "2000-01-01 00:00:00", "a", 1, False),
-        (4, "2000-02-01 00:00:00", "b", 1, False),
+        (4, "2000-02-01 00:00:00", "b", 1, False), (5, "1990-01-01 00:00:00", "b", 1, False), (2, "2001-01-01 00:00:00", "b", 1, False),
     )
     universe = frame("entity_id bigint", (1,), (2,))
     periods = {"past": ("1995-01-01", "2000-01-01"), "next": ("2000-01-01", "2000-07-01")}
-    assert tuples(S.signs_by_period(log, periods, universe)) == [(1, 1, 1), (2, None, None), (4, None, 1)]
-    assert tuples(S.signal_combine_zero_filled(log, periods, universe)) == [(1, 1, 1), (2, 0, 0), (4, 0, 1)]
+    assert tuples(S.signs_by_period(log, periods)) == [(1, 1, 1), (4, None, 1)]
+    assert tuples(S.signal_combine_zero_filled(log, periods)) == [(1, 1, 1), (4, 0, 1)]
     assert tuples(S.signal_two_periods(log, periods, universe)) == [(1, 1, 1), (2, None, None)]
 
 

@@ -40,6 +40,11 @@ def test_resampling_is_stable_and_balances(spark):
     assert tuples(kept, "entity_id") == tuples(again, "entity_id")
 
 
+def test_resampling_keeps_rows_without_group(frame):
+    rows = frame("entity_id bigint, label int", (1, 0), (2, 1), (3, None))
+    assert tuples(M.resample_groups(rows, "label", "entity_id", 7), "entity_id") == [(1,), (2,), (3,)]
+
+
 @pytest.fixture(scope="module")
 def matrix(spark):
     """Label follows feature a; b is noise."""
@@ -61,6 +66,14 @@ def test_grid_expansion():
     assert [s.params.get("max_features") for s in specs[1:6]] == [1, 2, 3, 4, 5]
 
 
+def test_effective_parameters_are_recorded(spark):
+    forest = Z.expand_grid(Z.GRID)[0]
+    assert forest.params["max_depth"] == 50 and forest.effective()["max_depth"] == 30
+    rows = Z.model_table([forest, Z.ModelSpec(9, "rank_multi_feature", {})], [1, 2], "run").collect()
+    assert len({r.model_hash for r in rows}) == 4
+    assert '"max_depth": 50' in rows[0].hyperparameters and '"effective": {"max_depth": 30' in rows[0].hyperparameters
+
+
 def test_models_separate_and_cover_every_row(matrix):
     specs = [
         Z.ModelSpec(1, "random_forest", {"n_estimators": 10, "max_depth": 50, "min_samples_split": 25}),

@@ -39,48 +39,54 @@ def running_totals(
     order: Sequence[tuple[str, bool]],
     values: Sequence[str],
     buckets: int = 1024,
+    levels: int = 2,
 ) -> DataFrame:
     """Add `before_<v>` (sum over the rows ranked ahead) and `total_<v>` per group, exactly.
 
     `order` lists (column, descending) of numeric columns; together they are unique in a group. A plain window
-    would sort a whole group in one task. Here a group is cut into ranges of the first column, each range again
-    into ranges of its own extent, so that values crowded beside an outlier still spread, and a range that holds
-    a single value of the columns so far is cut on the next column. Ranges are totalled, the short lists of
-    totals are accumulated level by level, and only the rows of one innermost range are sorted together. A row's
-    range depends on values alone, so retries agree.
+    would sort a whole group in one task. Here a group is cut into ranges of the first column, and each range again
+    into ranges of its own extent, so that values crowded beside an outlier still spread; a range that holds a
+    single value of the first column is cut on the next one. More `levels` spread rows that share one value of a
+    column with many close values. Ranges are totalled, the short lists of totals are accumulated level by level,
+    and only the rows of one innermost range are sorted together. A row's range depends on values alone, so
+    retries agree.
     """
-    cuts = [order[0], *order]
     path, ranged = list(keys), df
 
-    def sum_ahead(v: str, *by: Column) -> Column:
-        ahead = Window.partitionBy(*path[:-1]).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    def sum_ahead(v: str) -> Column:
+        ahead = Window.partitionBy(*path[:-1]).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(v).over(ahead), F.lit(0))
 
     def totals(level: int) -> DataFrame:
-        """Sums per range, what is ahead of it, and the extent of the column that the next level cuts."""
+        """Sums per range, what is ahead of it, and the extents that the next level cuts."""
         aggs = [F.sum(v).alias(f"_sum_{v}") for v in values]
         if level:
             aggs += [F.max(f"_ahead_{v}").alias(f"_parent_{v}") for v in values]
-        if level < len(cuts):
-            value = F.col(cuts[level][0]).cast("double")
-            finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
-            fixed = [F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True)) for c, _ in order[: max(0, level - 1)]]
-            aggs += [F.min(finite).alias("_low"), F.max(finite).alias("_high"), reduce(Column.__and__, fixed, F.lit(True)).alias("_cut")]
+        if level < levels:
+            for i, (column, _) in enumerate(order):
+                value = F.col(column).cast("double")
+                finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+                aggs += [F.min(finite).alias(f"_low{i}"), F.max(finite).alias(f"_high{i}")]
+                known = F.count(column)
+                alone = F.min(column).eqNullSafe(F.max(column)) & ((known == 0) | (known == F.count(F.lit(1))))
+                aggs.append(alone.alias(f"_fixed{i}"))
         found = ranged.groupBy(*path).agg(*aggs)
         if not level:
             return found.withColumns({f"_ahead_{v}": F.lit(0) for v in values}).withColumnsRenamed({f"_sum_{v}": f"total_{v}" for v in values})
-        by = _ordered(path[-1], cuts[level - 1][1])
-        offsets = {f"_ahead_{v}": F.col(f"_parent_{v}") + sum_ahead(f"_sum_{v}", by) for v in values}
+        offsets = {f"_ahead_{v}": F.col(f"_parent_{v}") + sum_ahead(f"_sum_{v}") for v in values}
         return found.withColumns(offsets).drop(*[f"_sum_{v}" for v in values], *[f"_parent_{v}" for v in values])
 
     # Every branch over `df` uses its keys, order columns and values, so Spark computes their exchange once.
-    for level, (column, _) in enumerate(cuts):
-        found = totals(level)
-        ranged = ranged.drop(*[f"_ahead_{v}" for v in values]).join(found, path)
-        number = F.when(F.col("_cut"), _range_number(column, buckets)).otherwise(0)
-        ranged = ranged.withColumn(f"_range{level}", number).drop("_low", "_high", "_cut")
+    for level in range(levels):
+        ranged = ranged.drop(*[f"_ahead_{v}" for v in values]).join(totals(level), path)
+        number = F.lit(0)
+        for i, (column, descending) in reversed(list(enumerate(order))):
+            place = _range_number(column, i, buckets)
+            number = F.when(~F.col(f"_fixed{i}"), -place if descending else place).otherwise(number)
+        ranged = ranged.withColumn(f"_range{level}", number)
+        ranged = ranged.drop(*[f"{name}{i}" for i in range(len(order)) for name in ("_low", "_high", "_fixed")])
         path = [*path, f"_range{level}"]
-    offsets = totals(len(cuts))
+    offsets = totals(levels)
     ranged = ranged.drop(*[f"_ahead_{v}" for v in values]).join(offsets, path)
     ahead = Window.partitionBy(*path).orderBy(*[_ordered(c, desc) for c, desc in order])
     ahead = ahead.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,9 +97,9 @@ def running_totals(
     )
 
 
-def _range_number(column: str, buckets: int) -> Column:
-    """Where `column` falls between `_low` and `_high`; NULL, infinite and NaN values get ranges of their own."""
-    value, low, width = F.col(column).cast("double"), F.col("_low"), F.col("_high") - F.col("_low")
+def _range_number(column: str, i: int, buckets: int) -> Column:
+    """Where `column` falls in its extent, the i-th; NULL, infinite and NaN values get ranges of their own."""
+    value, low, width = F.col(column).cast("double"), F.col(f"_low{i}"), F.col(f"_high{i}") - F.col(f"_low{i}")
     place = F.when(width > 0, F.least(F.floor((value - low) / width * buckets), F.lit(buckets - 1))).otherwise(0)
     return (
         F.when(value.isNull(), -2)

@@ -18,6 +18,7 @@ from hindcast.operators.matrix import matrix_build
 from hindcast.operators.models import ModelSpec, model_grid
 from hindcast.operators.spine import TemporalConfig, asof_spine, known_from
 from hindcast.presets import LONG_STAY
+from hindcast.sources.sinks import through_storage
 
 
 def cohort_facts(
@@ -132,17 +133,20 @@ class Study:
     ) -> DataFrame:
         """All train and test matrices of the grid as one frame; `events` has a frame for each of `sources`.
 
-        Only events of entities in the labelled cohort are aggregated.
+        Only events of entities in the labelled cohort are aggregated. The labels are stored first, since every
+        group of features is narrowed by them.
         """
         spine = self.spine(bounds)
+        # The dates are a short list; as constants they prune stored events and stay inside generated code.
+        days = [r["as_of_date"] for r in spine.select("as_of_date").distinct().collect()] or spine
         timespans = sorted({self.temporal.training_label_timespan, self.temporal.test_label_timespan})
-        labels = labelled_grid(stays, log, spine, self.lookback, timespans)
+        labels = through_storage(labelled_grid(stays, log, days, self.lookback, timespans), "labels")
         members = labels.select("entity_id").distinct()
         own = EventFeatures(self.groups, self.recency, ["stay_id"])
         known = {"": stays.withColumnRenamed("start_ts", "knowledge_date"), **(events or {})}
         features = []
         for name, source in {"": own, **self.sources}.items():
-            features += source.build(known_from(known[name], self.temporal).join(members, "entity_id", "left_semi"), spine)
+            features += source.build(known_from(known[name], self.temporal).join(members, "entity_id", "left_semi"), days)
         return fill_missing(matrix_build(labels, features, spine), self.feature_names())
 
     def predictions(self, matrices: DataFrame, specs: Sequence[ModelSpec], splits: Sequence[int]) -> DataFrame:

@@ -28,9 +28,11 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -42,8 +44,6 @@ from .text import batch_of, chunks, grouped, ship
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.large_string()), ("n_chars", pa.int64())])
 WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.large_string())])
-DEEPEST = 150
-WIDEST = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
@@ -97,6 +97,7 @@ def symbol(tag: str, attributes: str) -> str:
     return f"{tag}.{'.'.join(sorted(words)[:8])}" if words else tag
 
 
+@lru_cache(1 << 14)
 def unwanted(sym: str) -> bool:
     tag, *words = sym.split(".")
     return tag not in NEVER_UNWANTED and (tag in UNWANTED or not UNWANTED_WORDS.isdisjoint(words))
@@ -110,18 +111,21 @@ class Element:
 
 
 def parse(html: str) -> Element:
-    """The nested stream of a page. Elements deeper than DEEPEST levels are looked through."""
+    """The nested stream of a page, however deep."""
     root = Element("", "")
     stack = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # where open elements of a tag stand in the stack
     at, n = 0, len(html)
 
+    def last(names: Iterable[str]) -> int:
+        return max((places[name][-1] for name in names if places.get(name)), default=0)
+
     def close(names: set[str], stops: Iterable[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in stops:
-                return
+        i = last(names)
+        if i and i >= last(stops):
+            for element in stack[i:]:
+                places[element.tag].pop()
+            del stack[i:]
 
     while at < n:
         lower = html.find("<", at)
@@ -153,7 +157,8 @@ def parse(html: str) -> Element:
                 raw = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(html, at)
                 closing = html.find(">", raw.start()) if raw else -1
                 at = closing + 1 if closing >= 0 else n
-            elif name not in VOID and not m["attributes"].endswith("/") and len(stack) < DEEPEST:
+            elif name not in VOID and not m["attributes"].endswith("/"):
+                places[name].append(len(stack))
                 stack.append(element)
     return root
 
@@ -173,31 +178,62 @@ class Wrapper:
     @classmethod
     def of(cls, element: Element, link: bool = False) -> Wrapper:
         """The wrapper of a single page."""
-        row, inner, text = [], {}, 0
-        for child in element.children:
-            if isinstance(child, str):
-                size = len(child.strip())
-                if not size:
-                    continue
-                text += size
-                sym = "#"
+        # Pages nest deeper than Python calls may, so open elements are kept in a list here and below.
+        opened: list[tuple] = [("", iter(element.children), [], {}, [0], link)]
+        while True:
+            name, children, row, inner, text, linked = opened[-1]
+            for child in children:
+                if isinstance(child, str):
+                    size = len(child.strip())
+                    if not size:
+                        continue
+                    text[0] += size
+                    sym = "#"
+                else:
+                    sym = child.symbol
+                if row and row[-1][0] == sym:
+                    row[-1][2] = True
+                else:
+                    row.append([sym, False, True if sym == "#" else False])
+                if sym != "#":
+                    opened.append((sym, iter(child.children), [], {}, [0], linked or child.tag == "a"))
+                    break
             else:
-                sym = child.symbol
-                own = cls.of(child, link or child.tag == "a")
-                inner[sym] = inner[sym].merged(own) if sym in inner else own
-            if row and row[-1][0] == sym:
-                row[-1][2] = True
-            else:
-                row.append([sym, False, True if sym == "#" else False])
-        return cls(_folded(row, []), inner, text, text if link else 0)
+                own = cls(_folded(row, []), inner, text[0], text[0] if linked else 0)
+                opened.pop()
+                if not opened:
+                    return own
+                inner = opened[-1][3]
+                inner[name] = inner[name].merged(own) if name in inner else own
 
     def merged(self, other: Wrapper) -> Wrapper:
-        inner = dict(self.inner)
-        for sym, own in other.inner.items():
-            inner[sym] = inner[sym].merged(own) if sym in inner else own
-        return Wrapper(_aligned(self.items, other.items), inner, self.text + other.text, self.linked + other.linked)
+        out = self._joined(other)
+        todo = [(out, other)]
+        while todo:
+            both, more = todo.pop()
+            for sym, own in more.inner.items():
+                if sym in both.inner:
+                    both.inner[sym] = both.inner[sym]._joined(own)
+                    todo.append((both.inner[sym], own))
+                else:
+                    both.inner[sym] = own
+        return out
+
+    def _joined(self, other: Wrapper) -> Wrapper:
+        """The two without what is inside the elements of the other."""
+        return Wrapper(_aligned(self.items, other.items), dict(self.inner), self.text + other.text, self.linked + other.linked)
 
     def accepts(self, element: Element) -> bool:
+        todo = [(self, element)]
+        while todo:
+            wrapper, element = todo.pop()
+            if not wrapper._fits(element):
+                return False
+            todo += [(wrapper.inner[c.symbol], c) for c in element.children if not isinstance(c, str)]
+        return True
+
+    def _fits(self, element: Element) -> bool:
+        """Whether the children stand as they may, whatever is inside them."""
         group, member = 0, -1
         places = {m[0]: (g, i) for g, (members, _) in enumerate(self.items) for i, m in enumerate(members)}
         seen = set()
@@ -208,8 +244,6 @@ class Wrapper:
                 sym = "#"
             else:
                 sym = child.symbol
-                if sym not in self.inner or not self.inner[sym].accepts(child):
-                    return False
             if sym not in places:
                 return False
             g, i = places[sym]
@@ -221,11 +255,20 @@ class Wrapper:
         return all(m[1] or m[0] in seen for members, _ in self.items for m in members)
 
     def dump(self) -> list:
-        return [self.items, {k: self.inner[k].dump() for k in sorted(self.inner)}, self.text, self.linked]
+        """All wrappers in a flat list, this one first; inner ones are given by their places."""
+        nodes, out = [self], []
+        for node in nodes:
+            names = sorted(node.inner)
+            out.append([node.items, {k: len(nodes) + i for i, k in enumerate(names)}, node.text, node.linked])
+            nodes += [node.inner[k] for k in names]
+        return out
 
     @classmethod
     def load(cls, data: list) -> Wrapper:
-        return cls(data[0], {k: cls.load(v) for k, v in data[1].items()}, data[2], data[3])
+        nodes = [cls(items, {}, text, linked) for items, _, text, linked in data]
+        for node, (_, inner, _, _) in zip(nodes, data, strict=True):
+            node.inner.update((k, nodes[i]) for k, i in inner.items())
+        return nodes[0]
 
 
 def _folded(row: list[list], spans: list[tuple[int, int]]) -> list:
@@ -264,8 +307,6 @@ def _aligned(a: list, b: list) -> list:
     names = [[m[0] for m in row] for row in rows]
     if names[0] == names[1]:
         pairs = [(i, i) for i in range(len(names[0]))]
-    elif max(map(len, names)) > WIDEST:
-        pairs = []  # too wide to order: all of it becomes one repeated group
     else:
         pairs = _common(*names)
     row: list[list] = []
@@ -293,54 +334,64 @@ def _aligned(a: list, b: list) -> list:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """Places of a longest common subsequence of two rows in which each symbol stands once: a longest rising one."""
+    place = {sym: j for j, sym in enumerate(b)}
+    lows: list[int] = []  # the smallest last place in b of a common subsequence of each length
+    ends: list[tuple] = []
+    for i, sym in enumerate(a):
+        if sym in place:
+            n = bisect_left(lows, place[sym])
+            lows[n : n + 1] = [place[sym]]
+            ends[n : n + 1] = [(i, place[sym], ends[n - 1] if n else None)]
+    out, end = [], ends[-1] if ends else None
+    while end:
+        out.append(end[:2])
+        end = end[2]
+    return out[::-1]
 
 
 def regions(wrapper: Wrapper) -> list[tuple[str, ...]]:
     """Paths of the elements that may hold the article, the likeliest first."""
     found: dict[str, list[tuple[int, tuple[str, ...]]]] = {"article": [], "main": []}
-
-    def size(node: Wrapper) -> int:
-        return node.text - 2 * node.linked + sum(size(v) for k, v in node.inner.items() if not unwanted(k))
-
-    def look(node: Wrapper, path: tuple[str, ...]) -> None:
+    order = [wrapper]
+    for node in order:
+        order += [v for k, v in node.inner.items() if not unwanted(k)]
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = node.text - 2 * node.linked + sum(size[id(v)] for k, v in node.inner.items() if not unwanted(k))
+
+    def path_of(end: tuple | None) -> tuple[str, ...]:
+        out = []
+        while end:
+            end, sym = end
+            out.append(sym)
+        return tuple(out[::-1])
+
+    todo: list[tuple] = [(wrapper, None)]
+    while todo:
+        node, above = todo.pop()
         for sym, own in node.inner.items():
             if unwanted(sym):
                 continue
             tag, *words = sym.split(".")
-            here = (*path, sym)
+            here = (above, sym)
             if tag == "article" or "articlebody" in words:
-                found["article"].append((size(own), here))
+                found["article"].append((size[id(own)], path_of(here)))
                 continue
             if tag == "main" or "main" in words and tag in ("div", "section"):
-                found["main"].append((size(own), here))
-            look(own, here)
-
-    look(wrapper, ())
+                found["main"].append((size[id(own)], path_of(here)))
+            todo.append((own, here))
     out = [path for kind in ("article", "main") for _, path in sorted(found[kind], key=lambda x: (-x[0], x[1]))]
-    path, node = (), wrapper
+    path, node = [], wrapper
     while True:  # down to the element in which most of the text still stands together
-        whole = size(node)
-        steps = [(size(v), k) for k, v in node.inner.items() if not unwanted(k) and k.split(".")[0] not in INLINE | {"p"}]
+        whole = size[id(node)]
+        steps = [(size[id(v)], k) for k, v in node.inner.items() if not unwanted(k) and k.split(".")[0] not in INLINE | {"p"}]
         most = max(steps, default=(0, ""))
         if not most[1] or most[0] * 10 < 8 * whole:
             break
-        path, node = (*path, most[1]), node.inner[most[1]]
-    return [*dict.fromkeys([*out, path, ()])]
+        path.append(most[1])
+        node = node.inner[most[1]]
+    return [*dict.fromkeys([*out, tuple(path), ()])]
 
 
 def blocks(element: Element, out: list[str], run: list[str]) -> None:
@@ -352,27 +403,32 @@ def blocks(element: Element, out: list[str], run: list[str]) -> None:
         if text:
             out.append(text)
 
-    for child in element.children:
-        if isinstance(child, str):
-            run.append(references.unescape(child))
-        elif not unwanted(child.symbol):
-            inline = child.tag in INLINE
-            if not inline:
+    opened = [(iter(element.children), True)]
+    while opened:
+        children, inline = opened[-1]
+        for child in children:
+            if isinstance(child, str):
+                run.append(references.unescape(child))
+                continue
+            if child.tag not in INLINE:
                 end()
-            blocks(child, out, run)
+            if not unwanted(child.symbol):
+                opened.append((iter(child.children), child.tag in INLINE))
+                break
+        else:
+            opened.pop()
             if not inline:
                 end()
-        elif child.tag not in INLINE:
-            end()
 
 
 def _at(element: Element, path: tuple[str, ...]) -> Iterator[Element]:
-    if not path:
-        yield element
-        return
-    for child in element.children:
-        if not isinstance(child, str) and child.symbol == path[0]:
-            yield from _at(child, path[1:])
+    todo = [(element, 0)]
+    while todo:
+        here, n = todo.pop()
+        if n == len(path):
+            yield here
+        else:
+            todo += [(c, n + 1) for c in reversed(here.children) if not isinstance(c, str) and c.symbol == path[n]]
 
 
 def main_text(page: Element, paths: list[tuple[str, ...]]) -> str:

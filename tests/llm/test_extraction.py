@@ -96,6 +96,31 @@ def test_wide_pages_do_not_take_long():
     assert both.accepts(parse(page)) and both.accepts(parse(other))
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div id=page><article>" + "<div>" * 200 + "deep" + "</div>" * 200 + "<p>tail</p></article></div><p>out</p>", "deep tail"),
+        ("<article>" + "<div>" * 200 + "<p>a</p><p>b</p><div class=ad>no</div><nav>no</nav>c" + "</div>" * 200 + "d</article>", "a b c d"),
+        ("<article>" + "<font>" * 200 + "<p>a<p>b<aside>no</aside></article><p>out</p>", "a b"),
+        ("<article>" + "<b><p>x" * 30000 + "</article>", " ".join(["x"] * 30000)),
+    ],
+    ids=["tail", "unwanted", "unclosed", "very deep"],
+)
+def test_deep_elements_are_like_others(page, want):
+    assert text_of(page) == want
+    tree = parse(page)
+    own = Wrapper.of(tree)
+    whole = Wrapper.load(json.loads(json.dumps(own.merged(Wrapper.of(parse("<article><p>else</p></article>"))).dump())))
+    assert whole.accepts(tree) and main_text(tree, regions(whole)) == want
+
+
+def test_wide_elements_are_aligned():
+    page = "".join(f"<x{chr(97 + i % 26)}{i // 26}>t</x{chr(97 + i % 26)}{i // 26}>" for i in range(500))
+    both = Wrapper.of(parse(page)).merged(Wrapper.of(parse(page + "<z>t</z>")))
+    assert [m for members, repeated in both.items for m in members if repeated or m[1]] == [["z", True, False]]
+    assert not both.accepts(parse("<z>t</z>"))
+
+
 def plain(page):
     """The main text of the test tables' pages, cut out by their known markup."""
     body = page.partition("<article>")[2].partition("</article>")[0]

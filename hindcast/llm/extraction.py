@@ -94,7 +94,7 @@ def symbol(tag: str, attributes: str) -> str:
     words = set()
     for m in _ATTRIBUTE.finditer(attributes):
         words.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-    return f"{tag}.{'.'.join(sorted(words)[:8])}" if words else tag
+    return f"{tag}.{'.'.join(sorted(words))}" if words else tag
 
 
 @lru_cache(1 << 14)

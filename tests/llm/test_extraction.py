@@ -114,6 +114,17 @@ def test_deep_elements_are_like_others(page, want):
     assert whole.accepts(tree) and main_text(tree, regions(whole)) == want
 
 
+@pytest.mark.parametrize("word", ["sidebar", "newsletter", "share", "widget"])
+def test_unwanted_words_count_wherever_they_stand(word):
+    classes = f"bg border flex gap hidden lg p rounded {word}"
+    assert text_of(f"<article><p>kept</p><div class='{classes}'>gone</div></article>") == "kept"
+
+
+def test_regions_are_told_by_any_word():
+    assert text_of("<div class='a b c d e f g h main'><p>in</p></div><p>longer text outside of it</p>") == "in"
+    assert text_of("<div itemprop=articleBody class='a aa ab ac ae af ag ah'><p>in</p></div><p>longer text outside of it</p>") == "in"
+
+
 def test_wide_elements_are_aligned():
     page = "".join(f"<x{chr(97 + i % 26)}{i // 26}>t</x{chr(97 + i % 26)}{i // 26}>" for i in range(500))
     both = Wrapper.of(parse(page)).merged(Wrapper.of(parse(page + "<z>t</z>")))

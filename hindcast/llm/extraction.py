@@ -3,7 +3,7 @@
 A page is a stream of tags and text, nested as a browser would nest it. The wrapper of a host is a union-free expression
 over such streams: inside each element, symbols (a tag with its class words, or `#` for a text slot) stand in order, each
 once, with marks for optional and repeated ones, and repeated groups. A wrapper is inferred iteratively, page by page:
-* texts that differ become a text slot;
+* texts that differ become a text slot (see below for those that do not);
 * a run of equal symbols becomes a repeated symbol;
 * where the streams mismatch, the symbols that only one side has become optional;
 * a symbol that would be needed twice shows a repetition: all from its first to its last place becomes a repeated
@@ -18,6 +18,11 @@ forms, scripts, styles and comments, told by tag and class words. A page is matc
 texts in the slots of the first region that has any are its main text. A page that does not match (none of those the
 wrapper was inferred from) is read by a wrapper of its own.
 
+Texts are compared by block: a block's place is the path of its element, and a place keeps the blocks that all pages with
+that place share (in table cells: equally often, as cells repeat few values). At the first mismatch a block becomes a
+slot; blocks still constant after `several` pages that differ in their texts are template text and left out. Fewer pages
+do not tell template from content, and where a page's region holds nothing but constants, they are its text.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space; nothing
 is cut. Null pages and pages without text are empty; a page without a readable host belongs to the host "". Repeated
 rows are extracted alike, empty tables give an empty result, and only page_id, url and html are read.
@@ -29,10 +34,11 @@ import html as references
 import json
 import re
 from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
+from hashlib import blake2b
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -44,6 +50,8 @@ from .text import batch_of, chunks, grouped, ship
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.large_string()), ("n_chars", pa.int64())])
 WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.large_string())])
+#: So many different pages tell what is constant from what is equal by chance.
+SEVERAL = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
@@ -67,6 +75,7 @@ BLOCKS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+CELLS = frozenset(("td", "th"))
 UNWANTED = frozenset(
     "head nav header footer aside form button select option input label fieldset dialog menu object audio video canvas map".split()
 ) | RAW
@@ -394,18 +403,31 @@ def regions(wrapper: Wrapper) -> list[tuple[str, ...]]:
     return [*dict.fromkeys([*out, tuple(path), ()])]
 
 
-def blocks(element: Element, out: list[str], run: list[str]) -> None:
-    """Blocks of text in an element without its unwanted parts; `run` is the text of the block that is still open."""
+def _key(text: str, salt: int = 0) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, salt=salt.to_bytes(8)).digest())
+
+
+@lru_cache(1 << 14)
+def _below(place: int, sym: str) -> int:
+    return _key(sym, place)
+
+
+def blocks(element: Element, place: int = 0) -> list[tuple[int, str, str]]:
+    """Blocks of text in an element without its unwanted parts: the place and the tag of the innermost block element
+    that holds it, and the text. `place` is that of the element itself."""
+    out: list[tuple[int, str, str]] = []
+    run: list[str] = []
 
     def end() -> None:
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            out.append(text)
+            out.append((*holders[-1], text))
 
-    opened = [(iter(element.children), True)]
+    holders = [(place, element.tag)]
+    opened = [(iter(element.children), place, False)]
     while opened:
-        children, inline = opened[-1]
+        children, here, inline = opened[-1]
         for child in children:
             if isinstance(child, str):
                 run.append(references.unescape(child))
@@ -413,12 +435,62 @@ def blocks(element: Element, out: list[str], run: list[str]) -> None:
             if child.tag not in INLINE:
                 end()
             if not unwanted(child.symbol):
-                opened.append((iter(child.children), child.tag in INLINE))
+                below = _below(here, child.symbol)
+                opened.append((iter(child.children), below, child.tag in INLINE))
+                if child.tag not in INLINE:
+                    holders.append((below, child.tag))
                 break
         else:
             opened.pop()
             if not inline:
                 end()
+                holders.pop()
+    return out
+
+
+class Constants:
+    """The blocks of each place that all pages share, and the smallest `several` keys of pages with that place."""
+
+    __slots__ = ("places",)
+
+    def __init__(self, places: dict[int, tuple[list[int], frozenset[int]]]):
+        self.places = places
+
+    @classmethod
+    def of(cls, page: Element) -> Constants:
+        """The blocks of a single page."""
+        found: dict[int, set[int]] = defaultdict(set)
+        every = blocks(page)
+        for place, block in _block_keys(every):
+            found[place].add(block)
+        page_key = _key("\n".join(text for _, _, text in every))
+        return cls({place: ([page_key], frozenset(keys)) for place, keys in found.items()})
+
+    def merged(self, other: Constants) -> Constants:
+        places = dict(self.places)
+        for place, (pages, keys) in other.places.items():
+            if place in places:
+                pages = sorted({*places[place][0], *pages})[:SEVERAL]
+                keys = places[place][1] & keys
+            places[place] = pages, keys
+        return Constants(places)
+
+    def template(self) -> set[tuple[int, int]]:
+        """Place and key of the blocks that are template text."""
+        return {(place, key) for place, (pages, keys) in self.places.items() if len(pages) >= SEVERAL for key in keys}
+
+    def dump(self) -> list:
+        return [[place, pages, sorted(keys)] for place, (pages, keys) in sorted(self.places.items())]
+
+    @classmethod
+    def load(cls, data: list) -> Constants:
+        return cls({place: (pages, frozenset(keys)) for place, pages, keys in data})
+
+
+def _block_keys(every: list[tuple[int, str, str]]) -> list[tuple[int, int]]:
+    """Place and key of each block."""
+    cells = Counter((place, text) for place, tag, text in every if tag in CELLS)
+    return [(place, _key(text, cells.get((place, text), 0))) for place, _, text in every]
 
 
 def _at(element: Element, path: tuple[str, ...]) -> Iterator[Element]:
@@ -431,17 +503,15 @@ def _at(element: Element, path: tuple[str, ...]) -> Iterator[Element]:
             todo += [(c, n + 1) for c in reversed(here.children) if not isinstance(c, str) and c.symbol == path[n]]
 
 
-def main_text(page: Element, paths: list[tuple[str, ...]]) -> str:
+def main_text(page: Element, paths: list[tuple[str, ...]], template: Container[tuple[int, int]] = ()) -> str:
     for path in paths:
-        out: list[str] = []
-        for element in _at(page, path):
-            run: list[str] = []
-            blocks(element, out, run)
-            rest = " ".join("".join(run).split())
-            if rest:
-                out.append(rest)
-        if out:
-            return " ".join(out)
+        place = 0
+        for sym in path:
+            place = _below(place, sym)
+        every = [block for element in _at(page, path) for block in blocks(element, place)]
+        if every:
+            kept = [text for (_, _, text), key in zip(every, _block_keys(every), strict=True) if key not in template] if template else []
+            return " ".join(kept or [text for _, _, text in every])
     return ""
 
 
@@ -452,17 +522,31 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _both(a: tuple[Wrapper, Constants], b: tuple[Wrapper, Constants]) -> tuple[Wrapper, Constants]:
+    return a[0].merged(b[0]), a[1].merged(b[1])
+
+
+def _told(wrapper: Wrapper, constants: Constants) -> str:
+    return json.dumps([wrapper.dump(), constants.dump()], separators=(",", ":"))
+
+
+def _read(text: str) -> tuple[Wrapper, Constants]:
+    wrapper, constants = json.loads(text)
+    return Wrapper.load(wrapper), Constants.load(constants)
+
+
 def _infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One wrapper per host from the pages of a partition."""
-    found: dict[str, Wrapper] = {}
+    found: dict[str, tuple[Wrapper, Constants]] = {}
 
     def told() -> pa.RecordBatch:
-        return batch_of(WRAPPERS, [list(found), [json.dumps(w.dump(), separators=(",", ":")) for w in found.values()]])
+        return batch_of(WRAPPERS, [list(found), [_told(*x) for x in found.values()]])
 
     for batch in chunks(batches, "html"):
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            host, own = host_of(url), Wrapper.of(parse(html))
-            found[host] = found[host].merged(own) if host in found else own
+            host, page = host_of(url), parse(html)
+            own = Wrapper.of(page), Constants.of(page)
+            found[host] = _both(found[host], own) if host in found else own
         if len(found) > 5000:
             yield told()
             found.clear()
@@ -474,10 +558,10 @@ def _merge(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
         texts = sorted(group["wrapper"].to_pylist())
         out = texts[0]
         if len(texts) > 1:
-            merged = Wrapper.load(json.loads(texts[0]))
+            merged = _read(texts[0])
             for text in texts[1:]:
-                merged = merged.merged(Wrapper.load(json.loads(text)))
-            out = json.dumps(merged.dump(), separators=(",", ":"))
+                merged = _both(merged, _read(text))
+            out = _told(*merged)
         yield batch_of(WRAPPERS, [[group["host"][0].as_py()], [out]])
 
 
@@ -492,7 +576,7 @@ def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
     return found
 
 
-_KNOWN: dict[str, tuple[Wrapper, list[tuple[str, ...]]]] = {}
+_KNOWN: dict[str, tuple[Wrapper, list[tuple[str, ...]], set[tuple[int, int]]]] = {}
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,12 +587,12 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if data is not None and data not in _KNOWN:
                 if len(_KNOWN) > 2000:
                     _KNOWN.clear()
-                own = Wrapper.load(json.loads(data))
-                _KNOWN[data] = own, regions(own)
-            wrapper, paths = _KNOWN[data] if data is not None else (None, [])
+                own, constants = _read(data)
+                _KNOWN[data] = own, regions(own), constants.template()
+            wrapper, paths, template = _KNOWN[data] if data is not None else (None, [], set())
             if wrapper is None or not wrapper.accepts(page):
                 paths = regions(Wrapper.of(page))
-            texts.append(main_text(page, paths))
+            texts.append(main_text(page, paths, template))
         yield batch_of(RESULT, [batch.column(0), batch.column(1), texts, [len(t) for t in texts]])
 
 

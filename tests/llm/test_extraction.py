@@ -132,6 +132,52 @@ def test_wide_elements_are_aligned():
     assert not both.accepts(parse("<z>t</z>"))
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)]
+    found = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    return [r.text for r in sorted(found.collect())]
+
+
+def test_texts_equal_on_all_pages_of_a_host_are_template(spark):
+    def page(i):
+        body = "".join(f"<p>story {i} <b>and</b> part {k}</p><p>and</p>" if k else f"<p>start {i}</p>" for k in range(i % 3 + 1))
+        note = "<p>Read <b>more</b> like this:</p>" if i % 2 else "<div class=q>Get our  letter</div>"
+        cells = f"<table><tr><td>0</td><td>x{i}</td>{'<td>0</td>' * (i % 2)}<td>Sum</td></tr></table>"
+        return f"<body><p>Top line</p><article><h1>title {i}</h1>{note}{body}<p>Subscribe\nnow</p>{cells}</article></body>"
+
+    def want(i):
+        body = [f"story {i} and part {k} and" if k else f"start {i}" for k in range(i % 3 + 1)]
+        note = ["Read more like this:"] * (i % 2)  # other pages have that place without it
+        return " ".join([f"title {i}", *note, *body, "0", f"x{i}", *["0"] * (i % 2)])
+
+    assert extracted(spark, [("a", page(i)) for i in range(12)]) == [want(i) for i in range(12)]
+
+
+def test_a_few_or_equal_pages_tell_no_template(spark):
+    page = "<article><p>one {}</p><p>same</p></article>"
+    pages = [("two", page.format(0)), ("two", page.format(1)), *[("copies", f"<head><title>{i}</title></head>" + page.format(0)) for i in range(5)]]
+    assert extracted(spark, pages) == ["one 0 same", "one 1 same", *["one 0 same"] * 5]
+    whole = [("all", f"<p>date {i}</p><article><p>same text</p></article>") for i in range(4)]
+    assert extracted(spark, whole) == ["same text"] * 4
+
+
+def test_constants_do_not_depend_on_the_order_of_pages():
+    rng = random.Random(4)
+    parts = [extraction.Constants.of(parse(random_page(rng) + "<p>same</p>")) for _ in range(9)]
+
+    def merged(items):
+        out = items[0]
+        for x in items[1:]:
+            out = out.merged(x)
+        return out
+
+    want = merged(parts).dump()
+    assert merged(parts).template()
+    for _ in range(5):
+        rng.shuffle(parts)
+        assert merged([merged(parts[:4]), extraction.Constants.load(json.loads(json.dumps(merged(parts[4:]).dump())))]).dump() == want
+
+
 def plain(page):
     """The main text of the test tables' pages, cut out by their known markup."""
     body = page.partition("<article>")[2].partition("</article>")[0]

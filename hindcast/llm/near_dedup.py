@@ -385,7 +385,7 @@ def _in_groups(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFra
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similar: float = 0.8, share: float = 0.01, agree: float = 0.65) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similar: float = 0.8, share: float = 0.01, agree: float = 0.5) -> DataFrame:
     """doc_id, class_id (the smallest id among its near duplicates) and kept (it is that one), one row per document."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")

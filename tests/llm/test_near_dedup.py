@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hindcast.llm import near_dedup
@@ -114,6 +115,30 @@ def test_share_of_equal_samples_is_the_weighted_similarity():
     assert np.abs(exact - estimated).max() < 0.25
 
 
+def test_pairs_with_few_equal_samples_are_verified(spark):
+    """Thinned pairs at a similarity of exactly 0.8 that share a band, but less than 65 % of their samples."""
+    rng, texts = random.Random(270), []
+    for _ in range(3000):
+        base = [rng.randrange(10**9) for _ in range(274)]
+        other = list(base)
+        other[22::45] = [rng.randrange(10**9, 2 * 10**9) for _ in other[22::45]]
+        texts += [" ".join(map(str, base)), " ".join(map(str, other))]
+    first, second = (shingles(t) for t in texts[:2])
+    assert (first & second).total() / (first | second).total() == 0.8
+    hard = []
+    for start in range(0, len(texts), 1000):
+        sampled = near_dedup.Sampled(near_dedup.Texts(pa.array(texts[start : start + 1000]), 5), near_dedup.Frequent(10**6, 0.01, {}), 0.8)
+        assert sampled.rows == [(i, 1) for i in range(1000)]
+        bands = sampled.bands()
+        for i in range(0, 1000, 2):
+            if (bands[i] == bands[i + 1]).any() and (sampled.samples[i] == sampled.samples[i + 1]).mean() < 0.65:
+                hard += texts[start + i : start + i + 2]
+    assert len(hard) >= 10
+    others = [f"a short text on number {i}" for i in range(300)]  # so that two texts are under one in a hundred
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, [*hard, *others])).collect()}
+    assert [found[i + 1] for i in range(0, len(hard), 2)] == list(range(0, len(hard), 2))
+
+
 def test_similar_texts_meet_on_a_common_level():
     for weight in np.linspace(1, 9000, 4001):
         a = near_dedup.levels_of(float(weight), 0.8)

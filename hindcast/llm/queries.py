@@ -13,6 +13,7 @@ from . import (
     extraction,
     line_quality,
     near_dedup,
+    ngram_join,
     packing,
     personal_data,
     secrets,
@@ -89,6 +90,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read_table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe())
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read_table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_token_counts,
         op11_alignment,
+        op13_ngram_join,
     )
 }
 
@@ -137,4 +143,23 @@ ORACLES: dict[str, str] = {
                  [words[i] for i in range(1, len(words) + 1) if places is null or not list_contains(places, i)], ' '), ''))
                  as kept_sha256
         from docs left join gone using (doc_id)""",
+    "op13_ngram_join": r"""
+        with recursive docs as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x20\x09-\x0D]+') as words from documents),
+        grams as materialized (
+          select distinct doc_id, array_to_string(words[start : start + 4], ' ') as gram
+          from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as start from docs where len(words) > 0)),
+        sizes as materialized (select doc_id, count(*) as n from grams group by doc_id),
+        linked as materialized (
+          select a.doc_id as one, b.doc_id as other
+          from grams a join grams b on a.gram = b.gram and a.doc_id <> b.doc_id
+          join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+          group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reached as (
+          select one, other from linked
+          union select reached.one, linked.other from reached join linked on reached.other = linked.one)
+        select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(first, doc_id)) as component_id
+        from documents left join sizes using (doc_id)
+        left join (select one as doc_id, min(other) as first from reached group by one) using (doc_id)""",
 }

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     alignment,
     chat,
     decontamination,
     extraction,
+    hard_negatives,
     line_quality,
     near_dedup,
     ngram_join,
@@ -90,6 +92,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read_table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(read_table(spark, sf_dir, "documents"), words=5, percent=80)
 
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_token_counts,
         op11_alignment,
+        op12_hard_negatives,
         op13_ngram_join,
     )
 }
@@ -143,6 +152,27 @@ ORACLES: dict[str, str] = {
                  [words[i] for i in range(1, len(words) + 1) if places is null or not list_contains(places, i)], ' '), ''))
                  as kept_sha256
         from docs left join gone using (doc_id)""",
+    "op12_hard_negatives": r"""
+        with valid as (
+          select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding from embeddings
+          where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        parts as materialized (
+          select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from valid),
+        scores as materialized (
+          select a.vec_id as anchor, r.vec_id as id, a.label = r.label as same,
+                 cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) as bigint) as score
+          from parts a join parts r on a.vec_id <> r.vec_id where a.vec_id % 50 = 0),
+        positives as (
+          select anchor, id, score from scores where same
+          qualify row_number() over (partition by anchor order by score desc, id) <= 5),
+        negatives as (
+          select p.anchor, p.id as positive, p.score as positive_score, n.id as negative, n.score as negative_score,
+                 row_number() over (partition by p.anchor, p.id order by n.score desc, n.id) as rank
+          from positives p join scores n on n.anchor = p.anchor and not n.same
+          where 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+        select anchor as anchor_id, positive as positive_id, cast(rank as integer) as rank, negative as negative_id,
+               positive_score, negative_score
+        from negatives where rank <= 3""",
     "op13_ngram_join": r"""
         with recursive docs as (
           select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -26,8 +26,10 @@ gives an empty result. A very long text is a chunk of its own. Columns other tha
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import through_storage
-from .text import batch_of, byte_sums, bytes_of, chunks, mix, ship, shifted
+from .text import CHUNK_BYTES, batch_of, byte_sums, bytes_of, chunks, mix, ship, shifted
 
 CHUNK = 4 << 20
 #: Units remembered by a worker; the memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Groups with more links than this are linked by their different ids.
 MANY_LINKS = 4096
 
@@ -107,36 +109,85 @@ def _byte_level(tokenizer) -> list[bytes]:
     return out
 
 
+class _Side:
+    """One tokenizer: the bytes of its ids, and the ids of the units in the memory, unit after unit."""
+
+    def __init__(self, of_ids: list[bytes]):
+        self.lengths = np.array([len(t) for t in of_ids], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(of_ids), np.uint8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids = np.zeros(0, np.int32)
+        self.first, self.count = np.zeros((2, 0), np.int64)
+
+    def learn(self, found: list[list[int]], data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Remember the ids of units whose bytes, `sizes` each, follow each other in `data`; whether they spell them."""
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, ids])
+        unit = np.repeat(np.arange(len(found)), count)
+        spelled = np.bincount(unit, self.lengths[ids], minlength=len(found)).astype(np.int64)
+        ok = spelled == sizes
+        ids = ids[ok[unit]]
+        same = self.bytes[_rows_of(self.begins[ids], self.lengths[ids])] == data[np.repeat(ok, sizes)]
+        ok[np.repeat(np.flatnonzero(ok), sizes[ok])[~same]] = False
+        return ok
+
+
 class Tokenizers:
-    """Both tokenizers, the bytes of their ids, and the ids of the units a worker has met."""
+    """Both tokenizers, and the units a worker has met, found by the hash of their bytes."""
 
     def __init__(self, a: str, b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(a), SentencePieceProcessor(model_file=b)
         self.a.encode_special_tokens = True
-        self.bytes_a = _byte_level(self.a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_a = _byte_level(self.a)
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        self.lengths_a, self.lengths_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.sides = _Side(self.bytes_a), _Side(self.bytes_b)
         # Units are sound if no piece goes on with a space after anything else.
         self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces)
         # The space that ends a text is a unit of its own, to which B adds nothing.
         self.last_space = self.b.encode("a ")[len(self.b.encode("a")) :]
-        self.known: dict[int, tuple[bytes, bytes, bool]] = {}
-
-    def learn(self, hashes: list[int], units: list[bytes]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.order, self.ok = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        for side in self.sides:
+            side.clear()
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the units with these hashes, and which of them are known."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.order[at], self.hashes[at] == hashes
+
+    def learn(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Units of which the bytes begin and end there in `data`; different ones, and new."""
+        raw = data.tobytes()
+        units = [raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
         texts = [u.decode() for u in units]
-        for h, unit, a, b in zip(
-            hashes, units, self.a.encode_batch_fast(texts, add_special_tokens=False),
-            self.b.encode([t[1:] for t in texts], num_threads=1), strict=True,
-        ):
-            b = b if unit != b" " else self.last_space
-            ok = b"".join([self.bytes_a[i] for i in a.ids]) == unit == b"".join([self.bytes_b[i] for i in b])
-            self.known[h] = np.array(a.ids, "<i4").tobytes(), np.array(b, "<i4").tobytes(), ok
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        for i in [i for i, u in enumerate(units) if u == b" "]:
+            b[i] = self.last_space
+        sizes = end - begin
+        data = np.frombuffer(b"".join(units), np.uint8)
+        ok = np.logical_and(*(side.learn(ids, data, sizes) for side, ids in zip(self.sides, (a, b), strict=True)))
+        hashes = np.concatenate([self.hashes, hashes])
+        by_hash = np.argsort(hashes, kind="stable")
+        self.hashes, self.order = hashes[by_hash], np.concatenate([self.order, len(self.ok) + np.arange(len(units))])[by_hash]
+        self.ok = np.concatenate([self.ok, ok])
 
 
 _TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}
@@ -182,27 +233,24 @@ def _tokens(texts: pa.Array, known: Tokenizers) -> tuple[_Tokens, _Tokens]:
     total = byte_sums(data, 1)
     hashes = shifted(total[end] - total[begin], begin, len(total)) + mix((end - begin).astype(np.uint64))
     different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    listed = different.tolist()
-    if not known.by_unit or len(known.known) > REMEMBERED:
-        known.known.clear()
-    new = [k for k, h in enumerate(listed) if h not in known.known]
-    if new:
-        raw = data.tobytes()
-        known.learn([listed[k] for k in new], [raw[begin[first[k]] : end[first[k]]] for k in new])
-    found = [known.known[h] for h in listed]
-    bad = ~np.array([ok for _, _, ok in found], bool)[which]
+    if not known.by_unit or len(known.ok) > REMEMBERED:
+        known.clear()
+    at, met = known.find(different)
+    if not met.all():
+        new = first[~met]
+        known.learn(different[~met], data, begin[new], end[new])
+        at, _ = known.find(different)
+    at = at[which]
+    bad = ~known.ok[at]
     owner = np.searchsorted(starts, begin, side="right") - 1
     spoilt = np.zeros(len(full), bool)
     spoilt[owner[bad]] = True
     out = []
-    for side in (0, 1):
-        sizes = np.array([len(x[side]) // 4 for x in found], np.int64)
-        ids = np.frombuffer(b"".join([x[side] for x in found]), "<i4")
-        own = np.where(spoilt[owner], 0, sizes[which])
-        ids = ids[_rows_of((np.cumsum(sizes) - sizes)[which], own)]
+    for side in known.sides:
+        own = np.where(spoilt[owner], 0, side.count[at])
         per = np.zeros(len(texts), np.int64)
         per[full] = np.bincount(owner, own, minlength=len(full)).astype(np.int64)
-        out.append(_Tokens(ids, np.concatenate([[0], np.cumsum(per)])))
+        out.append(_Tokens(side.ids[_rows_of(side.first[at], own)], np.concatenate([[0], np.cumsum(per)])))
     return out[0], out[1]
 
 
@@ -211,7 +259,7 @@ class Aligned:
 
     def __init__(self, texts: pa.Array, known: Tokenizers):
         self.a, self.b = _tokens(texts, known)
-        ends = [np.cumsum(sizes[t.ids]) for t, sizes in ((self.a, known.lengths_a), (self.b, known.lengths_b))]
+        ends = [np.cumsum(sizes[t.ids]) for t, sizes in zip((self.a, self.b), (side.lengths for side in known.sides), strict=True)]
         irregular = np.array(in_step(ends[0].tolist(), ends[1].tolist()), np.int64).reshape(-1, 4)
         self.a_ends = self._ends(len(self.a.ids), irregular[:, 0], irregular[:, 2])
         self.b_ends = self._ends(len(self.b.ids), irregular[:, 1], irregular[:, 3])
@@ -314,44 +362,57 @@ def links(found: Aligned, n_b: int, many: int = MANY_LINKS) -> tuple[np.ndarray,
     return pair & 0xFFFFFFFF, times, pair >> 32
 
 
+def _described(batch: pa.RecordBatch, known: Tokenizers) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of DOCS up to the digest; pairs, their number and the edges of the documents among them."""
+    n_a, n_b = (len(side.lengths) for side in known.sides)
+    found = Aligned(batch.column(1), known)
+    pair, times, doc = links(found, n_b)
+    text, begin = spelled(found, max(n_a, n_b))
+    shown = memoryview(text)
+    hashes = [hashlib.sha256(shown[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+    edges = np.searchsorted(doc, np.arange(len(batch) + 1))
+    n_links = np.diff(np.concatenate([[0], np.cumsum(times)])[edges])
+    counts = [np.diff(found.a.edges), np.diff(found.b.edges), np.diff(found.edges), n_links]
+    return [batch.column(0), *map(pa.array, counts), pa.array(hashes, pa.string())], pair, times, edges
+
+
 def _linked(batches: Iterable[pa.RecordBatch], a: str, b: str, size: int) -> Iterator[pa.RecordBatch]:
     known = tokenizers_of(a, b)
-    n_a, n_b = len(known.bytes_a), len(known.bytes_b)
-    if n_a * n_b > 1 << 32:
+    if len(known.bytes_a) * len(known.bytes_b) > 1 << 32:
         raise ValueError("a pair of ids must fit 32 bits")
     first = TaskContext.get().partitionId() << 32
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for i, batch in enumerate(chunks(batches, "text", size)):
-        found = Aligned(batch.column(1), known)
-        pair, times, doc = links(found, n_b)
-        different, place, holders = np.unique(pair, return_inverse=True, return_counts=True)
-        text, begin = spelled(found, max(n_a, n_b))
-        shown = memoryview(text)
-        hashes = [
-            hashlib.sha256(shown[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)
-        ]
-        edges = np.searchsorted(doc, np.arange(len(batch) + 1))
-        sums = np.concatenate([[0], np.cumsum(times)])
-        # Places ascend within a document; their steps are small numbers, which compress well.
-        steps = np.diff(place, prepend=0)
-        begins = edges[:-1][edges[:-1] < edges[1:]]
-        steps[begins] = place[begins]
-        docs = pa.record_batch(
-            [
-                batch.column(0), pa.array(np.diff(found.a.edges)), pa.array(np.diff(found.b.edges)), pa.array(np.diff(found.edges)),
-                pa.array(np.diff(sums[edges])), pa.array(hashes, pa.string()),
-                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(steps, pa.int32())),
-                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(times, pa.int32())),
-            ],
-            schema=DOCS,
-        )
+    for i, slices in enumerate(_together(chunks(batches, "text", min(size, CHUNK_BYTES)), size)):
+        parts = [_described(batch, known) for batch in slices]
+        different, place, holders = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True, return_counts=True)
         out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, DOCS, options=options) as stream:
-            stream.write_batch(docs)
+        with pa.ipc.new_stream(out, DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            done = 0
+            for columns, pair, times, edges in parts:
+                own = place[done : done + len(pair)]
+                done += len(pair)
+                # Places ascend within a document; their steps are small numbers, which compress well.
+                steps = np.diff(own, prepend=0)
+                begins = edges[:-1][edges[:-1] < edges[1:]]
+                steps[begins] = own[begins]
+                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x, pa.int32())) for x in (steps, times)]
+                stream.write_batch(pa.record_batch([*columns, *lists], schema=DOCS))
         packed = [different.astype("<u4").tobytes(), holders.astype("<u4").tobytes(), out.getvalue().to_pybytes()]
         yield batch_of(LINKED, [[first + i], *([p] for p in packed)])
 
 
+def _together(slices: Iterable[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices in lists of about `size` bytes."""
+    held, n_bytes = [], 0
+    for batch in slices:
+        if held and n_bytes + batch.nbytes > size:
+            yield held
+            held, n_bytes = [], 0
+        held.append(batch)
+        n_bytes += batch.nbytes
+    if held:
+        yield held
+
+
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, pairs, holders in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -363,22 +424,22 @@ def _scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = batch.column(batch.schema.get_field_index("scores"))
         for k in range(batch.num_rows):
-            docs = pa.ipc.open_stream(batch.column("docs")[k].as_py()).read_next_batch()
             # A chunk without any tokens gets no scores.
             own = scores[k].values if scores[k].is_valid else None
             count, best = np.zeros((2, len(own) if own is not None else 0), np.int64)
             if own is not None:
                 place = own.field("place").to_numpy()
                 count[place], best[place] = own.field("count").to_numpy(), own.field("best").to_numpy(zero_copy_only=False)
-            edges = docs.column("steps").offsets.to_numpy()
-            steps, times = (docs.column(c).values.to_numpy().astype(np.int64) for c in ("steps", "times"))
-            # Steps add up from the first of each document.
-            run = np.concatenate([[0], np.cumsum(steps)])
-            place = run[1:] - np.repeat(run[edges[:-1]], np.diff(edges))
-            sums = [np.diff(np.concatenate([[0], np.cumsum(times * x[place])])[edges]) for x in (best, count)]
-            columns = {c: docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-            columns |= {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in RESULT], schema=RESULT)
+            for docs in pa.ipc.open_stream(batch.column("docs")[k].as_py()):
+                edges = docs.column("steps").offsets.to_numpy()
+                steps, times = (docs.column(c).values.to_numpy().astype(np.int64) for c in ("steps", "times"))
+                # Steps add up from the first of each document.
+                run = np.concatenate([[0], np.cumsum(steps)])
+                place = run[1:] - np.repeat(run[edges[:-1]], np.diff(edges))
+                sums = [np.diff(np.concatenate([[0], np.cumsum(times * x[place])])[edges]) for x in (best, count)]
+                columns = {c: docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
+                columns |= {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
+                yield pa.RecordBatch.from_arrays([columns[f.name] for f in RESULT], schema=RESULT)
 
 
 def link_counts(chunk_rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from fixtures.adapters import Tables
@@ -19,48 +21,75 @@ from hindcast.presets import (
 SIGNALS = ["screen", "inventory", "pretrial", "encounter", "incident", "admission", "call"]
 
 
+def linked(t: Tables, name: str, source: str | None = NUMBER) -> tuple[DataFrame, str]:
+    """The linked events of a signal's source, and their timestamp."""
+    if name == "screen":
+        return t.stays, "start_ts"
+    if name == "inventory":
+        return L.link_via(t.inventory, t.cases, "case_no"), "assessed_ts"
+    if name == "pretrial":
+        return L.link_two_hop(t.pretrial, t.name_index, "urno", "person_number", t.crosswalk, source), "created_ts"
+    if name == "encounter":
+        return L.link_entity(t.encounters, t.crosswalk, PATIENT, "patient_no"), "encounter_ts"
+    if name == "incident":
+        return L.link_hashed(t.raw_incidents, t.incidents, "id", "hash_key", t.crosswalk, HASH), "incident_ts"
+    if name == "admission":
+        return L.link_entity(t.admissions, t.crosswalk, PATIENT, "patid"), "admit_ts"
+    return L.link_entity(t.calls, t.crosswalk, PATIENT, "patid"), "call_ts"
+
+
+def log_of(name: str, events: DataFrame, ts: str, as_written: bool = False) -> DataFrame:
+    """The log of a signal from the linked events of its source."""
+    if name == "screen":
+        return S.flag_log(events, name, ts, "screen_flag")
+    if name == "inventory":
+        return S.answers_log(events, name, ts, ["a1", "a2", "a3"], ["a2"])
+    if name == "pretrial":
+        return S.yes_no_log(events, name, ts, "mh_flag")
+    if name == "encounter":
+        return S.regex_log(events, name, ts, "program", ENCOUNTER_PATTERN)
+    if name == "incident":
+        return S.regex_exclude_log(events, name, ts, ["primary_txt", "secondary_txt"], NEED_PATTERN, NEED_EXCLUSION)
+    if name == "admission":
+        return S.in_list_log(events, name, ts, "program_description", ADMISSION_PROGRAMS)
+    return S.ilike_log(events, name, ts, "risk_txt", CALL_RISK_PATTERNS, as_written)
+
+
 def screen(t: Tables) -> DataFrame:
-    return S.flag_log(t.stays, "screen", "start_ts", "screen_flag")
+    return log_of("screen", *linked(t, "screen"))
 
 
 def inventory(t: Tables) -> DataFrame:
-    linked = L.link_via(t.inventory, t.cases, "case_no")
-    return S.answers_log(linked, "inventory", "assessed_ts", ["a1", "a2", "a3"], ["a2"])
+    return log_of("inventory", *linked(t, "inventory"))
 
 
 def pretrial(t: Tables, source: str | None = NUMBER) -> DataFrame:
-    linked = L.link_two_hop(t.pretrial, t.name_index, "urno", "person_number", t.crosswalk, source)
-    return S.yes_no_log(linked, "pretrial", "created_ts", "mh_flag")
+    return log_of("pretrial", *linked(t, "pretrial", source))
 
 
 def encounter(t: Tables) -> DataFrame:
-    linked = L.link_entity(t.encounters, t.crosswalk, PATIENT, "patient_no")
-    return S.regex_log(linked, "encounter", "encounter_ts", "program", ENCOUNTER_PATTERN)
+    return log_of("encounter", *linked(t, "encounter"))
 
 
 def incident(t: Tables) -> DataFrame:
-    linked = L.link_hashed(t.raw_incidents, t.incidents, "id", "hash_key", t.crosswalk, HASH)
-    return S.regex_exclude_log(
-        linked, "incident", "incident_ts", ["primary_txt", "secondary_txt"], NEED_PATTERN, NEED_EXCLUSION
-    )
+    return log_of("incident", *linked(t, "incident"))
 
 
 def admission(t: Tables) -> DataFrame:
-    linked = L.link_entity(t.admissions, t.crosswalk, PATIENT, "patid")
-    return S.in_list_log(linked, "admission", "admit_ts", "program_description", ADMISSION_PROGRAMS)
+    return log_of("admission", *linked(t, "admission"))
 
 
 def call(t: Tables, as_written: bool = False) -> DataFrame:
-    linked = L.link_entity(t.calls, t.crosswalk, PATIENT, "patid")
-    return S.ilike_log(linked, "call", "call_ts", "risk_txt", CALL_RISK_PATTERNS, as_written)
+    return log_of("call", *linked(t, "call"), as_written)
 
 
-def need_log(t: Tables, names: list[str] = SIGNALS) -> DataFrame:
-    sources = {
-        "screen": screen, "inventory": inventory, "pretrial": pretrial, "encounter": encounter, "incident": incident,
-        "admission": admission, "call": call,
-    }
-    return S.signal_log(*[sources[name](t) for name in names])
+def need_log(t: Tables, names: list[str] = SIGNALS, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """The log of all sources; `store` keeps the linked events of each and gives them back as stored."""
+    logs = []
+    for name in names:
+        events, ts = linked(t, name)
+        logs.append(log_of(name, store(events, ts) if store else events, ts))
+    return S.signal_log(*logs)
 
 
 LOG_VIEWS = (

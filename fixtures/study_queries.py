@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from fixtures import need as N
 from fixtures.catalog import DATES, HORIZON, LOOKBACK, SPINE, Query
-from fixtures.cohort_queries import COHORT, NOW, REPORT, T1
+from fixtures.cohort_queries import COHORT, NOW, REPORT, T0, T1, T2
+from fixtures.cohort_queries import QUERIES as COHORT_QUERIES
 from fixtures.feature_queries import BOOKED, BOOKINGS, bookings, cohort
 from fixtures.label_queries import GRID, LABELS, grid
+from fixtures.signal_queries import WIDE as WIDE_SIGNS
 from hindcast.operators import cohorts as C
 from hindcast.operators import evaluation as E
 from hindcast.operators import features as X
@@ -20,9 +22,11 @@ from hindcast.operators import matrix as M
 from hindcast.operators import models as Z
 from hindcast.operators import ranking as K
 from hindcast.operators import reports as R
+from hindcast.operators import signals as S
 from hindcast.operators import spine as T
+from hindcast.operators.linkage import distinct_entities
 from hindcast.plans.study import EventFeatures, Study, evaluation_table, held_out_precision, labelled_cohort
-from hindcast.presets import RANDOM_SEED
+from hindcast.presets import BASE_RATE_SIGNALS, RANDOM_SEED
 from hindcast.sources import sinks
 
 TEMPORAL = T.TemporalConfig(
@@ -297,6 +301,20 @@ def _event_store(events, ts: str):
     return sinks.read_events(events.sparkSession, path, events)
 
 
+def _stored_wide(t):
+    log = N.need_log(t, store=_event_store)
+    return S.signals_wide(log, N.SIGNALS, DATES, LOOKBACK, C.cohort_last_stay_closed(t.stays, DATES, LOOKBACK))
+
+
+def _stored_base_rates(t):
+    """Base rates from stored stays, with the day of their end, and stored sources of need."""
+    path = f"{sinks.shared_folder(t.stays.sparkSession)}/{uuid.uuid4().hex}"
+    sinks.store_events(t.stays, path, "start_ts", end="end_ts")
+    stays = sinks.read_events(t.stays.sparkSession, path, t.stays, ended=True)
+    log = N.need_log(t, BASE_RATE_SIGNALS, _event_store)
+    return C.base_rate_summary(C.base_rate_flags(distinct_entities(t.crosswalk), stays, log, T0, T1, T2))
+
+
 def _feature_store(t):
     since = X.feature_time_since_last(t.stays, cohort(t), "start_ts", "since_last_stay", DATES)
     return _written(
@@ -339,6 +357,8 @@ QUERIES = {
         f"with {LABELS} select * from labels",
         N.LOG_VIEWS,
     ),
+    "signals_wide_stored": Query(_stored_wide, f"with {WIDE_SIGNS} select * from wide", N.LOG_VIEWS),
+    "base_rate_summary_stored": Query(_stored_base_rates, COHORT_QUERIES["base_rate_summary"].sql, N.LOG_VIEWS),
     "feature_interval_count_stored": Query(
         lambda t: X.feature_intervals(_event_store(bookings(t), "knowledge_date"), DATES, BOOKINGS),
         f"with {SPINE}, {BOOKED} select * from counts",

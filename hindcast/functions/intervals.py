@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,6 +52,14 @@ class Interval:
             day = F.date_add(day, F.lit(sign * self.days) * times)
         return day
 
+    def day_before(self, day: date) -> date:
+        """`before` for a date of the driver's."""
+        if self.unbounded:
+            raise ValueError("an unbounded interval has no end")
+        month = day.year * 12 + day.month - 1 - self.months
+        last = monthrange(month // 12, month % 12 + 1)[1]
+        return date(month // 12, month % 12 + 1, min(day.day, last)) - timedelta(self.days)
+
     def steps_between(self, low: Column, high: Column) -> Column:
         """At least as many whole steps as fit from `low` to `high`, never negative."""
         if self.months:

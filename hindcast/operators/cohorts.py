@@ -8,8 +8,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.functions.intervals import Interval
 from hindcast.functions.timestamps import lasts_longer, seconds_between
-from hindcast.operators.asof import KEYS, Dates, known_within
+from hindcast.operators.asof import EVENT_END, KEYS, Dates, first_date, in_period, known_within, last_date, within
 from hindcast.presets import LONG_STAY
 
 
@@ -46,11 +47,15 @@ def cohort_last_long_stay_closed(
 ) -> DataFrame:
     """Same, but only stays longer than `minimum` (or open) compete for the latest start.
 
-    Any stay at that start may be the closed one, so stays are first reduced per start.
+    Any stay at that start may be the closed one, so stays are first reduced per start. Stays that start outside all
+    lookbacks are left out before that.
     """
     start = F.col("start_ts")
+    low, high = Interval.of(lookback).before(first_date(dates)), last_date(dates)
     per_start = (
         _linked(stays)
+        .filter(within(stays, low, high))
+        .filter((start >= low) & (start <= high))
         .groupBy("entity_id", "start_ts")
         .agg(F.max(lasts_longer(start, F.col("end_ts"), minimum)).alias("is_long"), F.min("end_ts").alias("first_end"))
         .filter("is_long")
@@ -68,9 +73,12 @@ def cohort_last_long_stay_closed(
 
 
 def cohort_any_closed_stay(stays: DataFrame, t0: str, t1: str) -> DataFrame:
-    """Entities with a stay that started after `t0` and ended before `t1`."""
+    """Entities with a stay that started after `t0` and ended before `t1`.
+
+    Stored stays are bounded by `t0` only: a stay may carry an end before its start, and still counts.
+    """
     closed = (F.col("start_ts") > day(t0)) & (F.col("end_ts") < day(t1))
-    return _linked(stays).filter(closed).select("entity_id").distinct()
+    return _linked(stays).filter(in_period(stays, t0, None)).filter(closed).select("entity_id").distinct()
 
 
 def cohort_with_signal(cohort: DataFrame, signs: DataFrame) -> DataFrame:
@@ -93,8 +101,10 @@ def stay_count_window(stays: DataFrame, windows: Mapping[str, tuple[str, str]],
     some = F.lit(False)
     for rule in rules.values():
         some = some | rule
+    starts, ends = zip(*windows.values(), strict=True)
     return (
         _linked(stays)
+        .filter(in_period(stays, min(starts, key=str), max(ends, key=str)))
         .filter(some)
         .groupBy("entity_id")
         .agg(*[F.count(F.when(rule, 1)).alias(name) for name, rule in rules.items()])
@@ -108,21 +118,32 @@ def stay_count_before(stays: DataFrame, t: str, minimum: str = LONG_STAY) -> Dat
     )
 
 
+def ends_from(stays: DataFrame, t: str | date) -> Column:
+    """A bound on the stored day of the end: open, or ended on the day `t` or later; always true for other stays."""
+    if EVENT_END not in stays.columns:
+        return F.lit(True)
+    return F.col(EVENT_END).isNull() | (F.col(EVENT_END) >= day(t))
+
+
+def open_stays(stays: DataFrame, t: str) -> DataFrame:
+    """Linked stays open at `t`; stored ones are bounded by the days of start and end."""
+    return _linked(stays).filter(in_period(stays, None, t)).filter(ends_from(stays, t)).filter(open_at(t))
+
+
 def open_at(t: str) -> Column:
     return (F.col("start_ts") < day(t)) & (F.col("end_ts").isNull() | (F.col("end_ts") > day(t)))
 
 
 def status_as_of(stays: DataFrame, t: str) -> DataFrame:
     """Entities with a stay open at `t`."""
-    return _linked(stays).filter(open_at(t)).select("entity_id").distinct().withColumn("in_stay", F.lit(1))
+    return open_stays(stays, t).select("entity_id").distinct().withColumn("in_stay", F.lit(1))
 
 
 def status_report(stays: DataFrame, t: str, now: str) -> DataFrame:
     """Every stay record beside its holder's first stay open at `t`; open stays last until `now`."""
     start, end = F.col("current_start"), F.col("current_end")
     current = (
-        _linked(stays)
-        .filter(open_at(t))
+        open_stays(stays, t)
         .groupBy("entity_id")
         .agg(F.min(F.struct("start_ts", "stay_id", "end_ts")).alias("first"))
         .select(
@@ -151,7 +172,8 @@ def base_rate_flags(
     """Per entity of the universe: stay counts before and after `t1`, status at `t1`, signs, cohort, outcome.
 
     Universe, stays and signs travel as rows of one log, so a single aggregation by entity does it all. Stays and
-    signs outside the periods are left out by date first.
+    signs outside the periods are left out by date first; a stay of any age may be open at `t1`, so stored stays have
+    no lower bound but their end, if it is stored as a date (see `sinks.store_events`).
     """
     sign_in = {
         "sign_history": F.col("event_ts").between(day(t0), day(t1)),
@@ -161,6 +183,8 @@ def base_rate_flags(
         universe.select("entity_id", F.lit(True).alias("listed"))
         .unionByName(
             _linked(stays)
+            .filter(in_period(stays, None, F.greatest(day(t1), day(t2))))
+            .filter(in_period(stays, t0, None) | ends_from(stays, t1))
             .filter((F.col("start_ts") < F.greatest(day(t1), day(t2))) & ((F.col("start_ts") > day(t0)) | open_at(t1)))
             .select(
                 "entity_id",
@@ -171,7 +195,8 @@ def base_rate_flags(
             allowMissingColumns=True,
         )
         .unionByName(
-            log.filter(F.col("event_ts").between(F.least(day(t0), day(t1)), F.greatest(day(t1), day(t2))))
+            log.filter(in_period(log, F.least(day(t0), day(t1)), F.greatest(day(t1), day(t2))))
+            .filter(F.col("event_ts").between(F.least(day(t0), day(t1)), F.greatest(day(t1), day(t2))))
             .select("entity_id", *[F.when(rule, F.col("sign")).alias(name) for name, rule in sign_in.items()]),
             allowMissingColumns=True,
         )

@@ -6,15 +6,16 @@ scan and one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.intervals import Interval
 from hindcast.functions.timestamps import seconds_between
-from hindcast.operators.asof import KEYS, Dates, known_before, last_date, slotted, within
+from hindcast.operators.asof import KEYS, Dates, Edges, first_date, known_before, last_date, slotted, within
 
 
 @dataclass(frozen=True)
@@ -45,16 +46,17 @@ class FeatureGroup:
 def feature_intervals(
     events: DataFrame, dates: Dates, *groups: FeatureGroup, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
-    """Every aggregate of the groups over every interval, per `(entity_id, as_of_date)` with an event.
+    """Every aggregate of the groups over every interval, per `(entity_id, as_of_date)` with an event in some interval.
 
-    Groups over the same events share one scan; they must agree on `closed`. Events are aggregated per entity
-    and slot before they meet the dates, so rows grow with slots, not with events times dates. 'last' takes the
-    latest event, then the greatest `tiebreak`; intervals end together, so one latest event serves all.
+    Groups over the same events share one scan; they must agree on `closed`. Events are aggregated per entity and slot
+    first, so later rows do not grow with events. With listed dates the slots are then folded (`Edges.accumulated`):
+    counts and exact sums of an interval are differences of running totals, and only extremes and inexact sums of
+    limited intervals look at single slots again. 'last' takes the latest event, then the greatest `tiebreak`;
+    intervals end together, so one latest event serves all.
     """
     if len({g.closed for g in groups}) != 1:
         raise ValueError("groups in one call must close their intervals on the same side")
     closed = groups[0].closed
-    at, t = F.col("knowledge_date"), F.col("as_of_date")
     spans = {Interval.of(i) for g in groups for i in g.intervals}
     limited = sorted((s for s in spans if not s.unbounded), key=lambda s: s.label)
     longest = [] if any(s.unbounded for s in spans) else limited
@@ -62,22 +64,91 @@ def feature_intervals(
     # Events become one row per entity and slot first; what each metric needs can be merged later.
     wanted = {(a.column, m) for g in groups for a in g.aggregates for m in a.metrics}
     merged = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
-    parts, states = {}, {}
+    states = {}
     for column, metric in sorted(wanted, key=str):
         value = F.lit(1) if column is None else F.col(column)
         if metric == "last":
             states[f"_last_{column}"] = F.max(F.struct("knowledge_date", *tiebreak, F.col(column).alias("_value")))
             continue
-        for part in ("sum", "count") if metric == "avg" else (metric,):
-            parts[column, part] = f"_{part}_{column}"
+        for part in ("sum", "count") if metric in ("avg", "sum") else (metric,):
             states[f"_{part}_{column}"] = merged[part](value)
     linked = events.filter(F.col("entity_id").isNotNull())
-    bounded = slotted(_until_last(linked, dates, closed), "knowledge_date", dates, closed, limited)
-    # Any time in a slot stands for all of it.
-    slots = bounded.groupBy("entity_id", "_slot").agg(F.max(at).alias("knowledge_date"), *[s.alias(n) for n, s in states.items()])
-
+    bounded = slotted(_known(linked, dates, closed, longest), "knowledge_date", dates, closed, limited)
+    slots = bounded.groupBy("entity_id", "_slot")
+    if isinstance(dates, DataFrame):
+        # Any time in a slot stands for all of it.
+        found = slots.agg(F.max("knowledge_date").alias("knowledge_date"), *[s.alias(n) for n, s in states.items()])
+        return _placed_intervals(known_before(found, "knowledge_date", dates, closed, longest), groups, states)
+    found = slots.agg(F.count(F.lit(1)).alias("_rows"), *[s.alias(n) for n, s in states.items()])
+    exact = {c for c, kind in events.dtypes if kind in INTEGRAL or kind.startswith("decimal")} | {None}
+    return _folded_intervals(found, Edges(dates, closed, limited), limited, groups, states, exact)
+
+
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _metric(metric: str, column: str | None, part) -> Column:
+    """A metric from the merged parts of its column."""
+    if metric == "avg":
+        return part("sum", column) / F.nullif(part("count", column), F.lit(0))
+    if metric == "count":
+        return F.coalesce(part("count", column), F.lit(0))
+    return F.when(part("count", column) > 0, part("sum", column)) if metric == "sum" else part(metric, column)
+
+
+def _folded_intervals(
+    slots: DataFrame, edges: Edges, limited: Sequence[Interval], groups: Sequence[FeatureGroup], states: Mapping[str, Column],
+    exact: set[str | None],
+) -> DataFrame:
+    running = {"_rows": "sum"} | {n: "max" if n.startswith("_last_") else n.split("_")[1].replace("count", "sum") for n in states}
+    whole = [(Interval.of(i), g, a, m) for g in groups for i in g.intervals for a in g.aggregates for m in a.metrics]
+
+    def by_slot(metric: str, column: str | None) -> bool:
+        return metric in ("min", "max") or metric in ("sum", "avg") and column not in exact
+
+    inner = sorted({limited.index(s) for s, _, a, m in whole if not s.unbounded and by_slot(m, a.column)})
+    rows = edges.accumulated(slots, running, inner)
+    kind, aggs = F.col("_kind"), {}
+
+    def total(name: str, at: int) -> Column:
+        aggs[f"{name}@{at}"] = F.max(F.when(kind == at, F.col(f"_run{name}")))
+        return F.col(f"`{name}@{at}`")
+
+    def within_window(name: str, span: Interval) -> Column:
+        """A sum over the window, by difference."""
+        if span.unbounded:
+            return total(name, 0)
+        return total(name, 0) - F.coalesce(total(name, limited.index(span) + 1), F.lit(0))
+
+    outputs = []
+    for span, group, a, metric in whole:
+
+        def part(name: str, column: str | None, span=span) -> Column:
+            state = f"_{name}_{column}"
+            if not span.unbounded and name != "count" and by_slot(name, column):
+                i = limited.index(span)
+                inside = (kind == -1) & (F.col("_slot") >= edges.starting_slot(i))
+                aggs[f"{state}@in{i}"] = {"sum": F.sum, "min": F.min, "max": F.max}[name](F.when(inside, F.col(state)))
+                return F.col(f"`{state}@in{i}`")
+            return within_window(state, span) if name in ("sum", "count") else total(state, 0)
+
+        name = group.name(span, a, metric)
+        if metric == "last":
+            last = total(f"_last_{a.column}", 0)
+            recent = F.lit(True) if span.unbounded else last["knowledge_date"] >= span.before(F.col("as_of_date"))
+            outputs.append(F.when(recent, last["_value"]).alias(name))
+        else:
+            outputs.append(_metric(metric, a.column, part).alias(name))
+    spans = {s for s, *_ in whole}
+    some = reduce(Column.__or__, [within_window("_rows", s) > 0 for s in spans])
+    return rows.groupBy(*KEYS).agg(*[c.alias(n) for n, c in aggs.items()]).filter(some).select(*KEYS, *outputs)
+
+
+def _placed_intervals(placed: DataFrame, groups: Sequence[FeatureGroup], states: Mapping[str, Column]) -> DataFrame:
+    """The same from slots placed on every date that knows them, for dates that come as a frame."""
+    at, t = F.col("knowledge_date"), F.col("as_of_date")
     final = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-    aggs, outputs = [], []
+    aggs, outputs = [F.max(n).alias(n) for n in states if n.startswith("_last_")], []
     for group in groups:
         for span in map(Interval.of, group.intervals):
             inside = F.lit(True) if span.unbounded else at >= span.before(t)
@@ -88,22 +159,19 @@ def feature_intervals(
                         recent = F.lit(True) if span.unbounded else F.col(f"_last_{a.column}.knowledge_date") >= span.before(t)
                         outputs.append(F.when(recent, F.col(f"_last_{a.column}._value")).alias(name))
                         continue
-                    found = {p: final[p](F.when(inside, F.col(parts[a.column, p]))) for p in merged if (a.column, p) in parts}
-                    if metric == "avg":
-                        aggs.append((found["sum"] / F.nullif(found["count"], F.lit(0))).alias(name))
-                    else:
-                        aggs.append((F.coalesce(found["count"], F.lit(0)) if metric == "count" else found[metric]).alias(name))
+                    part = lambda p, column, inside=inside: final[p](F.when(inside, F.col(f"_{p}_{column}")))
+                    aggs.append(_metric(metric, a.column, part).alias(name))
                     outputs.append(F.col(name))
-    lasts = sorted({f"_last_{c}" for c, m in wanted if m == "last"})
-    aggs += [F.max(name).alias(name) for name in lasts]
-    placed = known_before(slots, "knowledge_date", dates, closed, longest)
     return placed.groupBy(*KEYS).agg(*aggs).select(*KEYS, *outputs)
 
 
-def _until_last(events: DataFrame, dates: Dates, closed: str) -> DataFrame:
+def _known(events: DataFrame, dates: Dates, closed: str, longest: Sequence[Interval] = (), ts: str = "knowledge_date") -> DataFrame:
     """Events that some date can know: the others need not be aggregated."""
-    at, end = F.col("knowledge_date"), last_date(dates)
-    return events.filter(within(events, None, end)).filter(at <= end if closed == "right" else at < end)
+    at, end = F.col(ts), last_date(dates)
+    starts = [span.before(first_date(dates)) for span in longest]
+    start = (F.least(*starts) if len(starts) > 1 else starts[0]) if starts else None
+    known = events.filter(within(events, start, end)).filter(at <= end if closed == "right" else at < end)
+    return known if start is None else known.filter(at >= start)
 
 
 def impute_constant(cohort: DataFrame, features: DataFrame, names: Sequence[str], value: float = 0) -> DataFrame:
@@ -118,10 +186,20 @@ def fill_missing(rows: DataFrame, names: Sequence[str], value: float = 0) -> Dat
 
 def time_since_known(events: DataFrame, ts: str, name: str, dates: Dates) -> DataFrame:
     """Seconds from the last event known at `t` to `t`, for every entity with one."""
-    rows = events.filter(F.col("entity_id").isNotNull() & (F.col(ts) <= last_date(dates))).select("entity_id", ts)
-    slots = slotted(rows, ts, dates, "right").groupBy("entity_id", "_slot").agg(F.max(ts).alias(ts))
-    last = known_before(slots, ts, dates, "right").groupBy(*KEYS).agg(F.max(ts).alias("_last"))
-    return last.select(*KEYS, seconds_between(F.col("_last"), F.col("as_of_date")).alias(name))
+    rows = _known(events.filter(F.col("entity_id").isNotNull()), dates, "right", ts=ts).select("entity_id", ts)
+    last = _latest_known(rows, ts, dates, {"_latest": F.max(ts)})
+    return last.select(*KEYS, seconds_between(F.col("_latest"), F.col("as_of_date")).alias(name))
+
+
+def _latest_known(rows: DataFrame, ts: str, dates: Dates, greatest: Mapping[str, Column]) -> DataFrame:
+    """Per entity and date the `greatest` (maxima) over all rows up to `t`."""
+    slots = slotted(rows, ts, dates, "right").groupBy("entity_id", "_slot")
+    if isinstance(dates, DataFrame):
+        found = slots.agg(F.max(ts).alias(ts), *[c.alias(n) for n, c in greatest.items()])
+        return known_before(found, ts, dates, "right").groupBy(*KEYS).agg(*[F.max(n).alias(n) for n in greatest])
+    found = slots.agg(*[c.alias(n) for n, c in greatest.items()])
+    folded = Edges(dates, "right").accumulated(found, {n: "max" for n in greatest})
+    return folded.select(*KEYS, *[F.col(f"_run{n}").alias(n) for n in greatest])
 
 
 def feature_time_since_last(
@@ -151,19 +229,12 @@ def feature_time_since_any(
     """
     rows = log.filter("sign = 1 or signal = '%s'" % base) if positive_only else log
     dated = F.when(F.col("sign") == 1, F.col("event_ts")) if positive_only else F.col("event_ts")
-    aggs = [
-        F.max(dated).alias("_last"),
-        F.max("sign").alias("_sign"),
-        F.max(F.col("signal") == base).alias("_based"),
-    ]
+    aggs = {"_last": F.max(dated), "_sign": F.max("sign"), "_based": F.max(F.col("signal") == base)}
     members = cohort.select(*KEYS)
     if dates is not None:
-        known = slotted(rows.filter(F.col("event_ts") <= last_date(dates)), "event_ts", dates, "right")
-        slots = known.groupBy("entity_id", "_slot").agg(F.max("event_ts").alias("event_ts"), *aggs)
-        merged = [F.max(c).alias(c) for c in ("_last", "_sign", "_based")]
-        joined = members.join(known_before(slots, "event_ts", dates, "right").groupBy(*KEYS).agg(*merged), KEYS)
+        joined = members.join(_latest_known(_known(rows, dates, "right", ts="event_ts"), "event_ts", dates, aggs), KEYS)
     else:
-        joined = members.join(rows.groupBy("entity_id").agg(*aggs), "entity_id")
+        joined = members.join(rows.groupBy("entity_id").agg(*[c.alias(n) for n, c in aggs.items()]), "entity_id")
         joined = joined.filter(F.col("_last") <= F.col("as_of_date"))
     seconds = seconds_between(F.col("_last"), F.col("as_of_date")).alias(name)
     return joined.filter("_based and _sign = 1").select(*KEYS, seconds)

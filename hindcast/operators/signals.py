@@ -3,6 +3,9 @@
 Every source yields rows of one log, `(entity_id, event_ts, signal, sign, undated)`. Windows, wide forms,
 periods and recency are then single aggregations over the log instead of one join per source. `undated`
 rows count at every date.
+
+Logs of stored events keep their date and month, so bounds on a log reach the folders of every source in it. Rows
+that count at every date are a log of their own, so the dated ones beside them are still bounded.
 """
 
 from __future__ import annotations
@@ -15,18 +18,29 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.intervals import Interval
 from hindcast.functions.tristate import any_answer, matches_without, strongest, yes_no
-from hindcast.operators.asof import KEYS, Dates, expand, first_date, last_date, within
+from hindcast.operators.asof import (
+    EVENT_DATE,
+    EVENT_MONTH,
+    KEYS,
+    Dates,
+    expand,
+    first_date,
+    in_period,
+    last_date,
+    stored_columns,
+    within,
+)
 from hindcast.operators.cohorts import day
 
 
-def _log(events: DataFrame, name: str, ts: str, sign: Column, undated: Column | None = None) -> DataFrame:
-    always = F.expr("false") if undated is None else F.coalesce(undated, F.lit(False))
+def _log(events: DataFrame, name: str, ts: str, sign: Column, undated: bool = False) -> DataFrame:
     return events.filter("entity_id is not null").select(
         F.expr("cast(entity_id as bigint) as entity_id"),
         F.expr(f"cast({ts} as timestamp_ntz) as event_ts"),
         F.expr(f"'{name}' as signal"),
         sign.cast("int").alias("sign"),
-        always.alias("undated"),
+        F.expr("true" if undated else "false").alias("undated"),
+        *stored_columns(events),
     )
 
 
@@ -61,9 +75,12 @@ def ilike_log(
     events: DataFrame, name: str, ts: str, text: str, patterns: Sequence[str], as_written: bool = False
 ) -> DataFrame:
     """Text like any pattern. `as_written`: only the last pattern is tied to the date window."""
-    hit = reduce(Column.__or__, [F.col(text).ilike(p) for p in patterns])
-    undated = reduce(Column.__or__, [F.col(text).ilike(p) for p in patterns[:-1]]) if as_written else None
-    return _log(events.filter(hit), name, ts, F.lit(1), undated)
+    hits = [F.col(text).ilike(p) for p in patterns]
+    if not as_written or len(hits) == 1:
+        return _log(events.filter(reduce(Column.__or__, hits)), name, ts, F.lit(1))
+    always = reduce(Column.__or__, hits[:-1])
+    dated = _log(events.filter(hits[-1] & ~always), name, ts, F.lit(1))
+    return signal_log(dated, _log(events.filter(always), name, ts, F.lit(1), undated=True))
 
 
 def presence_log(events: DataFrame, name: str, ts: str) -> DataFrame:
@@ -72,7 +89,12 @@ def presence_log(events: DataFrame, name: str, ts: str) -> DataFrame:
 
 
 def signal_log(*logs: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, logs)
+    """One log of all; if some are of stored events, the others get date and month from their timestamp."""
+    day = F.col("event_ts").cast("date")
+    derived = {EVENT_DATE: day, EVENT_MONTH: F.trunc(day, "month")}
+    wanted = {c for log in logs for c in stored_columns(log)}
+    whole = [log.withColumns({c: derived[c] for c in derived if c in wanted and c not in log.columns}) for log in logs]
+    return reduce(DataFrame.unionByName, whole)
 
 
 def _placed(log: DataFrame, dates: Dates, lookback: str) -> DataFrame:
@@ -108,7 +130,7 @@ def signs_by_period(log: DataFrame, periods: Mapping[str, tuple[str, str]]) -> D
     """
     inside = _inside(periods)
     return (
-        log.filter(reduce(Column.__or__, inside.values()))
+        log.filter(_any_period(log, periods))
         .groupBy("entity_id")
         .agg(*[F.max(F.when(rule, F.col("sign"))).alias(name) for name, rule in inside.items()])
     )
@@ -118,6 +140,12 @@ def _inside(periods: Mapping[str, tuple[str, str]]) -> dict[str, Column]:
     return {name: F.col("event_ts").between(day(a), day(b)) for name, (a, b) in periods.items()}
 
 
+def _any_period(log: DataFrame, periods: Mapping[str, tuple[str, str]]) -> Column:
+    """Rows of some period; the dates of stored events are bounded by the earliest and the latest day."""
+    ends = [end for period in periods.values() for end in period]
+    return in_period(log, min(ends, key=str), max(ends, key=str)) & reduce(Column.__or__, _inside(periods).values())
+
+
 def signal_combine_zero_filled(log: DataFrame, periods: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Signs by period with unknown counted as 0, for entities with a record in some period."""
     return signs_by_period(log, periods).fillna(0, list(periods))
@@ -129,7 +157,7 @@ def signal_two_periods(log: DataFrame, periods: Mapping[str, tuple[str, str]], c
     The cohort joins the log as marked rows, so one aggregation finds members and signs.
     """
     inside = _inside(periods)
-    signs = log.filter(reduce(Column.__or__, inside.values())).select("entity_id", "event_ts", "sign")
+    signs = log.filter(_any_period(log, periods)).select("entity_id", "event_ts", "sign")
     rows = signs.unionByName(cohort.select("entity_id", F.lit(True).alias("listed")), allowMissingColumns=True)
     found = rows.groupBy("entity_id").agg(
         F.max("listed").alias("listed"), *[F.max(F.when(rule, F.col("sign"))).alias(n) for n, rule in inside.items()]

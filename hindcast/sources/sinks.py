@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.operators.asof import EVENT_DATE, EVENT_MONTH
+from hindcast.operators.asof import EVENT_DATE, EVENT_END, EVENT_MONTH
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,17 +45,23 @@ def materialize_feature(feature: DataFrame, path: str, value: str, slices: int =
     )
 
 
-def store_events(events: DataFrame, path: str, ts: str, slices: int = 64) -> None:
+def store_events(events: DataFrame, path: str, ts: str, slices: int = 64, end: str | None = None) -> None:
     """Keep linked events once: a DATE beside the timestamp, one folder per month, entities together within a file.
 
-    Readers that bound the date (see `operators.asof.within`) then open only the months they need.
+    Readers that bound the date (see `operators.asof.within`) then open only the months they need. Of events that last,
+    `end` names the end's timestamp: its day is kept too, in the order of the rows of a date, so that readers of what is
+    still open (see `operators.cohorts.ends_from`) skip what has ended.
     """
     dated = events.withColumn(EVENT_DATE, F.col(ts).cast("date"))
     dated = dated.withColumn(EVENT_MONTH, F.trunc(EVENT_DATE, "month"))
+    order = [EVENT_MONTH, EVENT_DATE, "entity_id"]
+    if end:
+        dated = dated.withColumn(EVENT_END, F.col(end).cast("date"))
+        order = [EVENT_MONTH, F.col(EVENT_END).isNull(), EVENT_DATE, "entity_id"]
     spread = F.pmod(F.xxhash64("entity_id"), F.lit(slices))
     (
         dated.repartition(EVENT_MONTH, spread)
-        .sortWithinPartitions(EVENT_MONTH, EVENT_DATE, "entity_id")
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy(EVENT_MONTH)
@@ -63,9 +69,10 @@ def store_events(events: DataFrame, path: str, ts: str, slices: int = 64) -> Non
     )
 
 
-def read_events(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Stored events with the columns of `like`, the date and the month."""
-    schema = T.StructType([*like.schema.fields, T.StructField(EVENT_DATE, T.DateType()), T.StructField(EVENT_MONTH, T.DateType())])
+def read_events(spark: SparkSession, path: str, like: DataFrame, ended: bool = False) -> DataFrame:
+    """Stored events with the columns of `like`, the date and the month, and the day of the end if it was stored."""
+    names = [EVENT_DATE, *([EVENT_END] if ended else []), EVENT_MONTH]
+    schema = T.StructType([*like.schema.fields, *[T.StructField(n, T.DateType()) for n in names]])
     return spark.read.schema(schema).parquet(path)
 
 

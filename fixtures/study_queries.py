@@ -98,40 +98,107 @@ def _specs(kind: str):
     return [s for s in SPECS + RANKERS if kind in ("all", s.kind)]
 
 
+def _told(matrices, fitted):
+    """What the told trees of every fitted forest say of every row of its split."""
+    parts, names = [], STUDY.feature_names()
+    for (model_id, split), model in fitted.items():
+        if hasattr(model.stages[-1], "trees"):
+            rows = matrices.filter(F.col("split_id") == split).repartition(32)
+            depth = max(tree.depth for tree in model.stages[-1].trees)
+            walked = Z.told_score(rows, Z.tree_nodes(model), names, depth)
+            parts.append(walked.select(F.lit(model_id).alias("model_id"), "split_id", "role", "entity_id", "as_of_date", "told"))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
 def _grid(t, kind: str):
     """Scores of every split of the spine, with what can be known of them beforehand.
 
-    `scored`: the score is a probability. `fits`: for the trees, which see every training row once, the score is
-    the mean label of the training rows that share it.
+    `scored`: the score is a probability. `told`: a forest's score is the mean share of the leaves that its trees, told
+    as conditions, lead the row to. `fits`: for the single trees, which see every training row once, the score is the
+    mean label of the training rows that share it.
     """
-    matrices = _stored(t)
-    found = Z.model_grid(matrices, STUDY.feature_names(), _specs(kind), Z.split_ids(_spine(t)))
+    matrices, splits = _stored(t), Z.split_ids(_spine(t))
+    fitted = Z.fit_grid(matrices, STUDY.feature_names(), _specs(kind), splits)
+    found = Z.model_grid(matrices, STUDY.feature_names(), _specs(kind), splits, fitted=fitted)
     found = sinks.through_storage(found, "predictions", ("model_id", "split_id"))
     trees = [s.model_id for s in SPECS if s.kind == "decision_tree"]
     leaf = ["model_id", "split_id", "score"]
     leaves = found.filter(F.col("model_id").isin(trees) & F.expr("role = 'train' and label is not null"))
     means = leaves.groupBy(*leaf).agg(F.avg("label").alias("mean_label"))
     close = F.abs(F.col("mean_label") - F.col("score")) < 1e-6
+    told = _told(matrices, fitted)
+    rows = ["model_id", "split_id", "role", "entity_id", "as_of_date"]
+    found = found.join(told, rows, "left") if told is not None else found.withColumn("told", F.lit(None).cast("double"))
+    forests = [s.model_id for s in SPECS if s.kind in ("decision_tree", "random_forest")]
+    same = F.coalesce(F.abs(F.col("told") - F.col("score")) < 1e-9, ~F.col("model_id").isin(forests))
     return found.join(means, leaf, "left").select(
-        "model_id", "split_id", "role", "entity_id", "as_of_date", "label",
+        *rows, "label",
         F.col("score").between(0, 1).alias("scored"),
+        same.alias("told"),
         (~F.col("model_id").isin(trees) | F.col("mean_label").isNull() | close).alias("fits"),
     )
 
 
 def _importance(t):
-    """Importances of every tree model and split: none negative, and their sum."""
-    matrices, parts = _stored(t), []
-    for split in Z.split_ids(_spine(t)):
-        train = M.training_rows(matrices).filter(F.col("split_id") == split)
-        for spec in SPECS:
-            if spec.kind != "scaled_logistic":
-                weights = Z.feature_importance(Z.fit(train, STUDY.feature_names(), spec), STUDY.feature_names())
-                parts.append(weights.select(F.lit(spec.model_id).alias("model_id"), F.lit(split).alias("split_id"), "*"))
-    found = reduce(lambda a, b: a.unionByName(b), parts)
-    whole = found.groupBy("model_id", "split_id").agg(F.round(F.sum("importance"), 6).alias("total"))
-    return found.join(whole, ["model_id", "split_id"]).select(
-        "model_id", "split_id", "feature", (F.col("importance") >= 0).alias("counted"), F.col("total").isin(0.0, 1.0).alias("shares")
+    """Weights of every model and split by feature.
+
+    `agrees`: importances of trees are those that the gains of their told nodes give. `whole`: they are shares of 1,
+    unless no tree has a split. Weights of the linear model are its coefficients; `agrees` is their optimality.
+    """
+    matrices, names, parts, splits = _stored(t), STUDY.feature_names(), [], Z.split_ids(_spine(t))
+    fitted = Z.fit_grid(matrices, names, SPECS, splits)
+    specs = {s.model_id: s for s in SPECS}
+    for (model_id, split), model in fitted.items():
+        weights = Z.feature_importance(model, names)
+        if hasattr(model.stages[-1], "trees"):
+            nodes = Z.tree_nodes(model)
+            gains = Z.gain_importance(nodes, names).withColumnRenamed("importance", "gained")
+            split_up = nodes.filter("left >= 0").isEmpty()
+            total = weights.agg(F.round(F.sum("importance"), 6)).scalar()
+            found = weights.join(gains, "feature").select(
+                "feature", (F.abs(F.col("importance") - F.col("gained")) < 1e-9).alias("agrees"), (total == (0.0 if split_up else 1.0)).alias("whole")
+            )
+        else:
+            train = M.training_rows(matrices).filter(F.col("split_id") == split)
+            held = Z.optimality(model, train, names, specs[model_id]).select("feature", "coefficient", "holds")
+            found = weights.join(held, "feature").select("feature", (F.col("holds") & (F.col("coefficient") == F.col("importance"))).alias("agrees"), F.lit(True).alias("whole"))
+        parts.append(found.select(F.lit(model_id).alias("model_id"), F.lit(split).alias("split_id"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _optimality(t):
+    """Every coefficient of the penalised model, and its intercept, on every split: at the optimum or not."""
+    matrices, names, splits = _stored(t), STUDY.feature_names(), Z.split_ids(_spine(t))
+    specs = {s.model_id: s for s in _specs("scaled_logistic")}
+    parts = []
+    for (model_id, split), model in Z.fit_grid(matrices, names, list(specs.values()), splits).items():
+        held = Z.optimality(model, M.training_rows(matrices).filter(F.col("split_id") == split), names, specs[model_id])
+        parts.append(held.select(F.lit(model_id).alias("model_id"), F.lit(split).alias("split_id"), "feature", "holds"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _grid_evaluation(t):
+    """Precision in the top 100 of every model of the grid beside the same by SQL over the stored predictions."""
+    matrices, names, splits = _stored(t), STUDY.feature_names(), Z.split_ids(_spine(t))
+    found = sinks.through_storage(Z.model_grid(matrices, names, SPECS + RANKERS, splits), "predictions", ("model_id", "split_id"))
+    evaluated = evaluation_table(found).filter("metric = 'precision@'")
+    by_sql = found.sparkSession.sql(
+        """with scored as (
+             select model_id, split_id, as_of_date, score, count(*) as n, sum(label) as p from {found}
+             where role = 'test' and label is not null group by all),
+           placed as (
+             select *, coalesce(sum(n) over w, 0) as ahead from scored
+             window w as (partition by model_id, split_id, as_of_date order by score desc rows between unbounded preceding and 1 preceding))
+           select model_id, split_id, as_of_date as evaluation_end_time,
+                  sum(p * greatest(0, least(n, 100 - ahead)) / n) / least(100, sum(n)) as by_sql
+           from placed group by all""",
+        found=found,
+    )
+    ranked = [s.model_id for s in RANKERS]
+    return evaluated.join(by_sql, ["model_id", "split_id", "evaluation_end_time"]).select(
+        "model_id", "split_id", "evaluation_end_time", "k",
+        (F.abs(F.col("stochastic_value") - F.col("by_sql")) < 1e-9).alias("agrees"),
+        F.when(F.col("model_id").isin(ranked), F.round("stochastic_value", 9)).alias("ranked_value"),
     )
 
 
@@ -145,7 +212,7 @@ def _ranked(t):
 def _grid_sql(kind: str) -> str:
     ids = ", ".join(f"({s.model_id})" for s in _specs(kind))
     return f"""with {MATRIX}
-        select cast(m.id as int) as model_id, split_id, role, entity_id, as_of_date, label, true as scored, true as fits
+        select cast(m.id as int) as model_id, split_id, role, entity_id, as_of_date, label, true as scored, true as told, true as fits
         from matrix, (values {ids}) m(id)"""
 
 
@@ -297,7 +364,7 @@ def _written(df, write, columns: str):
 def _event_store(events, ts: str):
     """Linked events as they are kept for every later step: written once by month, read back."""
     path = f"{sinks.shared_folder(events.sparkSession)}/{uuid.uuid4().hex}"
-    sinks.store_events(events, path, ts)
+    sinks.store_events(events, path, ts, slices=1)
     return sinks.read_events(events.sparkSession, path, events)
 
 
@@ -309,7 +376,7 @@ def _stored_wide(t):
 def _stored_base_rates(t):
     """Base rates from stored stays, with the day of their end, and stored sources of need."""
     path = f"{sinks.shared_folder(t.stays.sparkSession)}/{uuid.uuid4().hex}"
-    sinks.store_events(t.stays, path, "start_ts", end="end_ts")
+    sinks.store_events(t.stays, path, "start_ts", slices=1, end="end_ts")
     stays = sinks.read_events(t.stays.sparkSession, path, t.stays, ended=True)
     log = N.need_log(t, BASE_RATE_SIGNALS, _event_store)
     return C.base_rate_summary(C.base_rate_flags(distinct_entities(t.crosswalk), stays, log, T0, T1, T2))
@@ -399,11 +466,31 @@ QUERIES = {
     "feature_importance": Query(
         _importance,
         f"""with {GRID_DAYS}
-            select cast(m.id as int) as model_id, s.split_id, f.feature, true as counted, true as shares
-            from (values {', '.join(f'({s.model_id})' for s in SPECS if s.kind != 'scaled_logistic')}) m(id),
+            select cast(m.id as int) as model_id, s.split_id, f.feature, true as agrees, true as whole
+            from (values {', '.join(f'({s.model_id})' for s in SPECS)}) m(id),
                  (select distinct split_id from grid_days) s, (select unnest({STUDY.feature_names()}) as feature) f""",
         ("stays",),
     ),
+    "model_optimality": Query(
+        _optimality,
+        f"""with {GRID_DAYS}
+            select cast(m.id as int) as model_id, s.split_id, f.feature, true as holds
+            from (values {', '.join(f'({s.model_id})' for s in SPECS if s.kind == 'scaled_logistic')}) m(id),
+                 (select distinct split_id from grid_days) s, (select unnest({['(intercept)', *STUDY.feature_names()]}) as feature) f""",
+        ("stays",),
+    ),
+    "study_grid_evaluation": Query(
+        _grid_evaluation,
+        f"""with {RANKED}, {_evaluation_sql("model_id, split_id, as_of_date", ABS, ("precision@",))},
+            asked as (
+              select cast(m.id as int) as model_id, split_id, as_of_date, count(label) as n
+              from matrix, (values {', '.join(f'({s.model_id})' for s in SPECS + RANKERS)}) m(id) where role = 'test' group by all)
+            select a.model_id, a.split_id, a.as_of_date as evaluation_end_time, least(100, n) as k, true as agrees,
+                   round(stochastic_value, 9) as ranked_value
+            from asked a left join results r
+              on r.model_id = a.model_id and r.split_id = a.split_id and r.as_of_date = a.as_of_date and parameter = '100_abs'""",
+        N.LOG_VIEWS,
+    ),
     "study_ranked_evaluation": Query(
         lambda t: held_out_precision(_ranked(t)).withColumns({n: F.round(n, 9) for n in ("top_k", "base_rate", "gain")}),
         f"""with {RANKED}, {_evaluation_sql("model_id, split_id, as_of_date", ABS, ("precision@",))},

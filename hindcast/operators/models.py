@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from typing import Any
 
@@ -13,13 +16,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.operators.asof import KEYS
 from hindcast.operators.matrix import training_rows
-from hindcast.operators.ranking import RankRule, rank_multi_feature
+from hindcast.operators.ranking import RankRule, rank_rule_sets
 from hindcast.presets import RANDOM_SEED
+from hindcast.sources.sinks import shared_folder
 
 MAX_DEPTH = 30  # the deepest tree Spark ML grows
 
@@ -59,7 +63,7 @@ def expand_grid(grid: Mapping[str, Mapping[str, Sequence[Any]]]) -> list[ModelSp
 def _forest(params: Mapping[str, Any], trees: int, subset: str, bootstrap: bool, seed: int) -> RandomForestClassifier:
     """A node is split from `min_samples_split` rows on; the nearest Spark rule is half of that per child."""
     return RandomForestClassifier(
-        featuresCol="features",
+        featuresCol="assembled",
         labelCol="label",
         numTrees=trees,
         maxDepth=params["max_depth"],
@@ -71,60 +75,200 @@ def _forest(params: Mapping[str, Any], trees: int, subset: str, bootstrap: bool,
     )
 
 
+def with_vector(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """`rows` with the features as one vector, `assembled`, unless they have it."""
+    return rows if "assembled" in rows.columns else VectorAssembler(inputCols=list(features), outputCol="assembled").transform(rows)
+
+
+def _penalty(spec: ModelSpec, n_rows: int) -> float:
+    return 1.0 / (spec.params["C"] * max(n_rows, 1))
+
+
 def fit(train: DataFrame, features: Sequence[str], spec: ModelSpec, seed: int = RANDOM_SEED) -> PipelineModel:
-    params = spec.effective()
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features")]
+    """The model of `spec`; its rows need the vector of `with_vector`."""
+    train, params = with_vector(train, features), spec.effective()
     if spec.kind == "random_forest":
-        stages.append(_forest(params, params["n_estimators"], "sqrt", True, seed))
+        stages = [_forest(params, params["n_estimators"], "sqrt", True, seed)]
     elif spec.kind == "decision_tree":
-        stages.append(_forest(params, 1, str(params["max_features"]), False, seed))
+        stages = [_forest(params, 1, str(params["max_features"]), False, seed)]
     elif spec.kind == "scaled_logistic":
-        rows = train.count()
-        stages[0].setOutputCol("assembled")
-        stages.append(MinMaxScaler(inputCol="assembled", outputCol="features"))
-        stages.append(
+        stages = [
+            MinMaxScaler(inputCol="assembled", outputCol="features"),
             LogisticRegression(
                 featuresCol="features",
                 labelCol="label",
-                regParam=1.0 / (params["C"] * max(rows, 1)),
+                regParam=_penalty(spec, train.count()),
                 elasticNetParam=1.0 if params["penalty"] == "l1" else 0.0,
                 standardization=False,
-            )
-        )
+                maxIter=500,
+                tol=1e-10,
+            ),
+        ]
     else:
         raise ValueError(f"unknown model kind {spec.kind!r}")
     return Pipeline(stages=stages).fit(train)
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows with `score`, the probability of label 1."""
     positive = vector_to_array(F.col("probability"))[1].alias("score")
-    return model.transform(rows).select("split_id", "role", *KEYS, "label", positive)
+    return model.transform(with_vector(rows, features)).select("split_id", "role", *KEYS, "label", positive)
+
+
+Fitted = dict[tuple[int, int], PipelineModel]
+
+
+def fit_grid(
+    matrix: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec], splits: Sequence[int], seed: int = RANDOM_SEED,
+    at_once: int = 4,
+) -> Fitted:
+    """Fitted models by (model_id, split_id); rankers need no fit.
+
+    Each split's training rows are assembled once and kept while its specs are fitted, `at_once` of them side by side:
+    a fit is a row of small jobs that leave most of a cluster idle. A fit depends on its rows and its seed alone.
+    """
+    found: Fitted = {}
+    fitted = [s for s in specs if s.kind != "rank_multi_feature"]
+    for split in splits if fitted else ():
+        train = training_rows(matrix.filter(F.col("split_id") == split))
+        train = with_vector(train, features).select("label", "assembled").persist()
+        try:
+            with ThreadPoolExecutor(at_once) as pool:
+                models = pool.map(lambda spec, train=train: fit(train, features, spec, seed), fitted)
+                found |= {(spec.model_id, split): model for spec, model in zip(fitted, models, strict=True)}
+        finally:
+            train.unpersist()
+    return found
 
 
 def model_grid(
-    matrix: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec], splits: Sequence[int], seed: int = RANDOM_SEED
-) -> DataFrame:
+    matrix: DataFrame, features: Sequence[str], specs: Sequence[ModelSpec], splits: Sequence[int], seed: int = RANDOM_SEED,
+    fitted: Fitted | None = None,
+) -> DataFrame:
     """Predictions `(model_id, split_id, role, entity_id, as_of_date, label, score)` of every spec and split.
 
-    The driver only loops over the short list of specs and splits; each fit and each scoring is a Spark job.
-    Pass a stored matrix, since every fit reads it again.
+    Pass a stored matrix, since every split reads it again. All rankers score all splits in one pass.
     """
-    parts = []
-    for split in splits:
-        rows = matrix.filter(F.col("split_id") == split)
-        train = training_rows(rows)
-        for spec in specs:
-            if spec.kind == "rank_multi_feature":
-                rules = [RankRule(**r) for r in spec.params["rules"]]
-                scored = rank_multi_feature(rows, rules).select("split_id", "role", *KEYS, "label", "score")
-            else:
-                scored = score(fit(train, features, spec, seed), rows)
-            parts.append(scored.select(F.lit(spec.model_id).alias("model_id"), "*"))
-    predictions = parts[0]
-    for part in parts[1:]:
-        predictions = predictions.unionByName(part)
-    return predictions
+    fitted = fit_grid(matrix, features, specs, splits, seed) if fitted is None else fitted
+    parts = [
+        score(model, matrix.filter(F.col("split_id") == split), features).select(F.lit(model_id).alias("model_id"), "*")
+        for (model_id, split), model in fitted.items()
+    ]
+    rules = {s.model_id: [RankRule(**r) for r in s.params["rules"]] for s in specs if s.kind == "rank_multi_feature"}
+    if rules:
+        rows = matrix.filter(F.col("split_id").isin(list(splits)))
+        ranked = rank_rule_sets(rows, rules, ["split_id", "as_of_date"], "model_id")
+        parts.append(ranked.select("model_id", "split_id", "role", *KEYS, "label", "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+NODE = "tree int, node int, left int, right int, feature int, threshold double, gain double, n double, share double"
+
+
+def tree_nodes(model: PipelineModel) -> DataFrame:
+    """The nodes of a fitted forest, as it is saved: children and condition, gain, weight `n`, share of label 1.
+
+    Leaves have no children (-1). A row goes left if its feature is at most the threshold.
+    """
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    model.stages[-1].write().save(path)
+    stats = F.col("nodeData.impurityStats")
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), F.col("nodeData.leftChild").alias("left"),
+        F.col("nodeData.rightChild").alias("right"), F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("nodeData.gain").alias("gain"),
+        (stats[0] + stats[1]).alias("n"), (stats[1] / (stats[0] + stats[1])).alias("share"),
+    )
+
+
+def told_trees(nodes: DataFrame, features: Sequence[str]) -> list[str]:
+    """Every tree as a nested SQL condition over the features that ends in the leaf's share of label 1.
+
+    The nodes of a model come to the driver, as the model itself is there; their number is bounded by depth and trees.
+    """
+    trees: dict[int, dict[int, Row]] = {}
+    for row in nodes.collect():
+        trees.setdefault(row["tree"], {})[row["node"]] = row
+
+    def told(tree: dict[int, Row], node: int) -> str:
+        row = tree[node]
+        if row["left"] < 0:
+            return f"{row['share']!r}D"
+        name = f"`{features[row['feature']]}`"
+        return f"IF({name} <= {row['threshold']!r}D, {told(tree, row['left'])}, {told(tree, row['right'])})"
+
+    return [told(trees[t], 0) for t in sorted(trees)]
+
+
+def told_score(rows: DataFrame, nodes: DataFrame, features: Sequence[str], depth: int) -> DataFrame:
+    """`rows` with `told`: every told tree is walked down from its root, and the shares of the leaves are averaged.
+
+    The trees of one model are a single constant of arrays, so no row meets a tree by a join; like the model itself they
+    come to the driver, bounded by depth and trees.
+    """
+    trees: dict[int, list[Row]] = {}
+    for row in nodes.orderBy("tree", "node").collect():
+        trees.setdefault(row["tree"], []).append(row)
+    told = {"left": "int", "right": "int", "feature": "int", "threshold": "double", "share": "double"}
+    text = json.dumps([{c: [r[c] for r in tree] for c in told} for tree in trees.values()])
+    kind = ", ".join(f"{c}: array<{t}>" for c, t in told.items())
+    # Folded to one constant of arrays that all rows share.
+    constant = F.from_json(F.lit(text), f"array<struct<{kind}>>")
+    walked = with_vector(rows, features).withColumn("_x", vector_to_array("assembled"))
+
+    def leaf(tree: Column) -> Column:
+        def step(node: Column, _: Column) -> Column:
+            goes_left = F.get("_x", F.get(tree["feature"], node)) <= F.get(tree["threshold"], node)
+            below = F.when(goes_left, F.get(tree["left"], node)).otherwise(F.get(tree["right"], node))
+            return F.when(F.get(tree["left"], node) < 0, node).otherwise(below)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), F.lit(0), step)
+
+    shares = F.transform(constant, lambda tree: F.get(tree["share"], leaf(tree)))
+    mean = F.aggregate(shares, F.lit(0.0), lambda total, x: total + x) / F.size(shares)
+    return walked.withColumn("told", mean).select(*rows.columns, "told")
+
+
+def gain_importance(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """`(feature, importance)` from the gains of the told trees: weighted by rows, shares per tree, then overall."""
+    gains = nodes.where("left >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("n")).alias("gain"))
+    whole = gains.groupBy("tree").agg(F.sum("gain").alias("whole"))
+    shares = gains.join(whole, "tree").groupBy("feature").agg(F.sum(F.col("gain") / F.col("whole")).alias("share"))
+    total = shares.agg(F.sum("share")).scalar()
+    named = SparkSession.active().createDataFrame(list(enumerate(features)), "number int, feature string")
+    found = shares.select(F.col("feature").alias("number"), (F.col("share") / total).alias("importance"))
+    return named.join(found, "number", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+def optimality(model: PipelineModel, train: DataFrame, features: Sequence[str], spec: ModelSpec, slack: float = 0.02) -> DataFrame:
+    """`(feature, coefficient, gradient, bound, holds)` of a penalised logistic fit, and a row for the intercept.
+
+    At the optimum of mean log loss plus bound * sum |coefficient| the loss has gradient -bound * sign where a coefficient
+    is not zero, within the bound where it is, and none along the intercept. One aggregation over the training rows;
+    `slack` is the part of the bound by which a numeric fit may miss it.
+    """
+    train = with_vector(train, features)
+    scaled = vector_to_array(F.col("features"))
+    fitted = model.stages[-1]
+    weights = [float(w) for w in fitted.coefficients]
+    line = reduce(Column.__add__, [F.lit(w) * scaled[j] for j, w in enumerate(weights)], F.lit(float(fitted.intercept)))
+    miss = F.lit(1.0) / (1 + F.exp(-line)) - F.col("label")
+    rows = model.stages[0].transform(train)
+    sums = rows.agg(F.avg(miss).alias("intercept"), *[F.avg(miss * scaled[j]).alias(f"g{j}") for j in range(len(weights))])
+    bound = _penalty(spec, train.count())
+    terms = [("(intercept)", float(fitted.intercept), "intercept", 0.0)]
+    terms += [(name, weights[j], f"g{j}", bound) for j, name in enumerate(features)]
+    listed = [
+        F.struct(F.lit(name).alias("feature"), F.lit(w).alias("coefficient"), F.col(g).alias("gradient"), F.lit(b).alias("bound"))
+        for name, w, g, b in terms
+    ]
+    told = sums.select(F.explode(F.array(*listed)).alias("term")).select("term.*")
+    target = F.when(F.col("coefficient") != 0, F.col("bound") * F.signum("coefficient")).otherwise(0.0)
+    reach = F.when(F.col("coefficient") != 0, 0.0).otherwise(F.col("bound")) + slack * bound
+    reach = F.when(F.col("feature") == "(intercept)", F.lit(slack * bound)).otherwise(reach)
+    target = F.when(F.col("feature") == "(intercept)", 0.0).otherwise(target)
+    return told.withColumn("holds", F.abs(F.col("gradient") + target) <= reach)
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:

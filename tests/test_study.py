@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from hindcast.operators import matrix as M
 from hindcast.operators import models as Z
 from hindcast.operators import profiles as P
+from hindcast.operators import ranking as K
 from hindcast.operators import reports as R
 from hindcast.sources import sinks
 from hindcast.sources.tables import JdbcRange, JdbcSource, load_source
@@ -101,6 +103,65 @@ def test_importance_and_seed(matrix):
         Z.fit(train, ["a"], Z.ModelSpec(1, "oracle"))
 
 
+def test_told_trees_say_what_the_forest_scores(spark, matrix):
+    train = M.training_rows(matrix)
+    for spec in (
+        Z.ModelSpec(1, "random_forest", {"n_estimators": 7, "max_depth": 6, "min_samples_split": 10}),
+        Z.ModelSpec(2, "decision_tree", {"max_depth": 3, "max_features": 1, "min_samples_split": 25}),
+    ):
+        model = Z.fit(train, ["a", "b"], spec)
+        nodes = Z.tree_nodes(model)
+        depth = max(t.depth for t in model.stages[-1].trees)
+        walked = Z.told_score(matrix, nodes, ["a", "b"], depth).select("entity_id", "told")
+        trees = Z.told_trees(nodes, ["a", "b"])
+        by_text = matrix.select("entity_id", F.expr(f"({' + '.join(trees)}) / {len(trees)}").alias("by_text"))
+        rows = Z.score(model, matrix, ["a", "b"]).join(walked, "entity_id").join(by_text, "entity_id").collect()
+        assert len(rows) == 600 and len({r.score for r in rows}) > 1
+        assert all(abs(r.score - r.told) < 1e-12 and abs(r.told - r.by_text) < 1e-12 for r in rows)
+        # A constant score, as of a model that was not fitted, is told from the trees.
+        assert any(abs(0.5 - r.told) > 1e-3 for r in rows)
+        weights = dict(tuples(Z.feature_importance(model, ["a", "b"])))
+        assert dict(tuples(Z.gain_importance(nodes, ["a", "b"]))) == pytest.approx(weights)
+
+
+def test_optimality_holds_for_fits_only(matrix):
+    train = M.training_rows(matrix)
+    spec = Z.ModelSpec(3, "scaled_logistic", {"C": 1.0, "penalty": "l1"})
+    model = Z.fit(train, ["a", "b"], spec)
+    rows = {r.feature: r for r in Z.optimality(model, train, ["a", "b"], spec).collect()}
+    assert set(rows) == {"(intercept)", "a", "b"} and all(r.holds for r in rows.values())
+    assert rows["a"].coefficient > 0
+    # Judged by a tenth of the penalty, or on other rows, the same coefficients are no optimum.
+    other = Z.ModelSpec(3, "scaled_logistic", {"C": 10.0, "penalty": "l1"})
+    assert not all(r.holds for r in Z.optimality(model, train, ["a", "b"], other).collect())
+    turned = train.withColumn("label", 1 - F.col("label"))
+    assert not any(r.holds for r in Z.optimality(model, turned, ["a", "b"], spec).collect() if r.feature != "b")
+
+
+def test_fits_side_by_side_are_the_fits_one_by_one(matrix):
+    specs = [Z.ModelSpec(i, "decision_tree", {"max_depth": 3, "max_features": 1 + i % 2, "min_samples_split": 25}) for i in range(4)]
+    found = Z.fit_grid(matrix, ["a", "b"], specs, [1], at_once=4)
+    assert list(found) == [(i, 1) for i in range(4)]
+    for i, spec in enumerate(specs):
+        alone = Z.fit(M.training_rows(matrix), ["a", "b"], spec)
+        assert alone.stages[-1].toDebugString.split("\n")[1:] == found[i, 1].stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_rule_sets_in_one_pass_equal_each_alone(spark):
+    rng = random.Random(1)
+    values = [None, float("nan"), float("inf"), float("-inf"), -1.0, -0.0, 0.0, 2.0, 2.5]
+    rows = [(i, i % 2, i % 3, rng.choice(values), rng.choice(values), rng.choice([None, 1, 2])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, split_id int, day int, a double, b double, c int").repartition(5)
+    sets = {
+        7: [K.RankRule("a"), K.RankRule("b", low_value_high_score=True)], 8: [K.RankRule("c", low_value_high_score=True)],
+        9: [K.RankRule("b", low_value_high_score=True), K.RankRule("a"), K.RankRule("c")], 10: [K.RankRule("b")],
+    }
+    found = K.rank_rule_sets(df, sets, ["split_id", "day"], "rules")
+    for key, rules in sets.items():
+        alone = K.rank_multi_feature(df.withColumn("g", F.struct("split_id", "day")), rules, "g")
+        assert tuples(found.filter(F.col("rules") == key), "id", "rank", "score") == tuples(alone, "id", "rank", "score")
+
+
 def test_profile_by_source(frame):
     crosswalk = frame(XWALK, (1, "A", "1", None), (1, "H", None, "h"), (2, "A", "2", None), (2, "B", "1", None), (2, "A", "2", None))
     twice = frame("k bigint, p int", (1, 0), (1, 1))

@@ -1,7 +1,7 @@
 """Main text of web pages through wrappers inferred per host as union-free regular expressions.
 
 A page is a stream of tags and text, nested as a browser would nest it. The wrapper of a host is a union-free expression
-over such streams: inside each element, symbols (a tag with its class words, or `#` for a text slot) stand in order, each
+over such streams: inside each element, symbols (a tag with its class tokens, or `#` for a text slot) stand in order, each
 once, with marks for optional and repeated ones, and repeated groups. A wrapper is inferred iteratively, page by page:
 * texts that differ become a text slot (see below for those that do not);
 * a run of equal symbols becomes a repeated symbol;
@@ -14,7 +14,8 @@ work and no page is left out.
 
 The slots of a wrapper are judged once for the host: the region with the article (an `article` element, else `main`,
 else the element that holds most text outside links), without navigation, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments, told by tag and class words. A page is matched with its host's wrapper, and the
+forms, scripts, styles and comments, told by tag and by class tokens, each judged as a whole; a form or a class is not
+believed of an element that holds the article. A page is matched with its host's wrapper, and the
 texts in the slots of the first region that has any are its main text. A page that does not match (none of those the
 wrapper was inferred from) is read by a wrapper of its own.
 
@@ -86,6 +87,16 @@ UNWANTED_WORDS = frozenset(
     "subscription teaser toolbar widget widgets alert".split()
 )
 NEVER_UNWANTED = frozenset(("html", "body", "main", "article"))
+#: Parts of a class token that say what an element has or how it looks, not what it is: "no-sidebar", "is-sticky".
+MODIFIERS = frozenset("no not non has have with without is are hide hidden show".split())
+#: What a token that begins with an unwanted word may end in to name such an element: "ad-slot", "share-buttons".
+PARTS = frozenset(
+    "area bar block body box button buttons col column container content form group icon icons inner item items left link links "
+    "list message nav panel post posts right row section slot text top bottom unit wrap wrapper".split()
+)
+#: An element that is kept for what it holds, though its name says otherwise.
+KEPT = "!"
+COMMENTS = frozenset("comment comments disqus replies reply respond related".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -97,19 +108,31 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 def symbol(tag: str, attributes: str) -> str:
-    """The tag and the words of its class, id, role and itemprop, without numbers."""
+    """The tag and the tokens of its class, id, role and itemprop, without numbers; words of a token joined by "-"."""
     if "=" not in attributes:
         return tag
-    words = set()
+    tokens = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        words.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-    return f"{tag}.{'.'.join(sorted(words))}" if words else tag
+        tokens.update("-".join(_WORDS.findall(token)) for token in (m[2] or m[3] or m[4] or "").lower().split())
+    tokens.discard("")
+    return f"{tag}.{'.'.join(sorted(tokens))}" if tokens else tag
+
+
+@lru_cache(1 << 14)
+def unwanted_token(token: str) -> bool:
+    """Whether a class token, judged as a whole, names something unwanted: it, or what it is a part of."""
+    words = token.split("-")
+    if not MODIFIERS.isdisjoint(words):
+        return False
+    return words[-1] in UNWANTED_WORDS or words[-1] in PARTS and not UNWANTED_WORDS.isdisjoint(words)
 
 
 @lru_cache(1 << 14)
 def unwanted(sym: str) -> bool:
-    tag, *words = sym.split(".")
-    return tag not in NEVER_UNWANTED and (tag in UNWANTED or not UNWANTED_WORDS.isdisjoint(words))
+    tag, *tokens = sym.split(".")
+    if tag in NEVER_UNWANTED or KEPT in tokens:
+        return False
+    return tag in UNWANTED or any(map(unwanted_token, tokens))
 
 
 @dataclass
@@ -162,16 +185,45 @@ def parse(html: str) -> Element:
                 close({"p"}, SCOPES)
             element = Element(name, symbol(name, m["attributes"]))
             stack[-1].children.append(element)
-            if name in RAW:
+            if name == "svg" and m["attributes"].endswith("/"):
+                pass  # in foreign content a slash closes the element
+            elif name in RAW:
                 raw = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(html, at)
                 closing = html.find(">", raw.start()) if raw else -1
                 at = closing + 1 if closing >= 0 else n
             elif name not in VOID and not m["attributes"].endswith("/"):
                 places[name].append(len(stack))
                 stack.append(element)
+    _keep_holders(root)
     return root
 
 
+def _keep_holders(root: Element) -> None:
+    """Mark elements that are unwanted by name but hold the page's article.
+
+    Those are forms and elements told by class words (not by other tags, nor comments and related articles) that hold a
+    `main` element, or an article or first heading together with most of the page's text outside links.
+    """
+    order: list[tuple[Element, int, bool]] = [(root, -1, False)]
+    for place, (element, _, linked) in enumerate(order):
+        order += [(c, place, linked or c.tag == "a") for c in element.children if not isinstance(c, str)]
+    size, main, article = [0] * len(order), [False] * len(order), [False] * len(order)
+    for place in range(len(order) - 1, -1, -1):
+        element, above, linked = order[place]
+        if not linked:
+            size[place] += sum(len(c.strip()) for c in element.children if isinstance(c, str))
+        if above >= 0:
+            size[above] += size[place]
+            main[above] |= main[place] or element.tag == "main"
+            article[above] |= article[place] or element.tag in ("article", "h1")
+    for place, (element, _, _) in enumerate(order):
+        holds = main[place] or article[place] and 2 * size[place] > size[0]
+        if holds and (element.tag == "form" or element.tag not in UNWANTED) and unwanted(element.symbol):
+            tokens = element.symbol.split(".")[1:]
+            if not any(COMMENTS & set(token.split("-")) for token in tokens):
+                element.symbol = ".".join([element.tag, KEPT, *tokens])
+
+
 class Wrapper:
     """What stands inside one element.
 
@@ -384,6 +436,7 @@ def regions(wrapper: Wrapper) -> list[tuple[str, ...]]:
                 continue
             tag, *words = sym.split(".")
             here = (above, sym)
+            words = {word for token in words for word in token.split("-")}
             if tag == "article" or "articlebody" in words:
                 found["article"].append((size[id(own)], path_of(here)))
                 continue

@@ -33,6 +33,18 @@ def text_of(page):
         ("</div></p><article>stray</b> ends</article>", "stray ends"),
         ("<article></article><main>m</main>", "m"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<div class='page with-sidebar'><article><p>whole article</p></article><div class=sidebar>s</div></div>", "whole article"),
+        ("<div class='content no-sidebar'><article>text</article></div>", "text"),
+        ("<div class='layout header-fixed has-footer'><h1>T</h1><p>a body of text</p></div>", "T a body of text"),
+        ("<article><p>first</p><p class='share-price'>12.50</p><p class='share-buttons'>tweet</p></article>", "first 12.50"),
+        ("<div class=widget><main><p>the page</p></main></div><div class=widget>w</div>", "the page"),
+        ("<form id=aspnetForm><div><h1>Head</h1><p>much text of the page itself</p></div></form>", "Head much text of the page itself"),
+        ("<div><p>short</p></div><div id=comments><article><h1>x</h1>a very long comment of a reader of this</article></div>", "short"),
+        ("<div><p>own text</p></div><aside><article>much longer text of a teaser, longer than all</article></aside>", "own text"),
+        ("<div class='site-header'>logo</div><div class='post'><p>body text of it</p></div><div class='newsletter-box'>join</div>", "body text of it"),
+        ("<p>first</p><svg class=\"icon\"/><p>second</p>", "first second"),
+        ("<p>first</p><svg><title>t</title><path/></svg><p>second</p>", "first second"),
+        ("<p>a</p><script src=x /><p>in the script</p></script><p>b</p>", "a b"),
         ("<" * 5000, "<" * 5000),
         ("<a <b>x", "x"),
     ],

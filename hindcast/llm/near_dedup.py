@@ -28,12 +28,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.sinks import through_storage
 from .components import components
@@ -416,10 +418,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: float = 0.8, share
     return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _keyed(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows with two keys of their text."""
+    for batch in batches:
+        found = Words(pc.fill_null(batch.column(batch.schema.get_field_index("text")), ""))
+        keys = [pa.array(found.whole(found.hashes(seed)).view(np.int64)) for seed in (1, 2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*batch.schema.names, *names])
+
+
+def _free_names(columns: Iterable[str], n: int) -> list[str]:
+    """Names that none of `columns` has."""
+    taken = {c.lower() for c in columns}
+    return [name for name in (f"own_{i}" for i in range(n + len(taken))) if name not in taken][:n]
+
+
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs`, with all their columns, but those that are near duplicates of a row with a smaller id.
+    """The rows of `docs`, with all their columns, without near duplicates: one row of each class stays.
 
-    Of rows that share an id and a class all or none stay.
+    Classes are those of the texts, whatever ids their rows have: of two texts under one id each is judged for itself.
+    The row with the smallest id stays; of rows with that id and different texts or other columns, one by their hashes;
+    of fully equal rows, one. Rows without an id stay only if their class has no other. Columns may have any names.
     """
-    extra = near_duplicates(docs, **how).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_extra"))
-    return docs.join(extra.distinct(), docs["doc_id"] == F.col("_extra"), "left_anti")
+    ship(docs.sparkSession)
+    one, other, content = names = _free_names(docs.columns, 3)
+    kind = T.StructType([*docs.schema.fields, *[T.StructField(name, T.LongType()) for name in (one, other)]])
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.mapInArrow(partial(_keyed, names=names[:2]), kind).withColumn(content, F.xxhash64(*plain))
+    # The first key stands for the text, so that ids play no part in the classes.
+    texts = near_duplicates(keyed.select(F.col(one).alias("doc_id"), "text"), **how)
+    classes = texts.select(F.col("doc_id").alias(one), F.col("class_id").alias("class")).distinct()
+    identity = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *names)
+    rows = keyed.select(one, identity.alias("row")).groupBy(one, "row").agg(F.count("*").alias("n"))
+    stays = rows.join(classes, one).groupBy("class").agg(F.min(F.struct("row", "n")).alias("first"))
+    columns = ["first.row.id", *[F.col(f"first.row.{name}").alias(f"stays_{name}") for name in names], "first.n"]
+    stays = through_storage(stays.select(*columns), "staying")
+
+    def chosen(which: DataFrame) -> DataFrame:
+        same = [keyed[name] == which[f"stays_{name}"] for name in names] + [keyed["doc_id"].eqNullSafe(which["id"])]
+        return keyed.join(which, reduce(Column.__and__, same), "left_semi")
+
+    repeated = stays.where("n > 1")
+    kept = chosen(stays.where("n = 1"))
+    if not repeated.isEmpty():
+        kept = kept.unionAll(chosen(repeated).dropDuplicates(names))
+    return kept.drop(*names)

@@ -168,3 +168,37 @@ def test_rows_without_id_and_repeated_rows(spark):
     ]
     assert [(r.class_id, r.kept) for r in rows if r.doc_id is None] == [(0, False)]
     assert near_dedup.near_duplicates(docs.limit(0)).collect() == []
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+
+
+def stays(spark, rows, schema="doc_id long, text string, lang string"):
+    found = near_dedup.keep_first(spark.createDataFrame(rows, schema).repartition(3))
+    assert found.columns == [c.split()[0] for c in schema.split(", ")]
+    return sorted((tuple(r) for r in found.collect()), key=repr)
+
+
+def test_texts_that_share_an_id_are_judged_each_for_itself(spark):
+    other = "a text of its own that is like no other text in this table at all and stays"
+    assert stays(spark, [(1, LONG, "x"), (2, other, "x"), (2, LONG, "x")]) == [(1, LONG, "x"), (2, other, "x")]
+    # Two texts under one id, one of them like a third: the other is not drawn into its class.
+    assert stays(spark, [(2, LONG, "x"), (2, other, "x"), (5, LONG + " seventeen", "x")]) == [(2, other, "x"), (2, LONG, "x")]
+
+
+def test_repeated_rows_and_rows_without_id_leave_one(spark):
+    assert stays(spark, [(1, LONG, "x"), (1, LONG, "x"), (1, LONG, "x")]) == [(1, LONG, "x")]
+    assert len(stays(spark, [(1, LONG, "x"), (1, LONG, "y")])) == 1
+    assert stays(spark, [(None, LONG, "x"), (None, LONG, "x")]) == [(None, LONG, "x")]
+    assert stays(spark, [(None, LONG, "x"), (7, LONG, "x")]) == [(7, LONG, "x")]
+    assert stays(spark, [(3, None, "x"), (4, " ", "x"), (5, "", "x")]) == [(3, None, "x")]
+
+
+def test_columns_with_clashing_names_stay(spark):
+    schema = "doc_id long, text string, _extra string, own_0 int, key1 string, class_id long, stays_own_1 int, n int, row int, id int"
+    rows = [(i, LONG if i < 2 else f"text {i}", "e", i, "k", 9, 1, 2, 3, 4) for i in range(4)]
+    assert stays(spark, rows, schema) == sorted([rows[0], *rows[2:]], key=repr)
+
+
+def test_keep_first_of_nothing(spark):
+    assert stays(spark, []) == []

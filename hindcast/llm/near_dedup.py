@@ -32,10 +32,8 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.sinks import through_storage
 from .components import components
@@ -418,14 +416,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: float = 0.8, share
     return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def _keyed(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows with two keys of their text."""
-    for batch in batches:
-        found = Words(pc.fill_null(batch.column(batch.schema.get_field_index("text")), ""))
-        keys = [pa.array(found.whole(found.hashes(seed)).view(np.int64)) for seed in (1, 2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*batch.schema.names, *names])
-
-
 def _free_names(columns: Iterable[str], n: int) -> list[str]:
     """Names that none of `columns` has."""
     taken = {c.lower() for c in columns}
@@ -439,12 +429,10 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     The row with the smallest id stays; of rows with that id and different texts or other columns, one by their hashes;
     of fully equal rows, one. Rows without an id stay only if their class has no other. Columns may have any names.
     """
-    ship(docs.sparkSession)
-    one, other, content = names = _free_names(docs.columns, 3)
-    kind = T.StructType([*docs.schema.fields, *[T.StructField(name, T.LongType()) for name in (one, other)]])
+    one, content = names = _free_names(docs.columns, 2)
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    keyed = docs.mapInArrow(partial(_keyed, names=names[:2]), kind).withColumn(content, F.xxhash64(*plain))
-    # The first key stands for the text, so that ids play no part in the classes.
+    keyed = docs.withColumns({one: F.xxhash64(F.coalesce("text", F.lit(""))), content: F.xxhash64(*plain)})
+    # A hash of the text stands for the id, so that ids play no part in the classes.
     texts = near_duplicates(keyed.select(F.col(one).alias("doc_id"), "text"), **how)
     classes = texts.select(F.col("doc_id").alias(one), F.col("class_id").alias("class")).distinct()
     identity = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *names)

@@ -28,11 +28,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import through_storage
@@ -435,18 +435,15 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     # A hash of the text stands for the id, so that ids play no part in the classes.
     texts = near_duplicates(keyed.select(F.col(one).alias("doc_id"), "text"), **how)
     classes = texts.select(F.col("doc_id").alias(one), F.col("class_id").alias("class")).distinct()
-    identity = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *names)
-    rows = keyed.select(one, identity.alias("row")).groupBy(one, "row").agg(F.count("*").alias("n"))
-    stays = rows.join(classes, one).groupBy("class").agg(F.min(F.struct("row", "n")).alias("first"))
-    columns = ["first.row.id", *[F.col(f"first.row.{name}").alias(f"stays_{name}") for name in names], "first.n"]
-    stays = through_storage(stays.select(*columns), "staying")
-
-    def chosen(which: DataFrame) -> DataFrame:
-        same = [keyed[name] == which[f"stays_{name}"] for name in names] + [keyed["doc_id"].eqNullSafe(which["id"])]
-        return keyed.join(which, reduce(Column.__and__, same), "left_semi")
-
-    repeated = stays.where("n > 1")
-    kept = chosen(stays.where("n = 1"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(content).alias("row"))
+    rows = keyed.select(one, order.alias("at")).groupBy(one, "at").agg(F.count("*").alias("n"))
+    rows = through_storage(rows.join(classes, one).select("class", "at", "n"), "rows-of-classes")
+    first = rows.groupBy("class").agg(F.min("at").alias("first"))
+    # One number per row that goes is all that the documents have to meet.
+    goes = rows.join(first, "class").where("at.row <> first.row").select(F.col("at.row").alias(content)).distinct()
+    kept = keyed.join(through_storage(goes, "going"), content, "left_anti")
+    repeated = through_storage(rows.where("n > 1").select(F.col("at.row").alias(content)), "repeated-rows")
     if not repeated.isEmpty():
-        kept = kept.unionAll(chosen(repeated).dropDuplicates(names))
-    return kept.drop(*names)
+        once = kept.join(repeated, content, "left_semi").dropDuplicates([content])
+        kept = kept.join(repeated, content, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -67,6 +67,11 @@ BOOKED_AT = """
                on x.source = 'PERSON.NUMBER' and cast(x.source_key as bigint) = b.person_number)"""
 
 
+def _settings_matrices(t):
+    """Matrices of four settings: two training label timespans by two training histories."""
+    return SETTINGS.matrices(t.stays, N.need_log(t), T.label_bounds(t.stays, "start_ts"))
+
+
 def _wide_matrices(t):
     bounds = T.label_bounds(t.stays, "start_ts")
     gaps = X.time_since_known(t.stays, "start_ts", "since", WIDE.spine(bounds).select("as_of_date").distinct())
@@ -243,7 +248,8 @@ LISTS_SQL = " union all ".join(
     )
 )
 
-MATRIX = f"""{GRID_DAYS},
+def _matrix_sql(days: str, leading: str = "split_id, role", label: str = "label") -> str:
+    return f"""{days},
     spine as (select distinct as_of_date, as_of_date - interval '2' year as lo, as_of_date + interval '6' month as hi
               from grid_days),
     {N.LOG}, {COHORT},
@@ -256,6 +262,9 @@ MATRIX = f"""{GRID_DAYS},
              max(case when start_ts between m.as_of_date and hi
                        and ifnull(end_ts, timestamp '2099-01-01 00:00:00') > start_ts + interval '14' day
                       then 1 else 0 end) as label,
+             max(case when start_ts between m.as_of_date and m.as_of_date + interval '1' year
+                       and ifnull(end_ts, timestamp '2099-01-01 00:00:00') > start_ts + interval '14' day
+                      then 1 else 0 end) as label_year,
              count(*) filter (start_ts < m.as_of_date and start_ts >= m.as_of_date - interval '1' year) as c1,
              count(*) filter (start_ts < m.as_of_date and start_ts >= m.as_of_date - interval '5' year) as c5,
              count(*) filter (start_ts < m.as_of_date) as ca,
@@ -263,7 +272,7 @@ MATRIX = f"""{GRID_DAYS},
              date_diff('second', max(start_ts) filter (start_ts <= m.as_of_date), cast(m.as_of_date as timestamp)) as since
       from members m join stays using (entity_id) group by m.entity_id, m.as_of_date),
     matrix as (
-      select split_id, role, entity_id, as_of_date, label,
+      select {leading}, entity_id, as_of_date, {label},
              case when ca = 0 then 0 else c1 end as stays_1y_prior_count,
              case when ca = 0 then 0 else c5 end as stays_5y_prior_count, ca as stays_all_prior_count,
              ifnull(f5, 0) as screen_5y_flag_max, ifnull(since, 0) as since_last_stay,
@@ -273,6 +282,13 @@ MATRIX = f"""{GRID_DAYS},
       from facts join grid_days using (as_of_date))"""
 
 
+MATRIX = _matrix_sql(GRID_DAYS)
+SETTINGS = Study(replace(LISTS, feature_start=None), LOOKBACK, (COUNTS, FLAGS))
+SETTINGS_MATRIX = _matrix_sql(
+    f"grid_days as ({LISTS_SQL})", "setting_id, split_id, role", "case label_timespan when '1year' then label_year else label end as label"
+)
+
+
 def _evaluation_sql(keys: str, cuts: str, metrics: tuple[str, ...]) -> str:
     """Top-k metrics by row position in the best, worst and mean order of ties."""
     parts = []
@@ -458,6 +474,7 @@ QUERIES = {
             left join stored k using (entity_id, as_of_date)""",
         (*N.LOG_VIEWS, "bail"),
     ),
+    "matrix_build_settings": Query(_settings_matrices, f"with {SETTINGS_MATRIX} select * from matrix", N.LOG_VIEWS),
     "matrix_build": Query(_matrices, f"with {MATRIX} select * from matrix", N.LOG_VIEWS),
     "model_random_forest": Query(lambda t: _grid(t, "random_forest"), _grid_sql("random_forest"), N.LOG_VIEWS),
     "model_decision_tree": Query(lambda t: _grid(t, "decision_tree"), _grid_sql("decision_tree"), N.LOG_VIEWS),

@@ -14,23 +14,22 @@ from hindcast.operators.joins import null_safe_join
 def matrix_build(labels: DataFrame, features: Sequence[DataFrame], spine: DataFrame) -> DataFrame:
     """Labelled cohort x feature groups, one row per `(split_id, role, entity_id, as_of_date)`.
 
-    All inputs are keyed by `(entity_id, as_of_date)`, as their aggregations left them, so the joins need no
+    A spine of several settings puts `setting_id` in front; what the settings share is built once. All inputs are keyed by `(entity_id, as_of_date)`, as their aggregations left them, so the joins need no
     further shuffle. Split and role are looked up in the short spine without a join; a row goes where the
     spine asks for its date and `label_timespan`.
     """
     rows = labels
     for group in features:
         rows = rows.join(group, KEYS, "left")
-    places = spine.agg(
-        F.collect_set(F.struct("split_id", "role", "as_of_date", "label_timespan"))
-    ).scalar()
+    matrix = [c for c in ("setting_id", "split_id", "role") if c in spine.columns]
+    places = spine.agg(F.collect_set(F.struct(*matrix, "as_of_date", "label_timespan"))).scalar()
     wanted = F.filter(
         "_places",
         lambda s: (s["as_of_date"] == F.col("as_of_date")) & (s["label_timespan"] == F.col("label_timespan")),
     )
     placed = rows.withColumn("_places", places).withColumn("_place", F.explode(wanted))
     kept = [c for c in rows.columns if c != "label_timespan"]
-    return placed.select("_place.split_id", "_place.role", *kept)
+    return placed.select(*[f"_place.{c}" for c in matrix], *kept)
 
 
 def training_rows(matrix: DataFrame) -> DataFrame:

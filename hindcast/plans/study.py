@@ -16,7 +16,7 @@ from hindcast.operators.features import FeatureGroup, feature_intervals, fill_mi
 from hindcast.operators.labels import label_timespans
 from hindcast.operators.matrix import matrix_build
 from hindcast.operators.models import ModelSpec, model_grid
-from hindcast.operators.spine import TemporalConfig, asof_spine, known_from
+from hindcast.operators.spine import TemporalConfig, asof_spine, asof_spines, known_from
 from hindcast.presets import LONG_STAY
 from hindcast.sources.sinks import through_storage
 
@@ -113,7 +113,10 @@ class EventFeatures:
 
 @dataclass(frozen=True)
 class Study:
-    """`groups` are features over the stays, `sources` those over other events by the name of the source."""
+    """`groups` are features over the stays, `sources` those over other events by the name of the source.
+
+    Settings of `temporal` that list several values give a spine and matrices for each combination, told by `setting_id`.
+    """
 
     temporal: TemporalConfig
     lookback: str
@@ -126,7 +129,8 @@ class Study:
         return own + [n for source in self.sources.values() for n in source.names()]
 
     def spine(self, bounds: DataFrame) -> DataFrame:
-        return asof_spine(bounds, self.temporal)
+        settings = self.temporal.settings()
+        return asof_spines(bounds, self.temporal) if len(settings) > 1 else asof_spine(bounds, settings[0])
 
     def matrices(
         self, stays: DataFrame, log: DataFrame, bounds: DataFrame, events: Mapping[str, DataFrame] | None = None
@@ -134,12 +138,13 @@ class Study:
         """All train and test matrices of the grid as one frame; `events` has a frame for each of `sources`.
 
         Only events of entities in the labelled cohort are aggregated. The labels are stored first, since every
-        group of features is narrowed by them.
+        group of features is narrowed by them. Labels and features of a date are computed once for all settings.
         """
         spine = self.spine(bounds)
         # The dates are a short list; as constants they prune stored events and stay inside generated code.
         days = [r["as_of_date"] for r in spine.select("as_of_date").distinct().collect()] or spine
-        timespans = sorted({self.temporal.training_label_timespan, self.temporal.test_label_timespan})
+        settings = self.temporal.settings()
+        timespans = sorted({t for s in settings for t in (s.training_label_timespan, s.test_label_timespan)})
         labels = through_storage(labelled_grid(stays, log, days, self.lookback, timespans), "labels")
         members = labels.select("entity_id").distinct()
         own = EventFeatures(self.groups, self.recency, ["stay_id"])

@@ -25,6 +25,7 @@ from hindcast.operators import reports as R
 from hindcast.operators import signals as S
 from hindcast.operators import spine as T
 from hindcast.operators.linkage import distinct_entities
+from hindcast.plans.runs import latest_evaluations, run_study
 from hindcast.plans.study import EventFeatures, Study, evaluation_table, held_out_precision, labelled_cohort
 from hindcast.presets import BASE_RATE_SIGNALS, RANDOM_SEED
 from hindcast.sources import sinks
@@ -330,18 +331,23 @@ def _rounded(df):
 
 
 # The rankers by SQL: dense ranks by their rules, 1 - (rank - 1) / greatest rank as the score.
-RANKED = f"""{MATRIX},
+def _ranked_sql(matrix: str, keys: str = "split_id, as_of_date") -> str:
+    return f"""{matrix},
     ranks as (
-      select 101 as model_id, *, dense_rank() over (partition by split_id, as_of_date
+      select 101 as model_id, *, dense_rank() over (partition by {keys}
              order by stays_1y_prior_count desc, since_last_stay) as place from matrix
       union all
-      select 102, *, dense_rank() over (partition by split_id, as_of_date order by stays_all_prior_count desc) from matrix),
+      select 102, *, dense_rank() over (partition by {keys} order by stays_all_prior_count desc) from matrix),
     predictions as (
-      select model_id, split_id, role, entity_id, as_of_date, label,
-             1.0::double - (place - 1) / max(place) over (partition by model_id, split_id, as_of_date) as score
+      select model_id, {keys}, role, entity_id, label,
+             1.0::double - (place - 1) / max(place) over (partition by model_id, {keys}) as score
       from ranks qualify role = 'test')"""
 
 
+RANKED = _ranked_sql(MATRIX)
+RUN_KEYS = "setting_id, split_id, as_of_date"
+
+
 def _run_report(t):
     """The tables a run leaves behind, models and evaluations, joined into its report."""
     splits = Z.split_ids(_spine(t))
@@ -353,6 +359,17 @@ def _run_report(t):
     )
 
 
+def _run_tables(t):
+    """A run over four settings that leaves its tables behind; its report from what is read back."""
+    path = f"{sinks.shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    run_study(path, SETTINGS, RANKERS, t.stays, N.need_log(t), T.label_bounds(t.stays, "start_ts"))
+    return latest_evaluations(t.spark, path).select(
+        "setting_id", "split_id", F.col("spec_id").alias("model_id"), "model_type_short", "evaluation_end_time", "parameter",
+        F.round("best_value", 9).alias("best_value"), F.round("worst_value", 9).alias("worst_value"),
+        F.round("stochastic_value", 9).alias("stochastic_value"), "time_splits", "as_of_times", "total_features", "models_needed",
+    )
+
+
 def _evaluated(cuts, metrics, keys="model_id, as_of_date", abs_or_pct=ABS):
     return Query(
         lambda t: _rounded(E.evaluate(t.predictions, keys.split(", "), cuts, metrics)),
@@ -525,6 +542,17 @@ QUERIES = {
             from results where parameter = '100_abs'""",
         N.LOG_VIEWS,
     ),
+    "study_run_tables": Query(
+        _run_tables,
+        f"""with {_ranked_sql(SETTINGS_MATRIX, RUN_KEYS)}, {_evaluation_sql(f"model_id, {RUN_KEYS}", ABS, ("precision@",))},
+            grid as (select count(distinct (setting_id, split_id)) as n, count(distinct as_of_date) as d from grid_days)
+            select setting_id, split_id, model_id, 'rank_multi_feature' as model_type_short, as_of_date as evaluation_end_time,
+                   parameter, round(best_value, 9) as best_value, round(worst_value, 9) as worst_value,
+                   round(stochastic_value, 9) as stochastic_value, cast(n as int) as time_splits, cast(d as int) as as_of_times,
+                   5 as total_features, cast(2 * n as int) as models_needed
+            from results, grid where parameter = '100_abs'""",
+        N.LOG_VIEWS,
+    ),
     "rank_multi_feature": Query(
         lambda t: K.rank_multi_feature(
             X.impute_constant(cohort(t), X.feature_intervals(bookings(t), DATES, BOOKINGS), BOOKINGS.names()), RULES

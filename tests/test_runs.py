@@ -22,9 +22,9 @@ OTHER = ModelSpec(8, "rank_multi_feature", {"rules": [{"feature": "stays_1y_prio
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    stays = spark.range(400).select(
-        (F.col("id") % 40).alias("entity_id"), F.col("id").alias("stay_id"), (F.col("id") % 3 == 0).cast("int").alias("screen_flag"),
-        F.expr("timestamp_ntz '2010-01-01 00:00:00' + make_interval(0, 0, 0, cast(id * 7919 % 2000 as int))").alias("start_ts"),
+    stays = spark.range(120, numPartitions=1).select(
+        (F.col("id") % 20).alias("entity_id"), F.col("id").alias("stay_id"), (F.col("id") % 3 == 0).cast("int").alias("screen_flag"),
+        F.expr("timestamp_ntz '2010-01-01 00:00:00' + make_interval(0, 0, 0, cast(id * 7919 % 1000 as int))").alias("start_ts"),
     )
     stays = stays.withColumn("end_ts", F.expr("start_ts + make_interval(0, 0, 0, cast(stay_id % 30 as int))"))
     return stays, S.flag_log(stays, "screen", "start_ts", "screen_flag"), label_bounds(stays, "start_ts")

@@ -9,6 +9,10 @@ scored level by level for all words at once.
 A worker remembers the counts of words it has met (up to `REMEMBERED`, then it starts again), so a frequent word is
 scored about once per worker however often it occurs. Texts are counted one by one, whole, without a shuffle.
 
+Words beyond `LONG` bytes share no prefix worth a trie: each is scored by itself, forward over the pieces found in it, in
+time linear in its length and with the last scores only in memory. Both ways give the same sums in the same order. Of
+segmentations with equal scores the one with the shorter last piece wins, at every prefix.
+
 The vocabulary file carries ranks, not probabilities: a piece's score is the Zipf log probability of its rank.
 
 Null text has no words and no tokens. Repeated rows are counted alike; an empty table gives an empty result; only the id
@@ -28,6 +32,8 @@ from .text import Words, batch_of, byte_sums, chunks, shifted, ship
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 REMEMBERED = 2_000_000
+#: Bytes from which on a word is scored by itself, and places at which it then looks for pieces at once.
+LONG, PLACES = 256, 1 << 16
 MARK = "▁".encode()
 
 
@@ -119,6 +125,30 @@ class Vocabulary:
             out[done] = count[stand[done]]
         return out
 
+    def segment_long(self, word: bytes) -> int:
+        """Tokens of one word of any length."""
+        total, n = byte_sums(np.frombuffer(word, np.uint8), 21), len(word)
+        base, best, tokens = 0, [0.0], [0]  # scores of the prefixes from `base` bytes on
+        for start in range(0, n, PLACES):
+            stop = min(n, start + PLACES)
+            found = []
+            for length in self.tables:
+                if length > stop:
+                    break
+                end = np.arange(max(start + 1, length), stop + 1)
+                at, scores = self.find(length, shifted(total[end] - total[end - length], end - length, len(total)))
+                found.append((end[at], np.full(len(at), length), scores))
+            ends, lengths, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((lengths, ends))
+            best += [float("-inf")] * (stop - start)
+            tokens += [0] * (stop - start)
+            for end, length, score in zip((ends[order] - base).tolist(), lengths[order].tolist(), scores[order].tolist(), strict=True):
+                score += best[end - length]
+                if score > best[end]:
+                    best[end], tokens[end] = score, tokens[end - length] + 1
+            base, best, tokens = max(base, stop - self.longest), best[-self.longest - 1 :], tokens[-self.longest - 1 :]
+        return tokens[-1]
+
     def count(self, words: Words) -> np.ndarray:
         """Tokens of each word of the texts."""
         hashes = words.hashes(22)
@@ -130,9 +160,12 @@ class Vocabulary:
             raw = words.data.tobytes()
             spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
             found = [MARK + raw[a:b] for a, b in spans]
-            order = sorted(range(len(found)), key=found.__getitem__)
+            order = sorted((i for i, w in enumerate(found) if len(w) <= LONG), key=found.__getitem__)
             tokens = np.zeros(len(found), np.int64)
-            tokens[order] = self.segment([found[i] for i in order])
+            if order:
+                tokens[order] = self.segment([found[i] for i in order])
+            for i in (i for i, w in enumerate(found) if len(w) > LONG):
+                tokens[i] = self.segment_long(found[i])
             counts[new] = tokens
             if len(self.known) > REMEMBERED:
                 self.forget()

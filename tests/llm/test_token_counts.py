@@ -77,3 +77,25 @@ def test_common_beginnings():
         while n < min(len(a), len(b)) and a[n] == b[n]:
             n += 1
         assert token_counts._common(a, b) == n
+
+
+def test_long_words_equal_the_trie(monkeypatch):
+    rng = random.Random(3)
+    scores = token_counts.pieces(queries.piece_bpe())
+    vocabulary = token_counts.Vocabulary(scores)
+    words = ["".join(rng.choices(["token", "ing", "é", "日", "x", "0", "pre", "="], k=rng.randint(1, 300))) for _ in range(20)]
+    expected = [brute(w, scores) for w in words]
+    for places in (7, 60, 1 << 16):
+        monkeypatch.setattr(token_counts, "PLACES", places)
+        assert [vocabulary.segment_long(token_counts.MARK + w.encode()) for w in words] == expected
+    ordered = sorted(token_counts.MARK + w.encode() for w in words)
+    assert vocabulary.segment(ordered).tolist() == [vocabulary.segment_long(w) for w in ordered]
+
+
+def test_a_word_of_a_megabyte():
+    rng = random.Random(4)
+    vocabulary = token_counts.Vocabulary(token_counts.pieces(queries.piece_bpe()))
+    word = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
+    halves = Words(pa.array([word, f"{word[:300]} {word}", "short"], pa.string()))
+    whole, start, again, short = vocabulary.count(halves).tolist()
+    assert whole == again > (1 << 20) / 4 and 0 < start < 300 and short >= 1

@@ -21,6 +21,7 @@ only the id and the text are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -234,15 +235,25 @@ def fit(texts: list[np.ndarray], labels: list[int], rounds: int = 150, rate: flo
     return field
 
 
-def _line_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows(features: np.ndarray, lines: int, most: int) -> list[bytes]:
+    """A text's features as runs of at most `lines` lines; of more than `most` runs those with the smallest digests."""
+    runs = [features[i : i + lines].tobytes() for i in range(0, len(features), lines)]
+    return runs if len(runs) <= most else sorted(runs, key=lambda run: hashlib.md5(run).digest())[:most]
+
+
+def _line_features(batches: Iterable[pa.RecordBatch], lines: int, most: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        lines = Lines(batch.column(1))
-        parts = [lines.features[a:b].tobytes() for a, b in zip(lines.edges[:-1], lines.edges[1:], strict=True)]
-        yield batch_of(LINES, [batch.column(0), parts])
+        found = Lines(batch.column(1))
+        spans = zip(batch.column(0).to_pylist(), found.edges[:-1], found.edges[1:], strict=True)
+        rows = [(quality, run) for quality, a, b in spans for run in windows(found.features[a:b], lines, most)]
+        yield batch_of(LINES, list(zip(*rows, strict=True)) if rows else [[], []])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1000) -> Field:
-    """The field fitted on at most `sample` labelled documents of either quality."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1000, lines: int = 64, most: int = 4) -> Field:
+    """The field fitted on at most `sample` labelled documents of either quality, `most` runs of `lines` lines of each.
+
+    Of rows that share an id, the one with the smallest hash of its text is taken.
+    """
     ship(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
@@ -251,8 +262,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1000) -> Field:
         return Field()
     # At most 2 * sample ids, whatever the tables hold.
     picked = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int").dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text")
-    got = texts.mapInArrow(_line_features, "quality int, features binary").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality")
+    texts = texts.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("quality", "text")
+    got = texts.mapInArrow(partial(_line_features, lines=lines, most=most), "quality int, features binary").collect()
     got.sort(key=lambda r: (r["quality"], bytes(r["features"])))
     features = [np.frombuffer(r["features"], np.uint8).reshape(-1, len(EDGES)) for r in got]
     return fit(features, [r["quality"] for r in got])

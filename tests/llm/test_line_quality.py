@@ -96,3 +96,18 @@ def test_held_out_accuracy(spark):
     base = [np.array([brute(r.text)[5] for r in rows]) for rows in (good, bad)]
     assert kept[0][~base[0]].mean() > 0.98
     assert kept[1].mean() < 0.05
+
+
+def test_the_fit_is_bounded_by_lines_and_rows_of_one_id_count_once(spark):
+    rng = random.Random(9)
+    good = lambda n: "\n".join("The committee met in the old town and spoke about the new bridge." for _ in range(n))
+    bad = lambda n: "\n".join(rng.choice(["Home | Login | Cart", "Share >> Tweet", "$$$ 50% OFF"]) for _ in range(n))
+    texts = [good(5), bad(6), good(100_000), bad(3)] * 3
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2 ^ 1) for i in range(len(texts))], "doc_id long, quality int")
+    field = line_quality.train(docs, labels)
+    again = line_quality.train(docs.unionAll(docs), labels)
+    assert np.allclose(field.weights, again.weights) and np.allclose(field.pairs, again.pairs) and field.weights.any()
+    features = np.arange(12, dtype=np.uint8).reshape(6, 2)
+    assert b"".join(line_quality.windows(features, 4, 2)) == features.tobytes()
+    assert len(line_quality.windows(features, 2, 2)) == 2 and line_quality.windows(features[:0], 2, 2) == []

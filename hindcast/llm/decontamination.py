@@ -5,14 +5,17 @@ punctuation). Running Karp-Rabin hashes of `least` tokens give the seeds that th
 grow into maximal matches. The longest match whose tokens are still free on both sides becomes a tile; a match that
 has lost tokens to earlier tiles goes back with its free parts of at least `least` tokens. This repeats until no match
 is left, so moved and reordered passages are found too. A document is contaminated by an item if tiles cover at least
-`coverage` of the item's tokens.
+`coverage` of the item's tokens, or if one tile has `passage` tokens, however long the item is. Of equally long matches the
+one that starts first in the item, then in the document, becomes a tile first.
+
+Items with fewer than `least` tokens, which any text may hold by chance, contaminate the documents that consist of them.
 
 The benchmark is taken in blocks of at most `block_bytes` of text (one item may be longer); each block's seeds and
 tokens go to all tasks, and all documents are compared with it in one pass without a shuffle. A benchmark of any size
 costs more passes, not more memory. Every document is compared whole and by itself, so neither copies nor passages that
 many documents share meet in one task.
 
-Null text is empty and matches nothing; so do items with fewer than `least` tokens. Repeated rows of either table each
+Null text, like text without tokens, is empty and matches nothing. Repeated rows of either table each
 count for themselves. Empty tables give an empty result. Only the ids and texts of both tables are read.
 """
 
@@ -60,6 +63,10 @@ class Block:
         tokens = _Tokens(pa.array([text or "" for _, text in items], pa.string()), least)
         self.ids = [i for i, _ in items]
         self.tokens = [tokens.hashes[slice(*tokens.of(i))].tolist() for i in range(len(items))]
+        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for i, own in enumerate(self.tokens):
+            if 0 < len(own) < least:
+                self.short[tuple(own)].append(i)
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         texts = tokens.words.texts
         for at, seed in zip(tokens.at.tolist(), tokens.seeds.tolist(), strict=True):
@@ -119,9 +126,13 @@ def tiles(shared: list[tuple[int, int]], item: list[int], doc: list[int], least:
     return out
 
 
-def _found(texts: pa.Array, block: Block, coverage: float) -> Iterator[tuple[int, int, int, int]]:
+def _found(texts: pa.Array, block: Block, coverage: float, passage: int) -> Iterator[tuple[int, int, int, int]]:
     """Place of a text, place of the item that contaminates it, tiles, tokens that they cover."""
     tokens = _Tokens(texts, block.least)
+    sizes = np.diff(tokens.words.first)
+    for text in np.flatnonzero((sizes > 0) & (sizes < block.least)).tolist() if block.short else ():
+        for item in block.short.get(tuple(tokens.hashes[slice(*tokens.of(text))].tolist()), ()):
+            yield text, item, 1, len(block.tokens[item])
     places = block.shared(tokens.seeds)
     of = tokens.words.texts[tokens.at[places]]
     for text in np.unique(of).tolist():
@@ -133,30 +144,31 @@ def _found(texts: pa.Array, block: Block, coverage: float) -> Iterator[tuple[int
         doc = tokens.hashes[begin:end].tolist()
         for item, shared in by_item.items():
             own = block.tokens[item]
-            if block.least * len({i for i, _ in shared}) < coverage * len(own):
-                continue  # even tiles that overlap nowhere could not cover enough
+            seeds = len({i for i, _ in shared})
+            if block.least * seeds < coverage * len(own) and seeds <= passage - block.least:
+                continue  # even tiles that overlap nowhere could not cover enough, and none is long enough
             found = tiles(shared, own, doc, block.least)
             covered = sum(length for length, _, _ in found)
-            if covered >= coverage * len(own):
+            if covered >= coverage * len(own) or found and max(found)[0] >= passage:
                 yield text, item, len(found), covered
 
 
-def _compare(batches: Iterable[pa.RecordBatch], block: Block, coverage: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterable[pa.RecordBatch], block: Block, coverage: float, passage: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         ids = batch.column(0)
         rows = [
             (ids[text].as_py(), block.ids[item], n, covered, len(block.tokens[item]), covered / len(block.tokens[item]))
-            for text, item, n, covered in _found(batch.column(1), block, coverage)
+            for text, item, n, covered in _found(batch.column(1), block, coverage, passage)
         ]
         yield batch_of(RESULT, list(zip(*rows, strict=True)) if rows else [[]] * 6)
 
 
-def _clean(batches: Iterable[pa.RecordBatch], block: Block, coverage: float) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterable[pa.RecordBatch], block: Block, coverage: float, passage: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         clean = np.ones(batch.num_rows, bool)
         done = 0
         for part in chunks([batch], "text"):
-            for text, *_ in _found(part.column("text"), block, coverage):
+            for text, *_ in _found(part.column("text"), block, coverage, passage):
                 clean[done + text] = False
             done += part.num_rows
         yield batch.filter(pa.array(clean))
@@ -176,12 +188,18 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.6, block_bytes: int = 4 << 20
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least: int = 5,
+    coverage: float = 0.6,
+    passage: int = 50,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Pairs of a contaminated document and an item: doc_id, item_id, n_tiles, tiled_tokens, item_tokens, coverage."""
     ship(docs.sparkSession)
+    how = {"coverage": coverage, "passage": passage}
     found = [
-        docs.select("doc_id", "text").mapInArrow(partial(_compare, block=Block(items, least), coverage=coverage), SCHEMA)
+        docs.select("doc_id", "text").mapInArrow(partial(_compare, block=Block(items, least), **how), SCHEMA)
         for items in _blocks(benchmark, block_bytes)
     ]
     if not found:
@@ -190,10 +208,15 @@ def contaminated(
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.6, block_bytes: int = 4 << 20
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least: int = 5,
+    coverage: float = 0.6,
+    passage: int = 50,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """The rows of `docs`, with all their columns, that no item contaminates."""
     ship(docs.sparkSession)
     for items in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(partial(_clean, block=Block(items, least), coverage=coverage), docs.schema)
+        docs = docs.mapInArrow(partial(_clean, block=Block(items, least), coverage=coverage, passage=passage), docs.schema)
     return docs

@@ -99,3 +99,18 @@ def test_empty_tables(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
     assert decontamination.contaminated(docs.limit(0), bench).collect() == []
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == 3
+
+
+def test_short_items_and_long_passages(spark):
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(2000)]
+    item = rng.sample(words, 500)
+    long = ["x1", *item[100:150], "x2"]
+    near = ["x1", *item[200:249], "x2"]
+    texts = ["what is two", "What, is TWO?", "so what is two then", " ".join(long), " ".join(near), "", None, "yes", "..."]
+    benchmark = spark.createDataFrame([(1, "what is two"), (2, " ".join(item)), (3, ""), (4, "...")], "item_id long, text string")
+    docs = documents(spark, texts, extra=True)
+    got = decontamination.contaminated(docs, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_tiles, r.tiled_tokens) for r in got) == [(0, 1, 1, 3), (1, 1, 1, 3), (3, 2, 1, 50)]
+    kept = decontamination.decontaminate(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 7, 8]

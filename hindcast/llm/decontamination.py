@@ -8,183 +8,272 @@ is left, so moved and reordered passages are found too. A document is contaminat
 `coverage` of the item's tokens, or if one tile has `passage` tokens, however long the item is. Of equally long matches the
 one that starts first in the item, then in the document, becomes a tile first.
 
-Items with fewer than `least` tokens, which any text may hold by chance, contaminate the documents that consist of them.
-
-The benchmark is taken in blocks of at most `block_bytes` of text (one item may be longer); each block's seeds and
-tokens go to all tasks, and all documents are compared with it in one pass without a shuffle. A benchmark of any size
-costs more passes, not more memory. Every document is compared whole and by itself, so neither copies nor passages that
-many documents share meet in one task.
-
-Null text, like text without tokens, is empty and matches nothing. Repeated rows of either table each
-count for themselves. Empty tables give an empty result. Only the ids and texts of both tables are read.
+Items with fewer than `least` tokens, which any text may hold by chance, contaminate the documents that consist of them:
+the sequence of such a text is its only seed. Equal 64-bit seeds count as equal tokens.
+
+The benchmark is a table of items with their seeds; it never passes through the driver. A Bloom filter of its seeds, of
+at most 2 ** `most_bits` bits, goes to all tasks, and one pass over the documents keeps the few places whose seed may
+be in the benchmark; a filter that is too small lets more through and changes no result. These places meet the items'
+seeds in a join, and are gathered by document and item, so the largest group is one document's places. Neither copies
+nor passages that many documents share are compared in one task.
+
+Seeds that repeat in a very long text and in an item are expanded in parts of `PART` pairs, of which only the ends of
+matches stay. Null text, like text without tokens, is empty and matches nothing. Repeated rows of either table each
+count for themselves. Empty tables give an empty result. Only the ids and texts of both tables are read; other columns
+may have any names.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .text import SPACES, Words, batch_of, chunks, ship
+from hindcast.sources.sinks import through_storage
 
-RESULT = pa.schema(
-    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tiles", pa.int64()), ("tiled_tokens", pa.int64()), ("item_tokens", pa.int64()), ("coverage", pa.float64())]
-)
-SCHEMA = "doc_id long, item_id long, n_tiles long, tiled_tokens long, item_tokens long, coverage double"
+from .text import SPACES, Words, batch_of, chunks, free_names, grouped, ship
+
+RESULT = "n_tiles long, tiled_tokens long, item_tokens long, coverage double"
+ITEM = pa.schema([("item_id", pa.int64()), ("item_tokens", pa.int64()), ("item_seeds", pa.list_(pa.int64()))])
+SEGMENT = pa.schema([("segment", pa.int64()), ("bits", pa.binary())])
+#: Bytes of the filter that are merged as one row.
+SEGMENT_BYTES = 1 << 16
+#: Pairs of places that are held at a time.
+PART = 1 << 20
+#: Odd multipliers, one per bit that a seed sets in the filter.
+PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 GAPS = np.zeros(256, bool)
 GAPS[list(SPACES)] = True
 GAPS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 
 
-class _Tokens:
-    """Token hashes of many texts and the hashes of their seeds."""
+class _Seeds:
+    """The seeds of many texts: `values`, the text `of` each and its place there; `tokens` per text."""
 
     def __init__(self, texts: pa.Array, least: int):
-        self.words = Words(pc.utf8_lower(texts), GAPS)
-        self.hashes = self.words.hashes(1)
-        self.at, self.seeds = self.words.windows(self.hashes, least)
-
-    def of(self, i: int) -> tuple[int, int]:
-        return int(self.words.first[i]), int(self.words.first[i + 1])
-
-
-class Block:
-    """A part of the benchmark: its items' tokens, and where each seed stands."""
-
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.least = least
-        tokens = _Tokens(pa.array([text or "" for _, text in items], pa.string()), least)
-        self.ids = [i for i, _ in items]
-        self.tokens = [tokens.hashes[slice(*tokens.of(i))].tolist() for i in range(len(items))]
-        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        for i, own in enumerate(self.tokens):
-            if 0 < len(own) < least:
-                self.short[tuple(own)].append(i)
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        texts = tokens.words.texts
-        for at, seed in zip(tokens.at.tolist(), tokens.seeds.tolist(), strict=True):
-            item = int(texts[at])
-            self.places[seed].append((item, at - tokens.of(item)[0]))
-        self.seeds = np.array(sorted(self.places), np.uint64)
-        # One byte per value of the seeds' low bits rules out nearly all places before they are searched for.
-        self.bits = min(24, max(12, (16 * len(self.seeds)).bit_length()))
-        self.maybe = np.zeros(1 << self.bits, bool)
-        self.maybe[self._low(self.seeds)] = True
-
-    def _low(self, seeds: np.ndarray) -> np.ndarray:
-        return (seeds & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-
-    def shared(self, seeds: np.ndarray) -> np.ndarray:
-        """Which of these places hold a seed of this block."""
-        found = np.flatnonzero(self.maybe[self._low(seeds)])
-        if not len(found) or not len(self.seeds):
-            return found[:0]
-        at = np.minimum(np.searchsorted(self.seeds, seeds[found]), len(self.seeds) - 1)
-        return found[self.seeds[at] == seeds[found]]
-
-
-def tiles(shared: list[tuple[int, int]], item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (length, start in item, start in document) from the places (in item, in document) of shared seeds."""
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for i, j in shared:
-        diagonals[j - i].append(i)
-    heap = []
-    for shift, places in diagonals.items():
-        places.sort()
-        start = places[0]
-        for here, after in zip(places, [*places[1:], None], strict=True):
-            if after != here + 1:
-                heap.append((-(here - start + least), start, start + shift))
-                start = after
-    heapq.heapify(heap)
-    in_item, in_doc, out = [False] * len(item), set(), []
-    while heap:
-        length, i, j = heapq.heappop(heap)
-        length = -length
-        free = [not in_item[i + k] and j + k not in in_doc and item[i + k] == doc[j + k] for k in range(length)]
-        if all(free):
-            out.append((length, i, j))
-            for k in range(length):
-                in_item[i + k] = True
-                in_doc.add(j + k)
-            continue
-        run = 0
-        for k, ok in enumerate([*free, False]):
-            if ok:
-                run += 1
-                continue
-            if run >= least:
-                heapq.heappush(heap, (-run, i + k - run, j + k - run))
-            run = 0
-    return out
+        words = Words(pc.utf8_lower(texts), GAPS)
+        hashes = words.hashes(1)
+        at, values = words.windows(hashes, least)
+        of = words.texts[at]
+        self.tokens = words.counts
+        short = np.flatnonzero((self.tokens > 0) & (self.tokens < least))
+        of = np.concatenate([of, short])
+        order = np.argsort(of, kind="stable")
+        self.of = of[order]
+        self.values = np.concatenate([values, words.whole(hashes)[short]])[order]
+        self.places = np.concatenate([at, words.first[short]])[order] - words.first[self.of]
+
+
+def _lists(of: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list per text from the values of all texts, sorted by text."""
+    offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values).cast(kind))
+
+
+def _items(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text"):
+        seeds = _Seeds(batch.column("text"), least)
+        listed = _lists(seeds.of, batch.num_rows, seeds.values.view(np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(seeds.tokens, pa.int64()), listed], schema=ITEM)
+
+
+def _bit(seeds: np.ndarray, probe: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte of the filter and mask in it."""
+    place = (seeds * np.uint64(probe)) >> np.uint64(64 - bits)
+    return (place >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8))
 
 
-def _found(texts: pa.Array, block: Block, coverage: float, passage: int) -> Iterator[tuple[int, int, int, int]]:
-    """Place of a text, place of the item that contaminates it, tiles, tokens that they cover."""
-    tokens = _Tokens(texts, block.least)
-    sizes = np.diff(tokens.words.first)
-    for text in np.flatnonzero((sizes > 0) & (sizes < block.least)).tolist() if block.short else ():
-        for item in block.short.get(tuple(tokens.hashes[slice(*tokens.of(text))].tolist()), ()):
-            yield text, item, 1, len(block.tokens[item])
-    places = block.shared(tokens.seeds)
-    of = tokens.words.texts[tokens.at[places]]
-    for text in np.unique(of).tolist():
-        begin, end = tokens.of(text)
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at in places[slice(*np.searchsorted(of, [text, text + 1]))].tolist():
-            for item, i in block.places[int(tokens.seeds[at])]:
-                by_item[item].append((i, int(tokens.at[at]) - begin))
-        doc = tokens.hashes[begin:end].tolist()
-        for item, shared in by_item.items():
-            own = block.tokens[item]
-            seeds = len({i for i, _ in shared})
-            if block.least * seeds < coverage * len(own) and seeds <= passage - block.least:
-                continue  # even tiles that overlap nowhere could not cover enough, and none is long enough
-            found = tiles(shared, own, doc, block.least)
-            covered = sum(length for length, _, _ in found)
-            if covered >= coverage * len(own) or found and max(found)[0] >= passage:
-                yield text, item, len(found), covered
-
-
-def _compare(batches: Iterable[pa.RecordBatch], block: Block, coverage: float, passage: int) -> Iterator[pa.RecordBatch]:
+def _set_bits(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for batch in batches:
+        seeds = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for probe in PROBES:
+            np.bitwise_or.at(table, *_bit(seeds, probe, bits))
+    parts = [(n, table[at : at + SEGMENT_BYTES]) for n, at in enumerate(range(0, len(table), SEGMENT_BYTES))]
+    parts = [(n, part.tobytes()) for n, part in parts if part.any()]
+    if parts:
+        yield batch_of(SEGMENT, list(zip(*parts, strict=True)))
+
+
+def _merge_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in grouped(batches, ["segment"]):
+        merged = None
+        for row in group.column("bits"):
+            bits = np.frombuffer(row.as_buffer(), np.uint8)
+            merged = bits.copy() if merged is None else np.bitwise_or(merged, bits, out=merged)
+        yield batch_of(SEGMENT, [[group.column("segment")[0].as_py()], [merged.tobytes()]])
+
+
+class Filter:
+    """A Bloom filter of all seeds of the benchmark; its size is bounded whatever the size of the benchmark."""
+
+    def __init__(self, seeds: DataFrame, most_bits: int):
+        # The Spark column `seed` holds each seed's 64 bits as a signed number.
+        self.bits = min(most_bits, max(12, (32 * seeds.count()).bit_length()))
+        segments = seeds.mapInArrow(partial(_set_bits, bits=self.bits), "segment long, bits binary")
+        segments = segments.repartition("segment").sortWithinPartitions("segment")
+        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
+        for row in segments.mapInArrow(_merge_bits, "segment long, bits binary").collect():
+            part = np.frombuffer(row["bits"], np.uint8)
+            self.table[row["segment"] * SEGMENT_BYTES :][: len(part)] = part
+
+    def may_hold(self, seeds: np.ndarray) -> np.ndarray:
+        """Places of the seeds that may be in the benchmark."""
+        found = np.arange(len(seeds))
+        for probe in PROBES:
+            byte, mask = _bit(seeds[found], probe, self.bits)
+            found = found[(self.table[byte] & mask) != 0]
+        return found
+
+
+def _hits(batches: Iterable[pa.RecordBatch], seen: Filter, least: int, keys: int) -> Iterator[pa.RecordBatch]:
+    """Documents with the seeds that may be in the benchmark and their places."""
     for batch in chunks(batches, "text"):
-        ids = batch.column(0)
-        rows = [
-            (ids[text].as_py(), block.ids[item], n, covered, len(block.tokens[item]), covered / len(block.tokens[item]))
-            for text, item, n, covered in _found(batch.column(1), block, coverage, passage)
-        ]
-        yield batch_of(RESULT, list(zip(*rows, strict=True)) if rows else [[]] * 6)
+        seeds = _Seeds(batch.column("text"), least)
+        found = seen.may_hold(seeds.values)
+        if not len(found):
+            continue
+        of = seeds.of[found]
+        some = np.unique(of)
+        rows = np.searchsorted(some, of)
+        columns = [batch.column(i).take(pa.array(some)) for i in range(keys)]
+        columns.append(_lists(rows, len(some), seeds.values[found].view(np.int64), pa.int64()))
+        columns.append(_lists(rows, len(some), seeds.places[found], pa.int32()))
+        names = [*batch.schema.names[:keys], "seeds", "places"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def matches(item: np.ndarray, seeds: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches (length, start in item, start in document) from an item's seeds and the shared ones of a document.
+
+    `item` holds the seed of each place of the item; a document's `seeds` come with their places, in ascending order.
+    """
+    order = np.argsort(item, kind="stable")
+    low, high = (np.searchsorted(item[order], seeds, side) for side in ("left", "right"))
+    upto = np.concatenate([[0], np.cumsum(high - low)])
+    # The seeds next to each place of the document, where its neighbour is shared too.
+    beside = places[1:] == places[:-1] + 1
+    before, after = np.zeros((2, len(places)), bool)
+    before[1:] = after[:-1] = beside
+    firsts, lasts = [], []
+    done = 0
+    while done < len(seeds):
+        stop = max(int(np.searchsorted(upto, upto[done] + PART, "right")) - 1, done + 1)
+        row = np.repeat(np.arange(done, stop), (high - low)[done:stop])
+        i = order[np.arange(upto[done], upto[stop]) - upto[row] + low[row]]
+        shift = places[row] - i
+        joined = before[row] & (i > 0)
+        joined[joined] = seeds[row[joined] - 1] == item[i[joined] - 1]
+        firsts.append((shift[~joined], i[~joined]))
+        joined = after[row] & (i < len(item) - 1)
+        joined[joined] = seeds[row[joined] + 1] == item[i[joined] + 1]
+        lasts.append((shift[~joined], i[~joined]))
+        done = stop
+    ends = []
+    for part in (firsts, lasts):
+        shift, i = (np.concatenate(column) for column in zip(*part, strict=True))
+        ends.append((shift, i, np.lexsort((i, shift))))
+    (shift, i, first), (_, j, last) = ends
+    start = i[first]
+    return j[last] - start + least, start, start + shift[first]
+
+
+def _runs(free: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Start and length of all runs of at least `least` free places."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    for start, stop in edges.reshape(-1, 2).tolist():
+        if stop - start >= least:
+            yield start, stop - start
+
+
+def tiles(item: np.ndarray, seeds: np.ndarray, places: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (length, start in item, start in document) of an item and a document that share seeds."""
+    if not len(seeds):
+        return []
+    length, i, j = matches(item, seeds, places, least)
+    order = np.lexsort((j, i, -length))
+    shift = int(j.min())
+    free_item, free_doc = np.ones(len(item) + least - 1, bool), np.ones(int((j + length).max()) - shift, bool)
+    again: list[tuple[int, int, int]] = []
+    out, at = [], 0
+    while at < len(order) or again:
+        whole = order[at] if at < len(order) else None
+        best = None if whole is None else (-int(length[whole]), int(i[whole]), int(j[whole]))
+        if best is None or again and again[0] < best:
+            best = heapq.heappop(again)
+        else:
+            at += 1
+        size, a, b = -best[0], best[1], best[2]
+        free = free_item[a : a + size] & free_doc[b - shift : b - shift + size]
+        if free.all():
+            out.append((size, a, b))
+            free_item[a : a + size] = free_doc[b - shift : b - shift + size] = False
+            if not any(_runs(free_item, least)):
+                break
+            continue
+        for start, run in _runs(free, least):
+            heapq.heappush(again, (-run, a + start, b + start))
+    return out
 
 
-def _clean(batches: Iterable[pa.RecordBatch], block: Block, coverage: float, passage: int) -> Iterator[pa.RecordBatch]:
+def _tiled(batches: Iterable[pa.RecordBatch], keys: int, least: int, coverage: float, passage: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that are contaminated, from pairs that share a seed."""
     for batch in batches:
-        clean = np.ones(batch.num_rows, bool)
-        done = 0
-        for part in chunks([batch], "text"):
-            for text, *_ in _found(part.column("text"), block, coverage, passage):
-                clean[done + text] = False
-            done += part.num_rows
-        yield batch.filter(pa.array(clean))
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    items, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len((row["text"] or "").encode())
-        if items and size + n > block_bytes:
-            yield items
-            items, size = [], 0
-        items.append((row["item_id"], row["text"]))
-        size += n
-    if items:
-        yield items
+        item_seeds, shared = batch.column("item_seeds"), batch.column("shared")
+        picked, rows = [], []
+        for row, tokens in enumerate(batch.column("item_tokens").to_pylist()):
+            item = item_seeds[row].values.to_numpy()
+            seeds, places = (shared[row].values.field(name).to_numpy(zero_copy_only=False) for name in ("seed", "place"))
+            if tokens < least:
+                found = [(tokens, 0, 0)]
+            else:
+                alike = int(np.isin(item, seeds).sum())
+                if least * alike < coverage * tokens and alike <= passage - least:
+                    continue  # even tiles that overlap nowhere could not cover enough, and none is long enough
+                order = np.argsort(places)
+                found = tiles(item, seeds[order], places[order].astype(np.int64), least)
+            covered = sum(size for size, _, _ in found)
+            if covered >= coverage * tokens or found and max(found)[0] >= passage:
+                picked.append(row)
+                rows.append((len(found), covered, tokens, covered / tokens))
+        if rows:
+            ids = [batch.column(k).take(pa.array(picked)) for k in range(keys + 1)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            told = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            names = [*batch.schema.names[: keys + 1], "n_tiles", "tiled_tokens", "item_tokens", "coverage"]
+            yield pa.RecordBatch.from_arrays([*ids, *told], names=names)
+
+
+def _pairs(
+    docs: DataFrame, benchmark: DataFrame, least: int, coverage: float, passage: int, most_bits: int
+) -> DataFrame:
+    """Contaminated pairs of the rows of `docs` (columns of type long, then the text) and the items."""
+    ship(docs.sparkSession)
+    keys = docs.columns[:-1]
+    kinds = "".join(f"{k} long, " for k in keys)
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = texts.mapInArrow(partial(_items, least=least), "item_id long, item_tokens long, item_seeds array<long>")
+    # Numbers tell repeated rows apart; once written they are the same for all that follows.
+    items = through_storage(items.where("item_tokens > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+    owned = items.select("item", F.explode("item_seeds").alias("seed")).distinct()
+    seen = Filter(owned.select("seed").distinct(), most_bits)
+    hits = docs.mapInArrow(
+        partial(_hits, seen=seen, least=least, keys=len(keys)), f"{kinds}seeds array<long>, places array<int>"
+    )
+    hits = through_storage(hits.withColumn("doc", F.monotonically_increasing_id()), "hits")
+    places = hits.select("doc", *keys, F.explode(F.arrays_zip("seeds", "places")).alias("at"))
+    places = places.select("doc", *keys, F.col("at.seeds").alias("seed"), F.col("at.places").alias("place"))
+    shared = places.join(owned, "seed").groupBy("doc", *keys, "item").agg(F.collect_list(F.struct("seed", "place")).alias("shared"))
+    pairs = shared.join(items, "item").select(*keys, "item_id", "item_tokens", "item_seeds", "shared")
+    run = partial(_tiled, keys=len(keys), least=least, coverage=coverage, passage=passage)
+    return pairs.mapInArrow(run, f"{kinds}item_id long, {RESULT}")
 
 
 def contaminated(
@@ -193,18 +282,11 @@ def contaminated(
     least: int = 5,
     coverage: float = 0.6,
     passage: int = 50,
-    block_bytes: int = 4 << 20,
+    most_bits: int = 27,
 ) -> DataFrame:
     """Pairs of a contaminated document and an item: doc_id, item_id, n_tiles, tiled_tokens, item_tokens, coverage."""
-    ship(docs.sparkSession)
-    how = {"coverage": coverage, "passage": passage}
-    found = [
-        docs.select("doc_id", "text").mapInArrow(partial(_compare, block=Block(items, least), **how), SCHEMA)
-        for items in _blocks(benchmark, block_bytes)
-    ]
-    if not found:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionAll, found)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _pairs(rows, benchmark, least, coverage, passage, most_bits)
 
 
 def decontaminate(
@@ -213,10 +295,16 @@ def decontaminate(
     least: int = 5,
     coverage: float = 0.6,
     passage: int = 50,
-    block_bytes: int = 4 << 20,
+    most_bits: int = 27,
 ) -> DataFrame:
-    """The rows of `docs`, with all their columns, that no item contaminates."""
-    ship(docs.sparkSession)
-    for items in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(partial(_clean, block=Block(items, least), coverage=coverage, passage=passage), docs.schema)
-    return docs
+    """The rows of `docs`, with all their columns, that no item contaminates.
+
+    Two hashes of the text stand for it, so rows that share an id are judged apart, and the documents meet only two
+    numbers for each contaminated text.
+    """
+    marks = free_names(docs.columns, 2)
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.withColumns({marks[0]: F.xxhash64(text), marks[1]: F.xxhash64(F.lit(1), text)})
+    found = _pairs(marked.select(*marks, "text"), benchmark, least, coverage, passage, most_bits)
+    found = through_storage(found.select(*marks).distinct(), "contaminated-texts")
+    return marked.join(found, marks, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

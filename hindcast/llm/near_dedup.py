@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import through_storage
 from .components import components
-from .text import Words, batch_of, chunks, grouped, mix, ship
+from .text import Words, batch_of, chunks, free_names, grouped, mix, ship
 
 SAMPLES, BAND = 64, 4
 #: Texts lighter than twice this are sampled over all their shingles.
@@ -416,12 +416,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: float = 0.8, share
     return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def _free_names(columns: Iterable[str], n: int) -> list[str]:
-    """Names that none of `columns` has."""
-    taken = {c.lower() for c in columns}
-    return [name for name in (f"own_{i}" for i in range(n + len(taken))) if name not in taken][:n]
-
-
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, with all their columns, without near duplicates: one row of each class stays.
 
@@ -429,7 +423,7 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     The row with the smallest id stays; of rows with that id and different texts or other columns, one by their hashes;
     of fully equal rows, one. Rows without an id stay only if their class has no other. Columns may have any names.
     """
-    one, content = names = _free_names(docs.columns, 2)
+    one, content = names = free_names(docs.columns, 2)
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     keyed = docs.withColumns({one: F.xxhash64(F.coalesce("text", F.lit(""))), content: F.xxhash64(*plain)})
     # A hash of the text stands for the id, so that ids play no part in the classes.

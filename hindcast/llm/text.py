@@ -228,3 +228,9 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def free_names(columns: Iterable[str], n: int) -> list[str]:
+    """Names that none of `columns` has."""
+    taken = {c.lower() for c in columns}
+    return [name for name in (f"own_{i}" for i in range(n + len(taken))) if name not in taken][:n]

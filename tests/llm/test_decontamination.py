@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from hindcast.llm import decontamination
@@ -45,8 +47,34 @@ def test_tiles_equal_the_plain_method(seed):
         a = rng.randint(0, 10)
         doc[len(doc) // 2 : len(doc) // 2] = item[a : a + rng.randint(2, 12)]
     least = rng.choice([1, 2, 3, 5])
-    got = decontamination.tiles(shared(item, doc, least), item, doc, least) if shared(item, doc, least) else []
-    assert got == brute_tiles(item, doc, least)
+    assert fast_tiles(item, doc, least) == brute_tiles(item, doc, least)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pairs_in_parts_give_the_same_tiles(seed, monkeypatch):
+    rng = random.Random(seed)
+    item, doc = ([rng.randint(0, 1) for _ in range(rng.randint(5, n))] for n in (25, 60))
+    monkeypatch.setattr(decontamination, "PART", 7)
+    assert fast_tiles(item, doc, 3) == brute_tiles(item, doc, 3)
+
+
+def test_long_repetitions():
+    """A text of 500,000 equal tokens and an item of 60: 28 million places fit together."""
+    start = time.time()
+    assert fast_tiles([1] * 60, [1] * 500_000, 5) == [(60, 0, 0)]
+    assert fast_tiles([1] * 60 + list(range(2, 42)), [1] * 500_000, 5) == [(60, 0, 0)]
+    assert time.time() - start < 60
+
+
+def fast_tiles(item, doc, least):
+    """The operator's tiles; the seeds that only one side has are left out, as its join does."""
+    numbers = {}
+    a, b = ([numbers.setdefault(tuple(x[k : k + least]), len(numbers)) for k in range(len(x) - least + 1)] for x in (item, doc))
+    own = set(a)
+    places = [j for j, seed in enumerate(b) if seed in own]
+    return decontamination.tiles(
+        np.array(a, np.int64), np.array([b[j] for j in places], np.int64), np.array(places, np.int64), least
+    )
 
 
 def corpus(seed=1):
@@ -82,11 +110,12 @@ def test_equals_comparing_every_pair(spark):
             covered = sum(t[0] for t in found)
             if covered and covered >= 0.6 * len(a):
                 want[d, i] = (len(found), covered, len(a))
-    for size in (4 << 20, 300):  # in one block, and in many
-        rows = decontamination.contaminated(docs, bench, block_bytes=size).collect()
+    for bits, parts in ((27, 1), (3, 5)):  # a filter that is large enough, and one that lets everything through
+        bench = bench.repartition(parts)
+        rows = decontamination.contaminated(docs, bench, most_bits=bits).collect()
         assert {(r.doc_id, r.item_id): (r.n_tiles, r.tiled_tokens, r.item_tokens) for r in rows} == want
         assert len(rows) == len(want)
-        left = decontamination.decontaminate(docs, bench, block_bytes=size)
+        left = decontamination.decontaminate(docs, bench, most_bits=bits)
         assert left.columns == docs.columns
         assert sorted(r.doc_id for r in left.collect()) == sorted(set(range(len(texts))) - {d for d, _ in want})
     assert any(n > 1 for n, _, _ in want.values())
@@ -114,3 +143,24 @@ def test_short_items_and_long_passages(spark):
     assert sorted((r.doc_id, r.item_id, r.n_tiles, r.tiled_tokens) for r in got) == [(0, 1, 1, 3), (1, 1, 1, 3), (3, 2, 1, 50)]
     kept = decontamination.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 7, 8]
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    texts, items = corpus()
+    bench = spark.createDataFrame([(1, items[0])], "item_id long, text string")
+    rows = [(7, items[0], "a"), (7, "a clean text", "b"), (None, items[0], "c"), (None, None, "d"), (7, items[0], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_0 string").withColumnRenamed("own_0", "OWN_0")
+    found = decontamination.contaminated(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.item_id) for r in found) == [("7", 1), ("7", 1), ("None", 1)]
+    left = decontamination.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r.OWN_0 for r in left.collect()) == ["b", "d"]
+
+
+def test_the_filter_loses_no_seed(spark):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(-(2**63), 2**63, 3000)
+    table = spark.createDataFrame([(int(s),) for s in seeds], "seed long").repartition(4)
+    seen = decontamination.Filter(table, 27)
+    assert len(seen.may_hold(seeds.view(np.uint64))) == len(seeds)
+    other = rng.integers(0, 2**64, 100_000, dtype=np.uint64)
+    assert len(seen.may_hold(other)) < 1000

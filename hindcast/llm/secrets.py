@@ -7,9 +7,10 @@ The method adds `random`: strings of `shortest` or more characters of [A-Za-z0-9
 log-likelihood under a Markov chain of random strings exceeds that under a chain of ordinary identifiers by at least
 `margin` per character. Both chains are first-order over the class; a character that rarely or never came before backs
 off to the frequencies of single characters, and these are smoothed by one each. They are trained on labelled samples
-from the table itself: the values that the base rules find (random; at most `sample` of them, the smallest hashes) and
-the words of at most `sample` documents without any (ordinary; only words too short to be judged, lest hidden secrets
-teach that chain). A corpus without either kind of sample trains that chain on nothing, which makes it uniform. Only the
+from the table itself: the values that the base rules find and that hold both a letter and a digit, since others may be
+words (random; at most `sample` distinct ones, the smallest hashes) and the words of at most `sample` distinct texts
+without any (ordinary; only words too short to be judged, lest hidden secrets teach that chain). Copies of a text teach
+as much as one. A corpus without either kind of sample trains that chain on nothing, which makes it uniform. Only the
 two tables of character pairs reach the driver; their size is that of the alphabet squared.
 
 Positions are code points, the end exclusive: matches and the gaps between them come from one pattern, and their lengths
@@ -98,12 +99,14 @@ def train(docs: DataFrame, shortest: int = 16, sample: int = 2000) -> list[float
     """Log-likelihood ratio (random against ordinary) of each pair of ASCII codes a, b, at place 128 * a + b."""
     text = F.coalesce("text", F.lit(""))
     secret = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))))
-    marked = docs.select("doc_id", text.alias("text")).withColumn("secret", F.filter(secret, lambda s: F.length(s) >= 6))
-    random = marked.select(F.explode("secret").alias("s")).distinct().orderBy(F.xxhash64("s"), "s").limit(sample)
-    clean = marked.where(F.size("secret") == 0).select("doc_id", F.xxhash64("text").alias("h"))
-    # The ids of the sample are few; they choose its texts in a second read of the table.
+    marked = docs.select(text.alias("text")).withColumn("secret", F.filter(secret, lambda s: F.length(s) >= 6))
+    random = marked.select(F.explode("secret").alias("s")).where(F.col("s").rlike("[A-Za-z]") & F.col("s").rlike("[0-9]"))
+    random = random.distinct().orderBy(F.xxhash64("s"), "s").limit(sample)
+    clean = marked.where(F.size("secret") == 0).select(F.xxhash64("text").alias("h")).distinct()
+    # The hashes of the sample are few; they choose its texts in a second read of the table.
     chosen = [r["h"] for r in clean.orderBy("h").limit(sample).collect()]
-    picked = docs.select(text.alias("text")).where(F.xxhash64("text").isin(chosen)) if chosen else docs.limit(0).select("text")
+    hashed = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text"))
+    picked = hashed.where(F.col("h").isin(chosen)).dropDuplicates(["h"]) if chosen else hashed.limit(0)
     words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("s"))
     counts = []
     for strings in (random, words.where(F.length("s") < shortest)):

@@ -69,11 +69,11 @@ def test_models_tell_random_strings_from_words(spark):
 
 
 def test_training_counts_pairs(spark):
-    """The ratios are those of two smoothed chains counted by hand."""
-    docs = documents(spark, ["token=abcabc99", "ab ba_ab plain", "ab ba_ab plain", "é only"])
+    """The ratios are those of two smoothed chains counted by hand; copies and values that may be words teach nothing."""
+    docs = documents(spark, ["token=abcabc99", "ab ba_ab plain", "ab ba_ab plain", "é only", "secret=wording", "token=abcabc99 too"])
     got = secrets.train(docs)
     chains = []
-    for strings in (["abcabc99"], ["ab", "ba_ab", "plain", "ab", "ba_ab", "plain", "only"]):
+    for strings in (["abcabc99"], ["ab", "ba_ab", "plain", "only"]):
         chains.append({})
         for s in strings:
             for a, b in zip(s, s[1:]):
@@ -88,6 +88,30 @@ def test_training_counts_pairs(spark):
             assert abs(got[128 * ord(a) + ord(b)] - (log(chains[0], a, b) - log(chains[1], a, b))) < 1e-9
 
 
+def test_random_spans_equal_scoring_every_token(spark):
+    """Every token of the class is scored in Python by the ratios that were trained."""
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    texts = [f"{prose(rng, 40)} password={key(20)} {prose(rng, 20)}é{key(rng.randint(14, 60))}💬 {prose(rng, 9)}" for _ in range(80)]
+    texts += [prose(rng, 90) for _ in range(60)] + ["1234567890123456789", "a" * 3000, None, ""]
+    docs = documents(spark, texts)
+    ratios = secrets.train(docs)
+    rows = {r.doc_id: r.spans.split(",") if r.spans else [] for r in secrets.find(docs).collect()}
+    close = 0
+    for i, text in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute(text)]
+        want, unsure = set(), set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text or ""):
+            score = sum(ratios[128 * ord(a) + ord(b)] for a, b in zip(m[0], m[0][1:]))
+            apart = all(b <= m.start() or m.end() <= a for a, b in base)
+            if apart and re.search("[A-Za-z]", m[0]) and score >= 0.5 * len(m[0]) - 0.01:
+                (want if score >= 0.5 * len(m[0]) + 0.01 else unsure).add(f"random:{m.start()}:{m.end()}")
+        got = {s for s in rows[i] if s.startswith("random")}
+        assert want <= got <= want | unsure, (i, text)
+        close += len(want)
+    assert close >= 60
+
+
 def test_running_sums_over_blocks(spark):
     values = list(range(1, 700))
     row = spark.range(1).select(secrets._running(F.array(*map(F.lit, values))).alias("x")).first()

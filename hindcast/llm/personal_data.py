@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -55,7 +57,8 @@ _DIGIT = re.compile(r"[0-9]")
 _MASKED = re.compile(
     r"\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]+)*\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,}", re.I
 )
-_USER_HOST = re.compile(r"[A-Za-z0-9._~%!$&'*+;=:-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?")
+_USER = re.compile(r"[A-Za-z0-9._~%!$&'*+;=:-]++")
+_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?")
 _TEL = re.compile(r"\+?[0-9](?:[().-]?[0-9]){5,14}")
 _CUE_TAIL = re.compile(r"(?:[\x20_-]?(?:no|nr|num|number|id|code))?\.?\x20{0,2}[:#=]{0,2}\x20{0,2}(?:is\x20)?([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){3,33})", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
@@ -107,10 +110,24 @@ def _masked(text: str, at: int, end: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain else None
 
 
-def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
-    scheme = text[start:end].lower()
-    found = (_TEL if scheme == "tel:" else _USER_HOST).match(text, end)
-    return (start, found.end()) if found else None
+class _Addresses:
+    """Reads addresses; a run of user characters that holds several schemes is read once."""
+
+    def __init__(self) -> None:
+        self.run = range(0)
+        self.stop: int | None = None
+
+    def __call__(self, text: str, start: int, end: int) -> tuple[int, int] | None:
+        if text[start:end].lower() == "tel:":
+            found = _TEL.match(text, end)
+            return (start, found.end()) if found else None
+        if end not in self.run:
+            user = _USER.match(text, end)
+            if not user:
+                return None
+            host = _HOST.match(text, user.end())
+            self.run, self.stop = range(*user.span()), host.end() if host else None
+        return (start, self.stop) if self.stop else None
 
 
 def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -161,6 +178,7 @@ def spans_of(text: str) -> list[Span]:
     base: list[Span] = []
     more: list[Span] = []
     mailed = 0
+    parsers: dict[str, Callable] = {"masked": _masked, "address": _Addresses(), "account": _account}
     for last, (kind, size) in _AUTOMATON[0].iter(text):
         start, end = last + 1 - size, last + 1
         if kind == "email":
@@ -169,18 +187,29 @@ def spans_of(text: str) -> list[Span]:
         elif kind == "phone":
             found = _phone(text, start)
         else:
-            parser: Callable = {"masked": _masked, "address": _address, "account": _account}[kind]
-            found = parser(text, start, end)
+            found = parsers[kind](text, start, end)
         if found:
             (base if kind in BASE else more).append((*found, kind))
     if _DIGIT.search(text):
         base += [(*s, "ip") for s in _ips(text)]
         base += [(*s, "card") for s in _cards(text)]
     if more:
-        more = [m for m in dict.fromkeys(more) if not any(b[0] <= m[0] and m[1] <= b[1] for b in base)]
+        more = _outside(dict.fromkeys(more), sorted(base))
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _outside(spans: Iterable[Span], base: list[Span]) -> list[Span]:
+    """The spans that no base span contains: of base spans up to a start, the farthest end decides."""
+    starts = [b[0] for b in base]
+    reach = list(accumulate((b[1] for b in base), max))
+    found = []
+    for span in spans:
+        at = bisect_right(starts, span[0])
+        if not at or reach[at - 1] < span[1]:
+            found.append(span)
+    return found
+
+
 def _listed(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -71,6 +72,36 @@ def test_added_spans(text, want):
     assert sorted(got) == sorted(want)
 
 
+ADDRESS = re.compile(r"[A-Za-z0-9._~%!$&'*+;=:-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?")
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_added_addresses_equal_trying_every_scheme(seed):
+    """Every scheme is tried by itself with one pattern, and held against every base span."""
+    rng = random.Random(seed)
+    parts = [
+        "mailto:", "sip:", "https://", "ftp://", "a@b.cc", "me", "@", ".org", ":80", "x@y.z", " ", "é", "1.2.3.4", "+1 555 0100 999", "user:pw", "MAILTO:", "/", "b.cc",
+    ]
+    text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 50)))
+    spans = personal_data.spans_of(text)
+    base = [(a, b) for a, b, kind in spans if kind in personal_data.BASE]
+    want = set()
+    for m in re.finditer("|".join(f"(?={s})" for s in ("http://", "https://", "ftp://", "ssh://", "mailto:", "sip:", "MAILTO:")), text):
+        scheme = re.compile("[A-Za-z]+:(//)?").match(text, m.start())
+        found = ADDRESS.match(text, scheme.end())
+        if found and not any(a <= m.start() and found.end() <= b for a, b in base):
+            want.add((m.start(), found.end()))
+    assert sorted((a, b) for a, b, kind in spans if kind == "address") == sorted(want)
+
+
+def test_long_chains_take_linear_time():
+    start = time.time()
+    assert personal_data.spans_of("mailto:" * 200_000) == []
+    spans = personal_data.spans_of("mailto:" * 50_000 + "a@b.cc " + "c@d.ee " * 50_000)
+    assert len(spans) == 100_001
+    assert time.time() - start < 30
+
+
 def test_redaction(spark):
     texts = ["mail a@b.cc or +1 (555) 010-9999 now", None, "", "clean é"]
     docs = documents(spark, texts, extra=True)

@@ -1,5 +1,6 @@
 import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +289,19 @@ def test_jdbc_reads_are_cut(spark):
     }
     with pytest.raises(ValueError):
         load_source(spark, "cleaned.stays", source)
+
+
+def test_fits_of_all_splits_run_side_by_side(matrix, monkeypatch):
+    """One spec and two splits: each fit waits for the other to begin."""
+    both = threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(Z, "fit", lambda rows, features, spec, seed: (both.wait(), spec.model_id)[1])
+    spec = Z.ModelSpec(1, "decision_tree", {"max_depth": 3, "max_features": 1, "min_samples_split": 2})
+    assert Z.fit_grid(matrix, ["a", "b"], [spec], [1, 2]) == {(1, 1): 1, (1, 2): 1}
+
+
+def test_forest_tasks_are_not_sent_the_trees(matrix):
+    """Rows keep the node they have reached; the trees are the same as without that."""
+    rows = Z.with_vector(M.training_rows(matrix), ["a", "b"])
+    forest = Z._forest({"max_depth": 6, "min_samples_split": 2}, 4, "sqrt", True, 7)
+    assert forest.getCacheNodeIds()
+    assert forest.fit(rows).toDebugString.split("\n")[1:] == forest.copy().setCacheNodeIds(False).fit(rows).toDebugString.split("\n")[1:]

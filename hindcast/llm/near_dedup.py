@@ -32,17 +32,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import through_storage
 from .components import components
+from .membership import Filter, among
 from .text import Words, batch_of, chunks, free_names, grouped, mix, ship
 
 SAMPLES, BAND = 64, 4
 #: Texts lighter than twice this are sampled over all their shingles.
 LIGHT = 256.0
 BLOCK = 1024
+#: A filter of keys takes at most 2 ** this many bits.
+MOST_BITS = 27
 COUNTS = pa.schema([("shingle", pa.int64()), ("texts", pa.int64()), ("excess", pa.float64())])
 ENTRIES = pa.schema(
     [
@@ -265,6 +269,18 @@ def _entries(batches, words: int, similar: float, frequent: Frequent) -> Iterato
         yield batch_of(ENTRIES, list(zip(*rows, strict=True)) if rows else [[]] * 7)
 
 
+def _of_shared_bands(batches: Iterable[pa.RecordBatch], seen: Filter) -> Iterator[pa.RecordBatch]:
+    """Texts with the bands that others may share; `bands` is the last column."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        of, bands = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+        found = seen.may_hold(bands.view(np.uint64))
+        some, rows = np.unique(of[found], return_inverse=True)
+        ends = np.searchsorted(rows, np.arange(len(some) + 1)).astype(np.int32)
+        kept = batch.take(pa.array(some, pa.int64())).columns[:-1]
+        yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[found]))], names=batch.schema.names)
+
+
 class _Union:
     def __init__(self, n: int):
         self.parent = list(range(n))
@@ -399,13 +415,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: float = 0.8, share
     texts = through_storage(texts.drop("unnamed"), "texts")
     banded = texts.where("doc_id IS NOT NULL").select("doc_id", "entry", F.explode("bands").alias("band"))
     shared = through_storage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    members = banded.join(shared, "band").join(texts.select("doc_id", "entry", "weight", "samples"), ["doc_id", "entry"])
+    # Only what may meet is shuffled to meet: texts in a shared band, then documents in a candidate group.
+    likely = texts.where("doc_id IS NOT NULL").select("doc_id", "entry", "weight", "samples", "bands")
+    seen = Filter(shared.select(F.col("band").alias("seed")), MOST_BITS)
+    likely = likely.mapInArrow(partial(_of_shared_bands, seen=seen), "doc_id long, entry int, weight double, samples binary, bands array<long>")
+    likely = through_storage(likely, "likely")
+    members = likely.select("doc_id", "entry", F.explode("bands").alias("band")).join(shared, "band")
+    members = members.join(likely.select("doc_id", "entry", "weight", "samples"), ["doc_id", "entry"])
     members = _in_blocks(members.select("band", "n", "doc_id", "weight", "samples"), "n")
     agreeing = _in_groups(members, "band", partial(_agreeing, agree=agree, similar=similar), "u long, v long")
     groups = components(agreeing)
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     groups = through_storage(groups.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "n"), "groups")
-    vectors = docs.join(groups, "doc_id").select("doc_id", "text", "root", "n")
+    met = among(Filter(groups.select(F.col("doc_id").alias("seed")), MOST_BITS))
+    candidates = docs.where("doc_id IS NOT NULL").where(met(F.col("doc_id").cast("long")))
+    # Equal rows would fill a block with copies of one text.
+    vectors = candidates.join(groups, "doc_id").select("doc_id", "text", "root", "n").distinct()
     vectors = _in_blocks(vectors.mapInArrow(partial(_vectors, words=words, frequent=frequent), VECTOR), "n")
     verified = _in_groups(vectors, "root", partial(_verify, agree=agree, similar=similar), "u long, v long")
     classes = components(verified)
@@ -423,21 +448,26 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     The row with the smallest id stays; of rows with that id and different texts or other columns, one by their hashes;
     of fully equal rows, one. Rows without an id stay only if their class has no other. Columns may have any names.
     """
-    one, content = names = free_names(docs.columns, 2)
+    one, content = free_names(docs.columns, 2)
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    keyed = docs.withColumns({one: F.xxhash64(F.coalesce("text", F.lit(""))), content: F.xxhash64(*plain)})
-    # A hash of the text stands for the id, so that ids play no part in the classes.
+    # A hash of the row and its text stands for the id, so that ids play no part in the classes and copies differ.
+    keyed = docs.withColumn(content, F.xxhash64(*plain)).withColumn(one, F.xxhash64(content, F.coalesce("text", F.lit(""))))
     texts = near_duplicates(keyed.select(F.col(one).alias("doc_id"), "text"), **how)
     classes = texts.select(F.col("doc_id").alias(one), F.col("class_id").alias("class")).distinct()
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(content).alias("row"))
     rows = keyed.select(one, order.alias("at")).groupBy(one, "at").agg(F.count("*").alias("n"))
     rows = through_storage(rows.join(classes, one).select("class", "at", "n"), "rows-of-classes")
     first = rows.groupBy("class").agg(F.min("at").alias("first"))
-    # One number per row that goes is all that the documents have to meet.
+    # One number per row that goes is all that the documents have to meet, and only those that may be such a row do.
     goes = rows.join(first, "class").where("at.row <> first.row").select(F.col("at.row").alias(content)).distinct()
-    kept = keyed.join(through_storage(goes, "going"), content, "left_anti")
+    goes = through_storage(goes, "going")
     repeated = through_storage(rows.where("n > 1").select(F.col("at.row").alias(content)), "repeated-rows")
+    seen = Filter(goes.unionAll(repeated).select(F.col(content).alias("seed")), MOST_BITS)
+
+    met = among(seen)
+    stay, kept = keyed.where(~met(content)), keyed.where(met(content)).join(goes, content, "left_anti")
     if not repeated.isEmpty():
         once = kept.join(repeated, content, "left_semi").dropDuplicates([content])
         kept = kept.join(repeated, content, "left_anti").unionByName(once)
+    kept = stay.unionByName(kept)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -202,3 +202,45 @@ def test_columns_with_clashing_names_stay(spark):
 
 def test_keep_first_of_nothing(spark):
     assert stays(spark, []) == []
+
+
+def shuffled_bytes(df):
+    """Bytes that the shuffles of the collected frame's own plan took in."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.finalPhysicalPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_documents_that_stay_are_not_shuffled(spark):
+    """Only rows that may go meet the table of those that go, also where it is too large to broadcast."""
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (300, texts[0]), (301, texts[1] + " end")], "doc_id long, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k) for k in (key, "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in before:
+        spark.conf.set(k, "-1")
+    try:
+        found = near_dedup.keep_first(docs)
+        assert shuffled_bytes(found) < sum(map(len, texts)) / 10
+        assert sorted(r.doc_id for r in found.collect()) == list(range(300))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_copies_of_a_text_are_verified_once(spark, monkeypatch):
+    gathered, in_blocks = [], near_dedup._in_blocks
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda rows, n: (gathered.append(rows), in_blocks(rows, n))[1])
+    rows = [(i, LONG, "x") for i in range(20)] + [(1, LONG, "x")] * 20 + [(50, LONG + " seventeen", "x")]
+    assert stays(spark, rows) == [(0, LONG, "x")]
+    assert gathered[-1].count() == 2

@@ -4,6 +4,7 @@ import threading
 from types import SimpleNamespace
 
 from fixtures import need as N
+from fixtures import study_queries as Q
 from fixtures.study_queries import _event_store
 from tests.conftest import tuples
 
@@ -33,3 +34,23 @@ def test_a_stored_month_is_spread_over_tasks(spark, frame):
         spark.conf.unset(key)
     assert len(stored.inputFiles()) > 1
     assert tuples(stored, *stays.columns) == tuples(stays)
+
+
+def test_sources_of_a_matrix_are_linked_once_and_its_dates_are_listed(frame, monkeypatch):
+    stays = frame(STAYS, *[(1, y, f"{y}-03-01 00:00:00", f"{y}-04-01 00:00:00", 1) for y in range(1996, 2002)])
+    logs, given, since = [], [], Q.X.time_since_known
+
+    def need_log(t):
+        logs.append(N.log_of("screen", t.stays, "start_ts"))
+        return logs[-1]
+
+    def recorded(events, ts, name, dates):
+        given.append(dates)
+        return since(events, ts, name, dates)
+
+    monkeypatch.setattr(N, "need_log", need_log)
+    monkeypatch.setattr(Q.X, "time_since_known", recorded)
+    monkeypatch.setattr(Q, "bookings", lambda t: t.stays.selectExpr("entity_id", "start_ts as knowledge_date"))
+    rows = Q._wide_matrices(SimpleNamespace(stays=stays)).collect()
+    assert len(logs) == 1 and given and all(isinstance(dates, list) for dates in given)
+    assert rows and all(r.since_last_need == r.since_last_booking == r.since_last_stay > 0 for r in rows)

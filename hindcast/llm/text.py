@@ -42,9 +42,12 @@ def ship(spark: SparkSession) -> None:
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes of `column`, so that working memory depends on neither batch nor file size.
 
-    A longer text is a slice of its own. Null texts become empty ones.
+    A longer text is a slice of its own. Null texts become empty ones. A worker is used again by later tasks: what earlier
+    batches took is given back to the system, not kept for it.
     """
+    pool = pa.default_memory_pool()
     for batch in batches:
+        pool.release_unused()
         at = batch.schema.get_field_index(column)
         texts = batch.column(at)
         if texts.null_count:
@@ -206,9 +209,11 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
     """Runs of rows with equal keys, from batches sorted by them; runs may go over batches."""
     held: list[pa.RecordBatch] = []
     last = None
+    pool = pa.default_memory_pool()
     for batch in batches:
         if not batch.num_rows:
             continue
+        pool.release_unused()
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
         new = np.zeros(batch.num_rows, bool)
         new[0] = last is not None and tuple(c[0] for c in columns) != last

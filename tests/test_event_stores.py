@@ -1,6 +1,7 @@
 """How the registered queries keep linked events."""
 
 import threading
+import time
 from types import SimpleNamespace
 
 from fixtures import need as N
@@ -54,3 +55,32 @@ def test_sources_of_a_matrix_are_linked_once_and_its_dates_are_listed(frame, mon
     rows = Q._wide_matrices(SimpleNamespace(stays=stays)).collect()
     assert len(logs) == 1 and given and all(isinstance(dates, list) for dates in given)
     assert rows and all(r.since_last_need == r.since_last_booking == r.since_last_stay > 0 for r in rows)
+
+
+def test_shuffles_of_stores_do_not_pile_up(spark, frame, tmp_path):
+    """The files of a store's shuffle are gone when it is written; afterwards the session is as before."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f) for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in str(f)}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    stays, before = frame(STAYS, *[(i, i, "2000-01-01 00:00:00", None, 0) for i in range(100)]), spark.conf.get(key)
+    known = shuffles()
+    with Q.sinks.shuffles_freed(spark):
+        _event_store(stays, "start_ts")
+        left = time.time() + 30
+        while shuffles() - known and time.time() < left:
+            time.sleep(0.2)
+    assert not shuffles() - known and spark.conf.get(key) == before
+
+
+def test_stores_hold_what_the_log_reads(frame):
+    t = SimpleNamespace(
+        raw_incidents=frame("id bigint, hash_key string", (7, "h")),
+        incidents=frame(
+            "id bigint, incident_ts timestamp_ntz, disposition string, primary_txt string, secondary_txt string", (7, "2000-02-01 00:00:00", "d", "ANXIETY", "x"),
+        ),
+        crosswalk=frame("entity_id bigint, source string, source_key string, hash_key string", (3, N.HASH, None, "h")),
+    )
+    held = []
+    stored = N.need_log(t, ["incident"], lambda events, ts: (held.append(events.columns), events)[1])
+    assert held == [["entity_id", "incident_ts", "primary_txt", "secondary_txt"]]
+    assert tuples(stored) == tuples(N.need_log(t, ["incident"])) and stored.count() == 1
